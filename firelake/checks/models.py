@@ -10,9 +10,9 @@ from firelake.checks.views import view, with_views
 from firelake.operators import evaluation
 from firelake.plans.features import feature_matrix
 from firelake.plans.scoring import feature_importances, score
-from firelake.plans.training import Trained, metrics_row, train
+from firelake.plans.training import Trained, run_training, train
 from firelake.session import work_dir
-from firelake.sources.sinks import load_model, save_model, write_metrics_json
+from firelake.sources.sinks import load_model
 
 FIRST_CONDITIONS = {
     "w": "SELECT round(latitude * 1e2) AS la, round(longitude * 1e2) AS lo, wind_speed_kmh, humidity_pct, temp_c,"
@@ -42,22 +42,29 @@ def matrix(fires: DataFrame, weather: DataFrame, soil: DataFrame) -> DataFrame:
 
 
 def trained(spark: SparkSession, sf_dir: str) -> Trained:
-    tables = [view(spark, sf_dir, name) for name in ("fires", *SIDE)]
+    made: dict[str, DataFrame] = {}
+    tables = [view(spark, sf_dir, name, made) for name in ("fires", *SIDE)]
     return train(*tables, key=("event_id",), order=ORDER, trees=TREES, max_depth=DEPTH)
 
 
+def _run(spark: SparkSession, sf_dir: str) -> str:
+    made: dict[str, DataFrame] = {}
+    tables = [view(spark, sf_dir, name, made) for name in ("fires", *SIDE)]
+    artifacts = work_dir(spark, "artifacts")
+    run_training(*tables, artifacts, trees=TREES, max_depth=DEPTH, key=("event_id",), order=ORDER)
+    return artifacts
+
+
 def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every detection scored by a model that was stored and read back."""
-    path = work_dir(spark, "model")
-    save_model(spark, trained(spark, sf_dir).model, path, {"n_estimators": TREES})
-    rows = matrix(*[view(spark, sf_dir, name) for name in ("fires", *SIDE)])
-    return score(rows, load_model(spark, path)).select("event_id", "label", "risk")
+    made: dict[str, DataFrame] = {}
+    rows = matrix(*[view(spark, sf_dir, name, made) for name in ("fires", *SIDE)])
+    model = load_model(spark, _run(spark, sf_dir))
+    return score(rows, model).select("event_id", "label", "risk")
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = work_dir(spark, "metrics")
-    write_metrics_json(metrics_row(trained(spark, sf_dir), TREES), path)
-    return spark.read.json(path).select("metrics.*")
+    return spark.read.json(f"{_run(spark, sf_dir)}/metrics").select("metrics.*")
 
 
 def _report_sql() -> str:

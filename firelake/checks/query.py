@@ -19,6 +19,7 @@ def over(*names: str, build: Callable[..., DataFrame]) -> Callable[[SparkSession
     """Run `build` on the named views."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return build(*[view(spark, sf_dir, name) for name in names])
+        made: dict[str, DataFrame] = {}
+        return build(*[view(spark, sf_dir, name, made) for name in names])
 
     return run

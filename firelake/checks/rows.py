@@ -86,11 +86,13 @@ def _latest(region: str | None = None, confidence: str | None = None) -> Query:
     if confidence is not None:
         condition += f" AND lower(confidence) = '{confidence.lower()}'"
 
-    def build(fires: DataFrame, weather: DataFrame, soil: DataFrame) -> DataFrame:
-        return latest_fires(fires, weather, soil, region, confidence, tie_break=("event_id",), order=ORDER)
-
     return Query(
-        over("fires", *SIDE, build=build),
+        over(
+            "fires",
+            build=lambda fires: latest_fires(
+                fires, region=region, confidence=confidence, tie_break=("event_id",), order=ORDER
+            ),
+        ),
         with_views(f"SELECT {API} FROM (SELECT * FROM fires WHERE {condition} {NEWEST}) AS newest", "fires"),
     )
 
@@ -163,13 +165,7 @@ def queries() -> dict[str, Query]:
             over("fires", build=prepared), with_views("SELECT * FROM prepared", "fires", prepared=PREPARED_STEP)
         ),
         "prepare_list": Query(
-            over(
-                "fires",
-                *SIDE,
-                build=lambda fires, weather, soil: prepare_list(
-                    latest_fires(fires, weather, soil, tie_break=("event_id",), order=ORDER)
-                ),
-            ),
+            over("fires", build=lambda fires: prepare_list(latest_fires(fires, tie_break=("event_id",)))),
             with_views(
                 f"SELECT {PREPARED} {_id('place')} AS id FROM placed",
                 "fires",

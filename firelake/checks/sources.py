@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firelake.checks.query import Query, over
-from firelake.checks.rows import API, LEVEL, NEWEST, ORDER, SIDE, US
+from firelake.checks.rows import API, LEVEL, NEWEST, US
 from firelake.checks.views import view, with_views
 from firelake.functions import fallback_risk
 from firelake.plans.ingest import backfill, ingest_weather
@@ -112,8 +112,7 @@ def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _api_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = [view(spark, sf_dir, name) for name in SIDE]
-    records = latest_fires(detections(spark, sf_dir), *sides, tie_break=("event_id",), order=ORDER)
+    records = latest_fires(detections(spark, sf_dir), tie_break=("event_id",))
     path = work_dir(spark, "api")
     write_api_json(records, path)
     return spark.read.schema(records.schema).json(path)

@@ -170,15 +170,21 @@ VIEWS: dict[str, tuple[str, list[str], str | None]] = {
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The view as a DataFrame over the Parquet tables."""
-    if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    base, columns, condition = VIEWS[name]
-    rows = view(spark, sf_dir, base)
-    if condition is not None:
-        rows = rows.where(condition)
-    return rows.selectExpr(*[c.format(**SPARK) for c in columns])
+def view(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The view as a DataFrame over the Parquet tables.
+
+    `made` holds what a query has built already, so its views share one scan definition.
+    """
+    made = {} if made is None else made
+    if name not in made:
+        if name in VIEWS:
+            base, columns, condition = VIEWS[name]
+            rows = view(spark, sf_dir, base, made)
+            rows = rows if condition is None else rows.where(condition)
+            made[name] = rows.selectExpr(*[c.format(**SPARK) for c in columns])
+        else:
+            made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return made[name]
 
 
 def view_sql(name: str) -> dict[str, str]:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firelake.functions import shorten_test_id
+from firelake.operators.skew import join_reduced
 
 MAX_BUILD_COLUMNS = 1000
 
@@ -39,7 +40,7 @@ def last_outcomes(results: DataFrame) -> DataFrame:
     return results.groupBy("nodeid", "build_id", "run_order").agg(F.max_by("outcome", "position").alias("outcome"))
 
 
-def shown_outcome(outcome: str) -> F.Column:
+def shown_outcome(outcome: str) -> Column:
     """An error is shown as a failure, anything unknown as nothing."""
     known = F.col(outcome)
     return F.when(known == "error", "failed").when(known.isin("passed", "failed", "skipped"), known).otherwise("none")
@@ -65,12 +66,10 @@ def regressions(results: DataFrame) -> DataFrame:
     """
     outcomes = last_outcomes(results)
     run = F.struct("run_order", "build_id")
-    failed = (
-        outcomes.where("outcome = 'failed'").groupBy("nodeid").agg(F.min(run).alias("first"))
-    )
+    failed = outcomes.where("outcome = 'failed'").groupBy("nodeid").agg(F.min(run).alias("first"))
     passed = outcomes.where("outcome = 'passed'").select("nodeid", run.alias("run"))
     fixed = (
-        passed.join(failed, "nodeid")
+        join_reduced(passed, failed, ["nodeid"], "inner")
         .where(F.col("run") > F.col("first"))
         .groupBy("nodeid")
         .agg(F.min("run").alias("fixed"))

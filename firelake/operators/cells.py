@@ -179,8 +179,8 @@ def join_env_last(fires: DataFrame, soil: DataFrame, order: Sequence[str] = ("fe
 
 def join_conditions_bounded(
     short_list: DataFrame,
-    weather: DataFrame,
-    soil: DataFrame,
+    weather: DataFrame | None,
+    soil: DataFrame | None,
     keep: str = "last",
     order: Sequence[str] = ("fetched_at",),
 ) -> DataFrame:
@@ -189,12 +189,16 @@ def join_conditions_bounded(
     The list bounds the broadcasts: its cells reduce the reading tables in place, and at
     most one row per listed cell comes back. Neither reading table is shuffled whole.
     """
-    keyed = short_list.withColumn("cell", cell_of(F.col("latitude"), F.col("longitude")))
-    cells = keyed.select("cell").distinct()
-    conditions = cell_conditions(weather, soil, keep, order, cells=cells)
-    joined = keyed.join(F.broadcast(conditions), "cell", "left")
-    values = WEATHER_VALUES + SOIL_VALUES
-    return joined.select(*short_list.columns, *[condition_value(v).alias(v) for v in values])
+    columns = short_list.columns
+    wanted = WEATHER_VALUES * (weather is not None) + SOIL_VALUES * (soil is not None)
+    absent = WEATHER_VALUES * (weather is None) + SOIL_VALUES * (soil is None)
+    joined = short_list
+    if wanted:
+        joined = short_list.withColumn("cell", cell_of(F.col("latitude"), F.col("longitude")))
+        conditions = cell_conditions(weather, soil, keep, order, cells=joined.select("cell").distinct())
+        joined = joined.join(F.broadcast(conditions), "cell", "left")
+    values = [condition_value(v).alias(v) for v in wanted] + [F.lit(0.0).alias(v) for v in absent]
+    return joined.select(*columns, *values)
 
 
 def rounded_point(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firelake.operators.skew import join_reduced
 from firelake.schemas import DETECTION_KEY
 
 
@@ -17,28 +18,19 @@ def known_keys(table: DataFrame, key: Sequence[str] = tuple(DETECTION_KEY)) -> D
     return table.select(*key).where(complete).distinct()
 
 
-def _matched(batch: DataFrame, table: DataFrame, key: Sequence[str], how: str) -> DataFrame:
-    # The hash is a join column too: it keeps the planner from reusing the shuffle of the
-    # distinct, so both inputs of the join are plain shuffles and adaptive execution can
-    # split a key that holds a large share of the batch.
-    keys = known_keys(table, key).withColumn("_key_hash", F.xxhash64(*key)).withColumn("_known", F.lit(True))
-    if how == "left_anti":
-        keys = keys.drop("_known")
-    return batch.withColumn("_key_hash", F.xxhash64(*key)).join(keys, [*key, "_key_hash"], how)
-
-
 def dedup_insert(batch: DataFrame, table: DataFrame, key: Sequence[str] = tuple(DETECTION_KEY)) -> DataFrame:
     """Rows of the batch whose key the table does not hold.
 
     Copies inside the batch are all kept, and so are rows with a null in the key.
     """
-    return _matched(batch, table, key, "left_anti").select(*batch.columns)
+    return join_reduced(batch, known_keys(table, key), key, "left_anti").select(*batch.columns)
 
 
 def flag_new(batch: DataFrame, table: DataFrame, key: Sequence[str] = tuple(DETECTION_KEY)) -> DataFrame:
     """The batch with `is_new`, for counting in one pass."""
-    joined = _matched(batch, table, key, "left")
-    return joined.select(*[batch_col for batch_col in batch.columns], F.col("_known").isNull().alias("is_new"))
+    known = known_keys(table, key).withColumn("_known", F.lit(True))
+    joined = join_reduced(batch, known, key, "left")
+    return joined.select(*batch.columns, F.col("_known").isNull().alias("is_new"))
 
 
 def ingest_counts(batch: DataFrame, table: DataFrame, key: Sequence[str] = tuple(DETECTION_KEY)) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from firelake.operators.cells import distinct_cells, skip_fetched_points, soil_cells, weather_cells
+from firelake.operators.cells import skip_fetched_points, soil_cells, weather_cells
 from firelake.operators.dedup import dedup_insert, skip_loaded_windows
-from firelake.schemas import ENVIRONMENT, FIRES, WEATHER
+from firelake.schemas import ENVIRONMENT, FIRES, SOIL_CELLS_PER_RUN, WEATHER, WEATHER_CELLS_PER_RUN
 from firelake.sources.csv import Window, scan_window_list
 from firelake.sources.payloads import parse_forecast_json, parse_soil_json
 from firelake.sources.tables import append_rows, scan_or_empty
@@ -45,18 +46,19 @@ def stored_days(table: DataFrame, batch: DataFrame) -> DataFrame:
 def insert_detections(spark: SparkSession, batch: DataFrame, path: str, source: str) -> Counts:
     """Append the detections the table does not hold, and count.
 
-    The counts are observed while the rows pass, so nothing is read again for them.
-    Inserting the same batch twice adds nothing the second time.
+    The inserted rows are counted while they are written, so nothing is joined again for
+    it. Inserting the same batch twice adds nothing the second time.
     """
     batch = batch.select(*FIRES.fieldNames()).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows_in = batch.count()
+        if rows_in == 0:
+            return Counts(0, 0, 0)
         known = stored_days(scan_or_empty(spark, path, FIRES), batch)
-        inserted = Observation()
-        fresh = dedup_insert(batch, known).observe(inserted, F.count(F.lit(1)).alias("n"))
-        append_rows(fresh, path, FIRES, "acq_date", source)
-        n = inserted.get["n"] if rows_in else 0
-        return Counts(rows_in, n, rows_in - n)
+        written = Observation()
+        append_rows(dedup_insert(batch, known), path, FIRES, "acq_date", source, written)
+        inserted = written.get["rows"]
+        return Counts(rows_in, inserted, rows_in - inserted)
     finally:
         batch.unpersist()
 
@@ -76,20 +78,26 @@ def backfill(spark: SparkSession, windows: Iterable[Window], path: str, source:
 
 
 def _enrich(
-    points: DataFrame, payloads: DataFrame, path: str, schema, parse, obs_date: str, fetched_at: str
+    points: DataFrame,
+    payloads: DataFrame,
+    path: str,
+    schema: T.StructType,
+    parse: Callable[[DataFrame], DataFrame],
+    obs_date: str,
+    fetched_at: str,
 ) -> int:
     spark = points.sparkSession
     wanted = skip_fetched_points(points, scan_or_empty(spark, path, schema), obs_date)
     readings = parse(payloads.join(wanted, ["latitude", "longitude"], "left_semi")).withColumns(
         {"obs_date": F.lit(obs_date), "fetched_at": F.lit(fetched_at).cast("timestamp")}
     )
-    seen = Observation()
-    append_rows(readings.observe(seen, F.count(F.lit(1)).alias("n")), path, schema)
-    return seen.get["n"]
+    written = Observation()
+    append_rows(readings, path, schema, written=written)
+    return written.get["rows"]
 
 
 def ingest_weather(
-    fires: DataFrame, payloads: DataFrame, path: str, obs_date: str, fetched_at: str, limit: int | None = 50
+    fires: DataFrame, payloads: DataFrame, path: str, obs_date: str, fetched_at: str, limit: int | None = WEATHER_CELLS_PER_RUN
 ) -> int:
     """Store the forecast of each detection cell not stored today; returns rows added.
 
@@ -100,7 +108,7 @@ def ingest_weather(
 
 
 def ingest_soil(
-    fires: DataFrame, payloads: DataFrame, path: str, obs_date: str, fetched_at: str, limit: int | None = 100
+    fires: DataFrame, payloads: DataFrame, path: str, obs_date: str, fetched_at: str, limit: int | None = SOIL_CELLS_PER_RUN
 ) -> int:
     """As `ingest_weather`, for soil moisture, vapour pressure deficit and evapotranspiration."""
     cells = soil_cells(fires, limit)

@@ -67,8 +67,8 @@ def select_newest(
 
 def latest_fires(
     fires: DataFrame,
-    weather: DataFrame,
-    soil: DataFrame,
+    weather: DataFrame | None = None,
+    soil: DataFrame | None = None,
     region: str | None = None,
     confidence: str | None = None,
     limit: int = RESULT_LIMIT,
@@ -80,17 +80,19 @@ def latest_fires(
     """Newest detections as API records, scored from the last reading of their cell.
 
     The limit comes before the joins, so they see at most `limit` rows. Without a model
-    the score needs no reading, and the optimizer drops both joins.
+    the score needs no reading, so nothing is joined.
     """
     newest = select_newest(fires, region, confidence, limit, tie_break)
+    if model is None:
+        return project_api(score(newest, None, allow_fallback))
     features = latest_features(newest, weather, soil, order)
-    return project_api(score(features, model, allow_fallback)).orderBy(*newest_first())
+    return project_api(score(features, model)).orderBy(*newest_first())
 
 
 def latest_features(
-    newest: DataFrame, weather: DataFrame, soil: DataFrame, order: Sequence[str] = ("fetched_at",)
+    newest: DataFrame, weather: DataFrame | None, soil: DataFrame | None, order: Sequence[str] = ("fetched_at",)
 ) -> DataFrame:
-    """The model's features for a bounded list of detections."""
+    """The model's features for a bounded list of detections; a table not given counts as empty."""
     return detection_features(join_conditions_bounded(newest, weather, soil, "last", order), missing_time="0000")
 
 

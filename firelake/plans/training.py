@@ -23,6 +23,7 @@ from firelake.operators.evaluation import (
 from firelake.plans.features import feature_matrix
 from firelake.plans.scoring import feature_importances, score
 from firelake.schemas import DETECTION_KEY, FEATURES
+from firelake.sources.sinks import save_model, write_metrics_json
 
 SEED = 42
 TREES = 100
@@ -81,17 +82,17 @@ def evaluate(scored: DataFrame, score_column: str = "risk", label: str = "label"
     }
 
 
-def metrics_row(trained: Trained, trees: int = TREES, test_percent: int = TEST_PERCENT) -> DataFrame:
+def metrics_row(trained: Trained, n_rows: int, trees: int = TREES, test_percent: int = TEST_PERCENT) -> DataFrame:
     """One row with settings, quality and importances, as written to the metrics file."""
     spark = trained.scored_test.sparkSession
     measures = evaluate(trained.scored_test)
     importances = feature_importances(spark, trained.model).agg(
         F.map_from_entries(F.collect_list(F.struct("feature", "importance"))).alias("feature_importances")
     )
-    quality = measures["confusion"].drop("tp", "fp", "fn", "tn")
-    return quality.select(
+    return measures["confusion"].select(
         F.lit("RandomForestClassifier").alias("model"),
         F.lit(trees).alias("n_estimators"),
+        F.lit(n_rows).alias("n_rows"),
         F.lit(len(FEATURES)).alias("n_features"),
         F.lit(test_percent / 100).alias("test_size"),
         "accuracy",
@@ -99,5 +100,41 @@ def metrics_row(trained: Trained, trees: int = TREES, test_percent: int = TEST_P
         "recall",
         "f1",
         measures["roc_auc"].scalar().alias("auc_roc"),
+        measures["average_precision"].scalar().alias("average_precision"),
         importances.scalar().alias("feature_importances"),
     )
+
+
+def run_training(
+    fires: DataFrame,
+    weather: DataFrame | None,
+    soil: DataFrame | None,
+    artifacts: str,
+    trees: int = TREES,
+    max_depth: int = MAX_DEPTH,
+    test_percent: int = TEST_PERCENT,
+    key: Sequence[str] = tuple(DETECTION_KEY),
+    order: Sequence[str] = ("fetched_at",),
+) -> str:
+    """Train, measure, and store model, metadata and metrics under `artifacts`.
+
+    The measures pass over the scored test rows several times; only their score and label
+    are kept for it.
+    """
+    spark = fires.sparkSession
+    fitted = train(fires, weather, soil, key, order, trees, max_depth, test_percent)
+    scored = fitted.scored_test.select("label", "risk").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n_rows = fires.count()
+        metrics = metrics_row(Trained(fitted.model, scored), n_rows, trees, test_percent)
+        write_metrics_json(metrics, f"{artifacts}/metrics")
+    finally:
+        scored.unpersist()
+    about = {
+        "model": "RandomForestClassifier",
+        "n_rows": n_rows,
+        "n_estimators": trees,
+        "test_size": test_percent / 100,
+        "features": FEATURES,
+    }
+    return save_model(spark, fitted.model, artifacts, about)

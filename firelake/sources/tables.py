@@ -7,7 +7,7 @@ reader of the root sees both.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,16 +46,20 @@ def append_rows(
     schema: T.StructType,
     partition_by: str | None = None,
     source: str | None = None,
+    written: Observation | None = None,
 ) -> None:
-    """Append in schema order, matched by name.
+    """Append in schema order, matched by name; `written` counts the rows on their way.
 
     The rebalance hint gathers the rows of a partition value into few files and, under
     adaptive execution, splits a value that holds most of the rows over many tasks.
     """
     rows = rows.select(*schema.fieldNames())
+    if partition_by is not None:
+        rows = rows.hint("rebalance", F.col(partition_by))
+    if written is not None:
+        # Above the shuffle, where it also stays when no row comes through.
+        rows = rows.observe(written, F.count(F.lit(1)).alias("rows"))
     if source is not None:
         path = f"{path.rstrip('/')}/source={source}"
-    if partition_by is None:
-        rows.write.mode("append").parquet(path)
-    else:
-        rows.hint("rebalance", F.col(partition_by)).write.mode("append").partitionBy(partition_by).parquet(path)
+    writer = rows.write.mode("append")
+    (writer if partition_by is None else writer.partitionBy(partition_by)).parquet(path)
