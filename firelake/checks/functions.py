@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firelake import functions as fn
@@ -25,10 +28,13 @@ FALLBACK = (
 )
 
 
-def _columns(view: str, sql_columns: dict[str, str], **columns) -> Query:
-    """A query of `event_id` and the given columns over one view."""
+def _columns(view: str, sql_columns: dict[str, str], **columns: Callable[[], Column]) -> Query:
+    """A query of `event_id` and the given columns over one view.
+
+    Columns are made when the query runs, as they need a session.
+    """
     return Query(
-        over(view, build=lambda rows: rows.select("event_id", *[c.alias(n) for n, c in columns.items()])),
+        over(view, build=lambda rows: rows.select("event_id", *[make().alias(n) for n, make in columns.items()])),
         with_views(
             f"SELECT event_id, {', '.join(f'{text} AS {name}' for name, text in sql_columns.items())} FROM {view}", view
         ),
@@ -56,7 +62,7 @@ def queries() -> dict[str, Query]:
     readable = "datetime_text IS NOT NULL AND datetime_text <> 'oops'"
     folder = "split_part(split_part(nodeid, '::', 1), '/', -2)"
     stem = "replace(replace(split_part(split_part(nodeid, '::', 1), '/', -1), 'test_', ''), '.py', '')"
-    parts = [c("latitude"), c("longitude"), c("acq_date"), c("acq_time"), c("bright_ti4"), c("frp"), c("event_id")]
+    parts = ("latitude", "longitude", "acq_date", "acq_time", "bright_ti4", "frp", "event_id")
 
     def id_text(name: str) -> str:
         return f"coalesce(regexp_replace(CAST({name} AS VARCHAR), '\\.0$', ''), 'na')"
@@ -65,7 +71,7 @@ def queries() -> dict[str, Query]:
         "confidence_label": _columns(
             "texts",
             {"label": f"CASE WHEN {TRIMMED} IN ('h', 'high') THEN 1 ELSE 0 END"},
-            label=fn.confidence_label(c("confidence_text")),
+            label=lambda: fn.confidence_label(c("confidence_text")),
         ),
         "confidence_norm": _columns(
             "texts",
@@ -73,8 +79,8 @@ def queries() -> dict[str, Query]:
                 "shown": f"coalesce(nullif({LEVEL.format(TRIMMED)}, ''), 'unknown')",
                 "ingested": LEVEL.format("lower(trim(coalesce(nullif(confidence_text, ''), 'medium')))"),
             },
-            shown=fn.confidence_norm(c("confidence_text")),
-            ingested=fn.ingest_confidence(c("confidence_text")),
+            shown=lambda: fn.confidence_norm(c("confidence_text")),
+            ingested=lambda: fn.ingest_confidence(c("confidence_text")),
         ),
         "confidence_rank": _columns(
             "texts",
@@ -82,9 +88,9 @@ def queries() -> dict[str, Query]:
                 "rank": "CASE lower(confidence_text) WHEN 'high' THEN 3 WHEN 'nominal' THEN 2 WHEN 'medium' THEN 2"
                 " WHEN 'low' THEN 1 ELSE 0 END"
             },
-            rank=fn.confidence_rank(c("confidence_text")),
+            rank=lambda: fn.confidence_rank(c("confidence_text")),
         ),
-        "fallback_risk": _columns("fires", {"risk": FALLBACK}, risk=fn.fallback_risk(c("bright_ti4"), c("frp"))),
+        "fallback_risk": _columns("fires", {"risk": FALLBACK}, risk=lambda: fn.fallback_risk(c("bright_ti4"), c("frp"))),
         "risk_or_fallback": Query(
             over(
                 "fires",
@@ -108,7 +114,7 @@ def queries() -> dict[str, Query]:
                 " WHEN coalesce(bright_ti4, 0e0) >= 320e0 OR coalesce(frp, 0e0) >= 20e0 THEN 'warning'"
                 " ELSE 'monitor' END"
             },
-            severity=fn.severity(c("bright_ti4"), c("frp")),
+            severity=lambda: fn.severity(c("bright_ti4"), c("frp")),
         ),
         "marker_style": _columns(
             "fires",
@@ -117,19 +123,19 @@ def queries() -> dict[str, Query]:
                 " ELSE '#ffd43b' END",
                 "radius": "least(12e0, 3e0 + coalesce(frp, 0e0) / 10e0)",
             },
-            color=fn.marker_color(c("bright_ti4")),
-            radius=fn.marker_radius(c("frp")),
+            color=lambda: fn.marker_color(c("bright_ti4")),
+            radius=lambda: fn.marker_radius(c("frp")),
         ),
-        "parse_wind_kmh": _columns("texts", {"wind_speed_kmh": wind}, wind_speed_kmh=fn.parse_wind_kmh(c("wind_text"))),
+        "parse_wind_kmh": _columns("texts", {"wind_speed_kmh": wind}, wind_speed_kmh=lambda: fn.parse_wind_kmh(c("wind_text"))),
         "fahrenheit_to_c": _columns(
             "texts",
             {"temp_c": "round((coalesce(fahrenheit, 0e0) - 32e0) * 5e0 / 9e0 * 1e1) / 1e1"},
-            temp_c=fn.fahrenheit_to_c(c("fahrenheit")),
+            temp_c=lambda: fn.fahrenheit_to_c(c("fahrenheit")),
         ),
         "humidity_pct": _columns(
             "texts",
             {"humidity_pct": "round(coalesce(humidity, 0e0) * 1e1) / 1e1"},
-            humidity_pct=fn.humidity_pct(c("humidity")),
+            humidity_pct=lambda: fn.humidity_pct(c("humidity")),
         ),
         "hour_month": Query(
             over(
@@ -145,10 +151,10 @@ def queries() -> dict[str, Query]:
         "degree_bins": _columns(
             "fires",
             {"lat_bin": "CAST(floor(latitude) AS INTEGER)", "lon_bin": "CAST(floor(longitude) AS INTEGER)"},
-            lat_bin=fn.degree_bin(c("latitude")),
-            lon_bin=fn.degree_bin(c("longitude")),
+            lat_bin=lambda: fn.degree_bin(c("latitude")),
+            lon_bin=lambda: fn.degree_bin(c("longitude")),
         ),
-        "pad_time": _columns("texts", {"acq_time": PADDED}, acq_time=fn.pad_time(c("time_text"))),
+        "pad_time": _columns("texts", {"acq_time": PADDED}, acq_time=lambda: fn.pad_time(c("time_text"))),
         "fire_id": _columns(
             "fires",
             {
@@ -157,7 +163,7 @@ def queries() -> dict[str, Query]:
                     + [id_text("bright_ti4"), id_text("frp"), "CAST(event_id AS VARCHAR)"]
                 )
             },
-            id=fn.fire_id(*parts),
+            id=lambda: fn.fire_id(*[c(name) for name in parts]),
         ),
         "yearday_to_date": _columns(
             "texts",
@@ -165,7 +171,7 @@ def queries() -> dict[str, Query]:
                 "acq_date": f"CASE WHEN {known} THEN strftime(make_date(CAST(substr(yearday_text, 1, 4) AS INTEGER), 1, 1)"
                 f" + ({day} - 1), '%Y-%m-%d') END"
             },
-            acq_date=fn.yearday_to_date(c("yearday_text")),
+            acq_date=lambda: fn.yearday_to_date(c("yearday_text")),
         ),
         "datetime_split": _columns(
             "texts",
@@ -173,17 +179,17 @@ def queries() -> dict[str, Query]:
                 "acq_date": f"CASE WHEN {readable} THEN {zoneless} END",
                 "acq_time": f"CASE WHEN {readable} THEN {clock} END",
             },
-            acq_date=fn.datetime_date(c("datetime_text")),
-            acq_time=fn.datetime_time(c("datetime_text")),
+            acq_date=lambda: fn.datetime_date(c("datetime_text")),
+            acq_time=lambda: fn.datetime_time(c("datetime_text")),
         ),
         "to_number": _columns(
-            "texts", {"number": "try_cast(trim(number_text) AS DOUBLE)"}, number=fn.to_number(c("number_text"))
+            "texts", {"number": "try_cast(trim(number_text) AS DOUBLE)"}, number=lambda: fn.to_number(c("number_text"))
         ),
         "date_time_default": _columns(
             "texts",
             {"acq_date": f"coalesce(date_text, '{RUN_DATE}')", "acq_time": f"coalesce({PADDED}, '0000')"},
-            acq_date=fn.default_date(c("date_text"), RUN_DATE),
-            acq_time=fn.default_time(c("time_text")),
+            acq_date=lambda: fn.default_date(c("date_text"), RUN_DATE),
+            acq_time=lambda: fn.default_time(c("time_text")),
         ),
         "shorten_test_id": Query(
             over("results", build=lambda rows: rows.select("position", fn.shorten_test_id(c("nodeid")).alias("test"))),
@@ -218,7 +224,7 @@ def queries() -> dict[str, Query]:
     }
 
 
-def _aliased(fires):
+def _aliased(fires: DataFrame) -> DataFrame:
     """Detections under another header, read back by field name."""
     header = fires.select(
         "event_id",

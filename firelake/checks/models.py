@@ -41,30 +41,33 @@ def matrix(fires: DataFrame, weather: DataFrame, soil: DataFrame) -> DataFrame:
     return feature_matrix(fires, weather, soil, order=ORDER, carry=("event_id",))
 
 
-def trained(spark: SparkSession, sf_dir: str) -> Trained:
+def _tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     made: dict[str, DataFrame] = {}
-    tables = [view(spark, sf_dir, name, made) for name in ("fires", *SIDE)]
-    return train(*tables, key=("event_id",), order=ORDER, trees=TREES, max_depth=DEPTH)
+    return [view(spark, sf_dir, name, made) for name in ("fires", *SIDE)]
 
 
-def _run(spark: SparkSession, sf_dir: str) -> str:
-    made: dict[str, DataFrame] = {}
-    tables = [view(spark, sf_dir, name, made) for name in ("fires", *SIDE)]
+def _run(job, spark: SparkSession, sf_dir: str) -> tuple[str, Trained]:
     artifacts = work_dir(spark, "artifacts")
-    run_training(*tables, artifacts, trees=TREES, max_depth=DEPTH, key=("event_id",), order=ORDER)
-    return artifacts
+    settings = {"trees": TREES, "max_depth": DEPTH, "key": ("event_id",), "order": ORDER}
+    return artifacts, job(*_tables(spark, sf_dir), artifacts, **settings)
+
+
+def _scored_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(train, spark, sf_dir)[1].scored_test.select("label", "risk")
 
 
 def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every detection scored by a model that was stored and read back."""
-    made: dict[str, DataFrame] = {}
-    rows = matrix(*[view(spark, sf_dir, name, made) for name in ("fires", *SIDE)])
-    model = load_model(spark, _run(spark, sf_dir))
-    return score(rows, model).select("event_id", "label", "risk")
+    """Every detection scored by the model that was stored."""
+    artifacts, _ = _run(train, spark, sf_dir)
+    return score(matrix(*_tables(spark, sf_dir)), load_model(spark, artifacts)).select("event_id", "label", "risk")
+
+
+def _importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feature_importances(spark, _run(train, spark, sf_dir)[1].model)
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.json(f"{_run(spark, sf_dir)}/metrics").select("metrics.*")
+    return spark.read.json(f"{_run(run_training, spark, sf_dir)[0]}/metrics").select("metrics.*")
 
 
 def _report_sql() -> str:
@@ -151,12 +154,8 @@ def queries() -> dict[str, Query]:
         ),
         "classification_report": Query(over("scored", build=evaluation.classification_report), _report_sql()),
         # A trained forest has no SQL form: rows only.
-        "fit_forest_score": Query(lambda spark, sf_dir: trained(spark, sf_dir).scored_test.select("label", "risk")),
+        "fit_forest_score": Query(_scored_test),
         "save_load_model": Query(_saved),
-        "rank_importances": Query(
-            lambda spark, sf_dir: feature_importances(spark, trained(spark, sf_dir).model)
-        ),
+        "rank_importances": Query(_importances),
         "write_metrics_json": Query(_metrics),
     }
-
-

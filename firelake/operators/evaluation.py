@@ -73,7 +73,7 @@ def _ranked(rows: DataFrame, score: str, label: str, digits: int) -> DataFrame:
     as_double = [F.col(n).cast("double").alias(n) for n in ("pos", "neg", "all_pos", "all_neg")]
     return (
         per_tick.withColumns({"in_pos": F.sum("pos").over(inside), "in_neg": F.sum("neg").over(inside)})
-        .join(bands, "band")
+        .join(bands, "band", "left")
         .select(
             *as_double,
             (F.col("above_pos") + F.col("in_pos")).cast("double").alias("cum_pos"),

@@ -23,7 +23,7 @@ from firelake.operators.evaluation import (
 from firelake.plans.features import feature_matrix
 from firelake.plans.scoring import feature_importances, score
 from firelake.schemas import DETECTION_KEY, FEATURES
-from firelake.sources.sinks import save_model, write_metrics_json
+from firelake.sources.sinks import load_model, save_model, write_metrics_json
 
 SEED = 42
 TREES = 100
@@ -36,6 +36,7 @@ QUALITY_DIGITS = 6
 class Trained(NamedTuple):
     model: PipelineModel
     scored_test: DataFrame
+    about: dict[str, object]
 
 
 def fit_forest(train: DataFrame, trees: int = TREES, max_depth: int = MAX_DEPTH, seed: int = SEED) -> PipelineModel:
@@ -49,27 +50,38 @@ def fit_forest(train: DataFrame, trees: int = TREES, max_depth: int = MAX_DEPTH,
 
 def train(
     fires: DataFrame,
-    weather: DataFrame | None = None,
-    soil: DataFrame | None = None,
+    weather: DataFrame | None,
+    soil: DataFrame | None,
+    artifacts: str,
     key: Sequence[str] = tuple(DETECTION_KEY),
     order: Sequence[str] = ("fetched_at",),
     trees: int = TREES,
     max_depth: int = MAX_DEPTH,
     test_percent: int = TEST_PERCENT,
 ) -> Trained:
-    """Feature matrix, split, fit, and the scored test rows.
+    """Feature matrix, split, fit; the stored model, and the test rows it scored.
 
     The training rows are read once per tree level, so they are kept for the fit: spread
-    over the executors, spilling to disk, and rebuilt from the tables if one is lost.
+    over the executors, spilling to disk, and rebuilt from the tables if one is lost. The
+    test rows are scored with the model as read back: a fresh one holds its training
+    summary, and with it the session, which cannot be sent to executors.
     """
     matrix = feature_matrix(fires, weather, soil, order=order, carry=key)
-    split = stratified_split(matrix, key, test_percent).drop(*[k for k in key if k not in FEATURES])
+    split = stratified_split(matrix, key, test_percent).drop(*key)
     training = split.where(~F.col("is_test")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = fit_forest(training, trees, max_depth)
+        about = {
+            "model": "RandomForestClassifier",
+            "n_rows": fires.count(),
+            "n_estimators": trees,
+            "test_size": test_percent / 100,
+            "features": FEATURES,
+        }
+        save_model(fires.sparkSession, fit_forest(training, trees, max_depth), artifacts, about)
     finally:
         training.unpersist()
-    return Trained(model, score(split.where("is_test"), model, digits=QUALITY_DIGITS))
+    model = load_model(fires.sparkSession, artifacts)
+    return Trained(model, score(split.where("is_test"), model, digits=QUALITY_DIGITS), about)
 
 
 def evaluate(scored: DataFrame, score_column: str = "risk", label: str = "label") -> dict[str, DataFrame]:
@@ -82,19 +94,17 @@ def evaluate(scored: DataFrame, score_column: str = "risk", label: str = "label"
     }
 
 
-def metrics_row(trained: Trained, n_rows: int, trees: int = TREES, test_percent: int = TEST_PERCENT) -> DataFrame:
+def metrics_row(trained: Trained) -> DataFrame:
     """One row with settings, quality and importances, as written to the metrics file."""
     spark = trained.scored_test.sparkSession
     measures = evaluate(trained.scored_test)
     importances = feature_importances(spark, trained.model).agg(
         F.map_from_entries(F.collect_list(F.struct("feature", "importance"))).alias("feature_importances")
     )
+    settings = {name: value for name, value in trained.about.items() if name != "features"}
     return measures["confusion"].select(
-        F.lit("RandomForestClassifier").alias("model"),
-        F.lit(trees).alias("n_estimators"),
-        F.lit(n_rows).alias("n_rows"),
+        *[F.lit(value).alias(name) for name, value in settings.items()],
         F.lit(len(FEATURES)).alias("n_features"),
-        F.lit(test_percent / 100).alias("test_size"),
         "accuracy",
         "precision",
         "recall",
@@ -110,31 +120,17 @@ def run_training(
     weather: DataFrame | None,
     soil: DataFrame | None,
     artifacts: str,
-    trees: int = TREES,
-    max_depth: int = MAX_DEPTH,
-    test_percent: int = TEST_PERCENT,
-    key: Sequence[str] = tuple(DETECTION_KEY),
-    order: Sequence[str] = ("fetched_at",),
-) -> str:
-    """Train, measure, and store model, metadata and metrics under `artifacts`.
+    **settings: object,
+) -> Trained:
+    """Train, measure, and leave model, metadata and metrics under `artifacts`.
 
     The measures pass over the scored test rows several times; only their score and label
     are kept for it.
     """
-    spark = fires.sparkSession
-    fitted = train(fires, weather, soil, key, order, trees, max_depth, test_percent)
+    fitted = train(fires, weather, soil, artifacts, **settings)
     scored = fitted.scored_test.select("label", "risk").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n_rows = fires.count()
-        metrics = metrics_row(Trained(fitted.model, scored), n_rows, trees, test_percent)
-        write_metrics_json(metrics, f"{artifacts}/metrics")
+        write_metrics_json(metrics_row(fitted._replace(scored_test=scored)), f"{artifacts}/metrics")
     finally:
         scored.unpersist()
-    about = {
-        "model": "RandomForestClassifier",
-        "n_rows": n_rows,
-        "n_estimators": trees,
-        "test_size": test_percent / 100,
-        "features": FEATURES,
-    }
-    return save_model(spark, fitted.model, artifacts, about)
+    return fitted
