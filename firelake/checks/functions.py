@@ -96,7 +96,7 @@ def queries() -> dict[str, Query]:
                 "fires",
                 "texts",
                 build=lambda fires, texts: fires.join(texts, "event_id").select(
-                    "event_id", fn.risk_or_fallback(c("risk_text"), c("bright_ti4"), c("frp")).alias("risk")
+                    "event_id", fn.risk_or_fallback(fn.risk_from_text(c("risk_text")), c("bright_ti4"), c("frp")).alias("risk")
                 ),
             ),
             with_views(

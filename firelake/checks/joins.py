@@ -13,8 +13,10 @@ from firelake.schemas import DETECTION_KEY, SOIL_VALUES, WEATHER_VALUES
 
 KEY = ", ".join(DETECTION_KEY)
 SAME_KEY = " AND ".join(f"t.{k} = b.{k}" for k in DETECTION_KEY)
-BATCH = "SELECT event_id, " + KEY + " FROM fires WHERE event_id % 3 = 0"
-TABLE = "SELECT event_id, " + KEY + " FROM fires WHERE event_id % 2 = 0"
+# The batch is every detection; the table holds those of one feed.
+STORED = "confidence IN ('h', 'High', 'n')"
+BATCH = f"SELECT event_id, {KEY} FROM fires"
+TABLE = f"SELECT event_id, {KEY} FROM fires WHERE {STORED}"
 
 
 def _chosen(table: str, values: list[str], direction: str) -> str:
@@ -41,11 +43,11 @@ def _reading_join(join, table: str, values: list[str], keep: str) -> Query:
 
 
 def _batch(fires):
-    return fires.select("event_id", *DETECTION_KEY).where("event_id % 3 = 0")
+    return fires.select("event_id", *DETECTION_KEY)
 
 
 def _table(fires):
-    return fires.select("event_id", *DETECTION_KEY).where("event_id % 2 = 0")
+    return fires.where(STORED).select("event_id", *DETECTION_KEY)
 
 
 def _windows(fires):
@@ -127,13 +129,11 @@ def queries() -> dict[str, Query]:
             over(
                 "fires",
                 build=lambda fires: dedup.union_sources(
-                    _table(fires),
-                    filter_confidence_normalized(fires, "high").where("event_id % 2 = 1").select(*DETECTION_KEY, "event_id"),
+                    _table(fires), filter_confidence_normalized(fires, "low").select(*DETECTION_KEY, "event_id")
                 ),
             ),
             with_views(
-                f"SELECT event_id, {KEY} FROM fires WHERE event_id % 2 = 0 OR (event_id % 2 = 1"
-                " AND lower(trim(confidence)) IN ('h', 'high'))",
+                f"{TABLE} UNION ALL SELECT event_id, {KEY} FROM fires WHERE lower(trim(confidence)) IN ('l', 'low')",
                 "fires",
             ),
         ),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firelake.checks.joins import STORED
 from firelake.checks.query import Query, over
 from firelake.checks.rows import API, LEVEL, NEWEST, US
 from firelake.checks.views import view, with_views
@@ -88,16 +89,16 @@ def _hms(form: str):
 def _append(spark: SparkSession, sf_dir: str) -> DataFrame:
     fires, table = detections(spark, sf_dir), work_dir(spark, "fires")
     ensure_table(spark, table, FIRES)
-    append_rows(fires.where("event_id % 2 = 0"), table, FIRES)
-    append_rows(fires.where("event_id % 2 = 1"), table, FIRES)
+    append_rows(fires.where(STORED), table, FIRES)
+    append_rows(fires.where(f"NOT {STORED}"), table, FIRES)
     return scan_table(spark, table, FIRES)
 
 
 def stored_fires(spark: SparkSession, sf_dir: str) -> str:
     """A partitioned fires table with the detections of two feeds."""
     fires, table = detections(spark, sf_dir), work_dir(spark, "stored")
-    append_rows(fires.where("event_id % 4 > 0"), table, FIRES, "acq_date", "satellite")
-    append_rows(fires.where("event_id % 4 = 0"), table, FIRES, "acq_date", "smoke")
+    append_rows(fires.where(STORED), table, FIRES, "acq_date", "satellite")
+    append_rows(fires.where(f"NOT {STORED}"), table, FIRES, "acq_date", "smoke")
     return table
 
 
@@ -127,7 +128,7 @@ def _all_api_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings stored for the cells of every detection; half of them are there already."""
+    """Readings stored for the cells of every detection; the northern ones are there already."""
     fires, table = detections(spark, sf_dir), work_dir(spark, "weather")
     point = "round(latitude * 1e2) / 1e2 AS latitude", "round(longitude * 1e2) / 1e2 AS longitude"
     cell = fires.selectExpr("event_id % 4000 AS fold", *point).distinct()
@@ -136,7 +137,7 @@ def _enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
         " \"temperature\": ' || CAST(fold % 120 AS STRING) || '}]}}' AS payload"
     )
     payloads = cell.selectExpr("latitude", "longitude", payload)
-    there = cell.where("fold % 2 = 0").selectExpr(
+    there = cell.where("latitude >= 37").selectExpr(
         "latitude", "longitude", f"'{RUN_DATE}' AS obs_date", "0D AS wind_speed_kmh", "0D AS humidity_pct",
         "0D AS temp_c", f"TIMESTAMP '{RUN_DATE} 00:00:00' AS fetched_at",
     )
@@ -242,10 +243,10 @@ def queries() -> dict[str, Query]:
         "ingest_weather": Query(
             _enrichment,
             with_views(
-                "SELECT latitude, longitude, '2024-02-01' AS obs_date, CASE WHEN fold % 2 = 0 THEN 0e0 ELSE"
+                "SELECT latitude, longitude, '2024-02-01' AS obs_date, CASE WHEN latitude >= 37e0 THEN 0e0 ELSE"
                 " round((fold % 40) * 1.60934e0 * 1e2) / 1e2 END AS wind_speed_kmh, 0e0 AS humidity_pct,"
-                " CASE WHEN fold % 2 = 0 THEN 0e0 ELSE round(((fold % 120) - 32e0) * 5e0 / 9e0 * 1e1) / 1e1 END AS temp_c"
-                " FROM cell WHERE fold % 2 = 0 OR covered",
+                " CASE WHEN latitude >= 37e0 THEN 0e0 ELSE round(((fold % 120) - 32e0) * 5e0 / 9e0 * 1e1) / 1e1 END AS temp_c"
+                " FROM cell WHERE latitude >= 37e0 OR covered",
                 "fires",
                 cell="SELECT event_id % 4000 AS fold, round(latitude * 1e2) / 1e2 AS latitude, round(longitude * 1e2) / 1e2"
                 " AS longitude, bool_or(latitude BETWEEN 24e0 AND 48.5e0 AND longitude BETWEEN -125e0 AND -66.5e0) AS covered"

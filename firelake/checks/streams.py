@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firelake.checks.joins import STORED
 from firelake.checks.query import Query
 from firelake.checks.rows import LEVEL, US
 from firelake.checks.sources import COLUMNS, HMS, detections, land_csv
@@ -15,6 +16,8 @@ from firelake.sources.tables import scan_table
 from firelake.streaming import detection_feed, hms_feed, poll_once, stream_dedup
 
 KEY = ", ".join(DETECTION_KEY)
+# Seen by the second feed too.
+SMOKE = "confidence IN ('n', 'medium')"
 
 
 def _ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +30,11 @@ def _ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda s: detection_feed(s, f"{root}/satellite"),
         lambda s: hms_feed(s, f"{root}/smoke"),
     ]
-    satellite = fires.select("event_id", *FIRES.fieldNames())
-    land_csv(satellite.where("event_id % 2 = 0").drop("event_id"), f"{root}/satellite")
-    land_csv(fires.where("event_id % 5 = 0").selectExpr(*smoke_header), f"{root}/smoke")
+    satellite = fires.select(*FIRES.fieldNames())
+    land_csv(satellite.where(STORED), f"{root}/satellite")
+    land_csv(fires.where(SMOKE).selectExpr(*smoke_header), f"{root}/smoke")
     poll_once(spark, feeds, table, f"{root}/checkpoint")
-    land_csv(satellite.where("event_id % 3 = 0").drop("event_id"), f"{root}/satellite")
+    land_csv(satellite, f"{root}/satellite")
     poll_once(spark, feeds, table, f"{root}/checkpoint")
     poll_once(spark, feeds, table, f"{root}/checkpoint")
     return scan_table(spark, table, FIRES)
@@ -57,18 +60,18 @@ def queries() -> dict[str, Query]:
         ]
         return f"SELECT b.* FROM {batch} b WHERE {' AND '.join(conditions)}"
 
-    satellite = f"SELECT {COLUMNS} FROM fires WHERE {US} AND event_id % "
+    satellite = f"SELECT {COLUMNS} FROM fires WHERE {US}"
     return {
         "stream_ingest": Query(
             _ingest,
             with_views(
                 "SELECT * FROM first UNION ALL SELECT * FROM smoke UNION ALL SELECT * FROM second",
                 "fires",
-                first=satellite + "2 = 0",
-                landed_smoke=f"SELECT latitude, longitude, bright_ti4, CAST(NULL AS DOUBLE) AS bright_ti5, frp, acq_date,"
-                f" acq_time, {LEVEL} AS confidence FROM fires WHERE {US} AND event_id % 5 = 0",
+                first=f"{satellite} AND {STORED}",
+                landed_smoke="SELECT latitude, longitude, bright_ti4, CAST(NULL AS DOUBLE) AS bright_ti5, frp, acq_date,"
+                f" acq_time, {LEVEL} AS confidence FROM fires WHERE {US} AND {SMOKE}",
                 smoke=new("landed_smoke", "first"),
-                landed_second=satellite + "3 = 0",
+                landed_second=satellite,
                 second=new("landed_second", "first", "smoke"),
             ),
         ),

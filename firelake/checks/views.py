@@ -45,7 +45,7 @@ VIEWS: dict[str, tuple[str, list[str], str | None]] = {
             "ts AS fetched_at",
             "event_id AS seq",
         ],
-        "event_id % 2 = 0",
+        "confidence IN ('h', 'High', 'n')",
     ),
     "environmental_conditions": (
         "fires",
@@ -59,7 +59,7 @@ VIEWS: dict[str, tuple[str, list[str], str | None]] = {
             "ts AS fetched_at",
             "event_id AS seq",
         ],
-        "event_id % 4 = 0",
+        "confidence IN ('n', 'medium')",
     ),
     "scored": (
         "fires",

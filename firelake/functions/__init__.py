@@ -9,6 +9,7 @@ from firelake.functions.detection import (
     ingest_confidence,
     marker_color,
     marker_radius,
+    risk_from_text,
     risk_or_fallback,
     severity,
 )
@@ -49,6 +50,7 @@ __all__ = [
     "null_if_nan",
     "pad_time",
     "parse_wind_kmh",
+    "risk_from_text",
     "risk_or_fallback",
     "round_to",
     "severity",

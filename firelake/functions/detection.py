@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from firelake.functions.numbers import round_to
+from firelake.functions.numbers import null_if_nan, round_to
 
 BLANKS = " \t\r\n\x0b\x0c"
 
@@ -67,11 +67,15 @@ def fallback_risk(brightness: Column, frp: Column) -> Column:
     return round_to(F.least(raw, F.lit(1.0)), 4)
 
 
+def risk_from_text(risk: Column) -> Column:
+    """A risk that came as text; blank text reads as 0, other text as null."""
+    text = F.btrim(risk, F.lit(BLANKS))
+    return F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double"))
+
+
 def risk_or_fallback(risk: Column, brightness: Column, frp: Column) -> Column:
-    """The given risk when it reads as a number (blank text reads as 0), else the fallback."""
-    text = F.btrim(risk.cast("string"), F.lit(BLANKS))
-    given = F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double"))
-    return F.coalesce(F.nanvl(given, F.lit(None).cast("double")), fallback_risk(brightness, frp))
+    """The given risk when it is a number, else the fallback."""
+    return F.coalesce(null_if_nan(risk), fallback_risk(brightness, frp))
 
 
 def severity(brightness: Column, frp: Column) -> Column:
@@ -97,7 +101,9 @@ def marker_radius(frp: Column) -> Column:
 
 
 def _id_part(value: Column) -> Column:
-    text = F.regexp_replace(value.cast("string"), r"\.0$", "")
+    """A whole number is written without its fraction."""
+    whole = F.floor(value)
+    text = F.when(value == whole, whole.cast("string")).otherwise(value.cast("string"))
     return F.coalesce(text, F.lit("na"))
 
 

@@ -13,11 +13,10 @@ KMH_PER_MPH = 1.60934
 
 def parse_wind_kmh(text: Column) -> Column:
     """First word is the speed, last word the unit; no unit means mph."""
-    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
-    speed = to_number(F.get(words, F.lit(0)))
-    unit = F.when(F.size(words) > 1, F.lower(F.element_at(words, -1))).otherwise("mph")
-    kmh = F.when(unit == "mph", speed * F.lit(KMH_PER_MPH)).otherwise(speed)
-    return round_to(F.coalesce(kmh, F.lit(0.0)), 2)
+    words = F.split(F.trim(text), r"\s+")
+    in_mph = (F.size(words) == 1) | (F.lower(F.element_at(words, -1)) == "mph")
+    factor = F.when(in_mph, F.lit(KMH_PER_MPH)).otherwise(F.lit(1.0))
+    return round_to(F.coalesce(to_number(F.get(words, F.lit(0))) * factor, F.lit(0.0)), 2)
 
 
 def fahrenheit_to_c(fahrenheit: Column) -> Column:

@@ -10,7 +10,7 @@ tasks (it cannot when an aggregate sits between shuffle and join).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,21 +67,22 @@ def skip_fetched_points(points: DataFrame, observations: DataFrame, obs_date: st
 
 
 def _keyed(readings: DataFrame, values: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """Cell, the values as one struct, and what decides first and last."""
+    """Cell, and one struct of what decides first and last followed by the values.
+
+    Equal times are thereby settled by the values, so the choice is repeatable.
+    """
     lat_cell, lon_cell = cell_index(F.col("latitude")), cell_index(F.col("longitude"))
     return readings.select(
         lat_cell.alias("lat_cell"),
         lon_cell.alias("lon_cell"),
-        F.struct(*values).alias(name),
-        # Equal times are settled by the values, so the choice is repeatable.
-        F.struct(*order, *values).alias(f"{name}_order"),
+        F.struct(*order, *values).alias(name),
     ).where("lat_cell IS NOT NULL AND lon_cell IS NOT NULL")
 
 
-def _pick(keep: str):
+def _pick(keep: str) -> Callable[[str], Column]:
     if keep not in ("first", "last"):
         raise ValueError("keep must be 'first' or 'last'")
-    return F.min_by if keep == "first" else F.max_by
+    return F.min if keep == "first" else F.max
 
 
 def one_per_cell(
@@ -94,7 +95,7 @@ def one_per_cell(
     chosen = (
         _keyed(readings, values, order, "reading")
         .groupBy("lat_cell", "lon_cell")
-        .agg(_pick(keep)("reading", "reading_order").alias("reading"))
+        .agg(_pick(keep)("reading").alias("reading"))
     )
     return chosen.select(
         (F.col("lat_cell") / 100.0).alias("latitude"),
@@ -131,8 +132,8 @@ def cell_conditions(
         ]
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
     pick = _pick(keep)
-    # Rows of the other table have a null order and are passed over.
-    chosen = [pick(name, f"{name}_order").alias(name) for name in ("weather", "soil") if name in rows.columns]
+    # Rows of the other table are null here and are passed over.
+    chosen = [pick(name).alias(name) for name in ("weather", "soil") if name in rows.columns]
     return (
         rows.groupBy("lat_cell", "lon_cell")
         .agg(*chosen)

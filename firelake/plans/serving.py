@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from firelake.functions import confidence_norm, fire_id, risk_or_fallback, severity
+from firelake.functions import confidence_norm, fire_id, risk_from_text, risk_or_fallback, severity
 from firelake.operators.cells import join_conditions_bounded
 from firelake.operators.filters import check_confidence, check_region, filter_confidence_exact, filter_region
 from firelake.operators.ordering import newest_first, newest_rows
@@ -37,6 +38,8 @@ def project_prepared(records: DataFrame, position: str) -> DataFrame:
     """Display values of each record; `position` tells equal records apart."""
     lat, lon = F.col("lat").cast("double"), F.col("lon").cast("double")
     brightness, frp = F.col("brightness"), F.col("frp")
+    is_text = isinstance(records.schema["risk"].dataType, T.StringType)
+    risk = risk_from_text(F.col("risk")) if is_text else F.col("risk").cast("double")
     return records.select(
         lat.alias("lat"),
         lon.alias("lon"),
@@ -45,7 +48,7 @@ def project_prepared(records: DataFrame, position: str) -> DataFrame:
         confidence_norm(F.col("confidence")).alias("confidence"),
         "acq_date",
         "acq_time",
-        risk_or_fallback(F.col("risk"), brightness, frp).alias("risk"),
+        risk_or_fallback(risk, brightness, frp).alias("risk"),
         severity(brightness, frp).alias("severity"),
         fire_id(lat, lon, F.col("acq_date"), F.col("acq_time"), brightness, frp, F.col(position)).alias("id"),
     )

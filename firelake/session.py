@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Building a plan need not record the call site of every column.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

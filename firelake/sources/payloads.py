@@ -1,4 +1,9 @@
-"""Landed JSON payloads of the weather and soil services, one text column each."""
+"""Landed JSON payloads of the weather and soil services, one text column each.
+
+A payload is parsed in a generator (`inline`), which runs once per row. As a plain column
+it would be parsed again for every condition and value taken from it, since conditions
+are moved below the projection that holds it.
+"""
 
 from __future__ import annotations
 
@@ -25,35 +30,24 @@ SOIL = """hourly struct<soil_moisture_0_to_1cm: array<double>>,
 def parse_gridpoint_json(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Adds grid_id, grid_x, grid_y; a payload without all three is dropped."""
     props = F.from_json(F.col(payload), GRIDPOINT)["properties"]
+    kept = [name for name in payloads.columns if name != payload]
     return (
-        payloads.withColumn("_props", props)
-        .withColumns(
-            {
-                "grid_id": F.col("_props.gridId"),
-                "grid_x": F.col("_props.gridX"),
-                "grid_y": F.col("_props.gridY"),
-            }
-        )
-        .where("grid_id IS NOT NULL AND grid_x IS NOT NULL AND grid_y IS NOT NULL")
-        .drop("_props", payload)
+        payloads.select(*kept, F.inline(F.array(props)))
+        .where("gridId IS NOT NULL AND gridX IS NOT NULL AND gridY IS NOT NULL")
+        .withColumnsRenamed({"gridId": "grid_id", "gridX": "grid_x", "gridY": "grid_y"})
     )
 
 
 def parse_forecast_json(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Adds the readings of the first forecast period; a payload without one is dropped."""
     periods = F.from_json(F.col(payload), FORECAST)["properties"]["periods"]
-    return (
-        payloads.withColumn("_now", F.get(periods, F.lit(0)))
-        .where(F.col("_now").isNotNull())
-        .withColumns(
-            {
-                # An absent speed reads as no wind.
-                "wind_speed_kmh": parse_wind_kmh(F.col("_now.windSpeed")),
-                "humidity_pct": humidity_pct(F.col("_now.relativeHumidity.value")),
-                "temp_c": fahrenheit_to_c(to_number(F.col("_now.temperature"))),
-            }
-        )
-        .drop("_now", payload)
+    kept = [name for name in payloads.columns if name != payload]
+    return payloads.select(*kept, F.inline(F.slice(periods, 1, 1))).select(
+        *kept,
+        # An absent speed reads as no wind.
+        parse_wind_kmh(F.col("windSpeed")).alias("wind_speed_kmh"),
+        humidity_pct(F.col("relativeHumidity.value")).alias("humidity_pct"),
+        fahrenheit_to_c(to_number(F.col("temperature"))).alias("temp_c"),
     )
 
 
@@ -62,19 +56,21 @@ def parse_soil_json(payloads: DataFrame, payload: str = "payload") -> DataFrame:
 
     A missing series, or an empty daily one, drops the payload; a null value reads as 0.
     """
-    parsed = F.from_json(F.col(payload), SOIL)
-    hourly = F.col("_p.hourly.soil_moisture_0_to_1cm")
-    vpd = F.col("_p.daily.vapor_pressure_deficit_max")
-    et0 = F.col("_p.daily.et0_fao_evapotranspiration")
+    kept = [name for name in payloads.columns if name != payload]
+    hourly = F.col("hourly.soil_moisture_0_to_1cm")
+    vpd = F.col("daily.vapor_pressure_deficit_max")
+    et0 = F.col("daily.et0_fao_evapotranspiration")
 
     def first(series: Column) -> Column:
         return round_to(F.coalesce(F.get(series, F.lit(0)), F.lit(0.0)), 3)
 
     return (
-        payloads.withColumn("_p", parsed)
+        payloads.select(*kept, F.inline(F.array(F.from_json(F.col(payload), SOIL))))
         .where(hourly.isNotNull() & (F.size(vpd) > 0) & (F.size(et0) > 0))
-        .withColumns(
-            {"soil_moisture": array_mean_nonnull(hourly), "vpd_kpa": first(vpd), "et0_mm": first(et0)}
+        .select(
+            *kept,
+            array_mean_nonnull(hourly).alias("soil_moisture"),
+            first(vpd).alias("vpd_kpa"),
+            first(et0).alias("et0_mm"),
         )
-        .drop("_p", payload)
     )

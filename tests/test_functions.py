@@ -49,7 +49,7 @@ def test_fallback_risk_grows_with_both_inputs(spark):
 
 def test_risk_or_fallback(apply):
     def risk(value):
-        return fn.risk_or_fallback(value, F.lit(350.0), F.lit(50.0))
+        return fn.risk_or_fallback(fn.risk_from_text(value), F.lit(350.0), F.lit(50.0))
 
     assert apply(risk, ["0.25", " 0.5 ", "", "n/a", "NaN", None]) == [0.25, 0.5, 0.0, 0.6571, 0.6571, 0.6571]
 
