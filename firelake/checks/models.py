@@ -9,7 +9,7 @@ from firelake.checks.rows import FEATURE_LIST, JOIN_CONDITIONS, ORDER, SIDE
 from firelake.checks.views import view, with_views
 from firelake.operators import evaluation
 from firelake.plans.features import feature_matrix
-from firelake.plans.scoring import feature_importances, score
+from firelake.plans.scoring import feature_importances, predict, score
 from firelake.plans.training import Trained, run_training, train
 from firelake.session import work_dir
 from firelake.sources.sinks import load_model
@@ -62,6 +62,12 @@ def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(matrix(*_tables(spark, sf_dir)), load_model(spark, artifacts)).select("event_id", "label", "risk")
 
 
+def _predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = _tables(spark, sf_dir)
+    model = _run(train, spark, sf_dir)[1].model
+    return predict(*tables, model, order=ORDER, tie_break=("event_id",))
+
+
 def _importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_importances(spark, _run(train, spark, sf_dir)[1].model)
 
@@ -156,6 +162,7 @@ def queries() -> dict[str, Query]:
         # A trained forest has no SQL form: rows only.
         "fit_forest_score": Query(_scored_test),
         "save_load_model": Query(_saved),
+        "predict_top": Query(_predict),
         "rank_importances": Query(_importances),
         "write_metrics_json": Query(_metrics),
     }

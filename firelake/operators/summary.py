@@ -132,5 +132,5 @@ def request_metrics(log: DataFrame, endpoint: str, latency_ms: str, at: str) ->
     """Requests and latest latency per endpoint of a request log."""
     return log.groupBy(F.col(endpoint).alias("endpoint")).agg(
         F.count("*").alias("requests"),
-        F.round(F.max_by(latency_ms, at), 2).alias("last_response_ms"),
+        round_to(F.max_by(latency_ms, at), 2).alias("last_response_ms"),
     )

@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from firelake.operators.filters import filter_confidence_normalized, filter_min_brightness_frp
 from firelake.operators.ordering import newest_first
 from firelake.plans.serving import project_prepared
+from firelake.schemas import RESULT_LIMIT
 
 
 def prepare_list(records: DataFrame) -> DataFrame:
-    """Prepared events of a bounded result list, each id ending in its place in the list."""
-    place = Window.orderBy(*newest_first(("lat", "lon", "brightness", "frp")))
-    return project_prepared(records.withColumn("place", F.row_number().over(place) - 1), "place")
+    """Prepared events of the newest records, each id ending in its place in the list.
+
+    The list is cut at the result cap first, so its numbering runs over that many rows.
+    """
+    order = newest_first(("lat", "lon", "brightness", "frp"))
+    shown = records.orderBy(*order).limit(RESULT_LIMIT)
+    place = F.row_number().over(Window.orderBy(*order)) - 1
+    return project_prepared(shown.withColumn("place", place), "place")
 
 
 def apply_form(

@@ -41,7 +41,7 @@ def feature_matrix(
     soil: DataFrame | None = None,
     order: Sequence[str] = ("fetched_at",),
     keep: str = "first",
-    carry: Sequence[str] = (),
+    carry: Sequence[str | Column] = (),
 ) -> DataFrame:
     """`carry` columns, the thirteen features in model order, and the label.
 

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firelake.functions import fallback_risk, round_to
-from firelake.plans.features import feature_columns
+from firelake.operators.ordering import top_scored
+from firelake.plans.features import feature_columns, feature_matrix
 from firelake.schemas import FEATURES
 from firelake.sources.sinks import load_model
 
 
+# Length of the printed ranking.
+TOP_SHOWN = 20
+
+
 class ModelUnavailableError(RuntimeError):
     """A model score was asked for and no model can be read."""
 
@@ -51,6 +58,21 @@ def score(
     return scored.select("_row.*", risk.alias("risk"))
 
 
+def predict(
+    fires: DataFrame,
+    weather: DataFrame | None,
+    soil: DataFrame | None,
+    model: PipelineModel,
+    k: int = TOP_SHOWN,
+    order: Sequence[str] = ("fetched_at",),
+    tie_break: Sequence[str] = (),
+) -> DataFrame:
+    """The k detections of highest model score, with both reading tables as in training."""
+    matrix = feature_matrix(fires, weather, soil, order=order, carry=(F.struct(*fires.columns).alias("detection"),))
+    scored = score(matrix, model).select("detection.*", F.col("risk").alias("pred_score"))
+    return top_scored(scored, k, "pred_score", tie_break)
+
+
 def feature_importances(spark: SparkSession, model: PipelineModel) -> DataFrame:
     """Feature and importance, most important first; one row per model feature."""
     values = model.stages[-1].featureImportances.toArray()

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from firelake.schemas import ENVIRONMENT, FIRES, WEATHER
 from firelake.sources.files import matching_paths
 
 
@@ -34,6 +35,13 @@ def scan_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return scan_table(spark, path, schema) if matching_paths(spark, path) else empty(spark, schema)
 
 
+def load_all_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fires, weather and soil readings under one folder; a missing table reads as no rows."""
+    names = {"fires": FIRES, "weather_observations": WEATHER, "environmental_conditions": ENVIRONMENT}
+    fires, weather, soil = (scan_or_empty(spark, f"{root}/{name}", schema) for name, schema in names.items())
+    return fires, weather, soil
+
+
 def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> None:
     """Create the folder with an empty file of the schema unless it is there."""
     if not matching_paths(spark, path):

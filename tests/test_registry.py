@@ -11,7 +11,7 @@ import __spark_entry__
 from firelake.checks.registry import registered
 
 CHECK_DIR = os.environ.get("FIRELAKE_CHECK_DIR", "/root/testdata/sf0.001")
-ROWS_ONLY = {"fit_forest_score", "save_load_model", "rank_importances", "write_metrics_json"}
+ROWS_ONLY = {"fit_forest_score", "save_load_model", "predict_top", "rank_importances", "write_metrics_json"}
 
 
 @pytest.fixture(scope="module")

@@ -113,6 +113,9 @@ def test_training_end_to_end(spark, many):
     assert [r.importance for r in ranked] == sorted((r.importance for r in ranked), reverse=True)
     scored = serving.latest_fires(many, weather, soil, limit=100, model=model).collect()
     assert len(scored) == 100 and all(0 <= r.risk <= 1 for r in scored)
+    top = scoring.predict(many, weather, soil, model, k=5, tie_break=("latitude", "longitude")).collect()
+    every = scoring.score(feature_matrix(many, weather, soil), model).agg(F.max("risk")).first()[0]
+    assert len(top) == 5 and top[0].pred_score == every and top[0].asDict().keys() >= set(FIRES.fieldNames())
     hot = [r.risk for r in scored if r.brightness >= 360]
     cold = [r.risk for r in scored if r.brightness < 340]
     assert min(hot) > max(cold)

@@ -216,6 +216,15 @@ def test_tables(spark, make_fires):
     assert tables.scan_limit(tables.scan_table(spark, path, FIRES), 5).count() == 1
 
 
+def test_all_tables_of_a_folder(spark, make_fires):
+    root = work_dir(spark, "root")
+    row = make_fires((34.05, -118.25, 1.0, None, 1.0, "2024-08-01", "0930", "h"))
+    tables.append_rows(row, f"{root}/fires", FIRES)
+    fires, weather, soil = tables.load_all_tables(spark, root)
+    assert (fires.count(), weather.count(), soil.count()) == (1, 0, 0)
+    assert weather.columns == WEATHER.fieldNames() and soil.columns == ENVIRONMENT.fieldNames()
+
+
 def test_partitioned_table_keeps_date_text_and_both_feeds(spark, make_fires):
     path = work_dir(spark, "p")
     row = make_fires((34.05, -118.25, 1.0, None, 1.0, "2024-08-01", "0930", "h"))
