@@ -19,8 +19,7 @@ BUILD_IDS = [f"b{100 + i}-{i}" for i in range(12)]
 
 GRID = {
     "projected": f"SELECT latitude, longitude, (longitude + 180e0) / 360e0 * 8192e0 AS x, (0.5e0 - ln((1e0 +"
-    " sin(radians(latitude))) / (1e0 - sin(radians(latitude)))) / (4e0 * pi())) * 8192e0 AS y FROM fires"
-    f" WHERE {US}",
+    " sin(radians(latitude))) / (1e0 - sin(radians(latitude)))) / (4e0 * pi())) * 8192e0 AS y FROM fires",
 }
 LAST_OUTCOME = {
     "outcomes": "SELECT nodeid, build_id, run_order, arg_max(outcome, position) AS outcome FROM results"
@@ -126,7 +125,7 @@ def queries() -> dict[str, Query]:
             ),
         ),
         "cluster_counts": Query(
-            over("fires", build=lambda fires: summary.cluster_counts(filter_us_box(fires), zoom=5)),
+            over("fires", build=lambda fires: summary.cluster_counts(fires, zoom=5)),
             with_views(
                 "SELECT CAST(floor(x / 40) AS BIGINT) AS grid_x, CAST(floor(y / 40) AS BIGINT) AS grid_y, count(*) AS n,"
                 " round(avg(latitude) * 1e6) / 1e6 AS latitude, round(avg(longitude) * 1e6) / 1e6 AS longitude,"

@@ -18,30 +18,30 @@ def newest_first(tie_break: Sequence[str] = ()) -> list[Column]:
     return [F.desc_nulls_last("acq_date"), F.desc_nulls_last("acq_time"), *[F.col(name) for name in tie_break]]
 
 
-def _cut(rows: DataFrame, column: str, limit: int) -> Column:
-    """Smallest value of `column` still needed for the newest `limit` rows.
+def _oldest_needed(rows: DataFrame, limit: int) -> Column:
+    """Day and minute of the oldest row that can be among the newest `limit`.
 
-    The window runs over one row per distinct day (or minute of one day), not over rows.
+    Counts per day and minute come first, so the window runs over at most one row per
+    minute of the archive, half a million a year, however many detections there are.
     """
-    newest = Window.orderBy(F.desc("key")).rowsBetween(Window.unboundedPreceding, -1)
-    per_value = rows.groupBy(F.coalesce(column, F.lit("")).alias("key")).agg(F.count("*").alias("n"))
-    newer = per_value.select("key", F.coalesce(F.sum("n").over(newest), F.lit(0)).alias("newer"))
-    return newer.where(F.col("newer") < limit).agg(F.min("key")).scalar()
+    day, minute = F.coalesce("acq_date", F.lit("")), F.coalesce("acq_time", F.lit(""))
+    per_minute = rows.groupBy(day.alias("day"), minute.alias("minute")).agg(F.count("*").alias("n"))
+    newest = Window.orderBy(F.desc("day"), F.desc("minute")).rowsBetween(Window.unboundedPreceding, -1)
+    newer = per_minute.select("day", "minute", F.coalesce(F.sum("n").over(newest), F.lit(0)).alias("newer"))
+    return newer.where(F.col("newer") < limit).agg(F.min(F.struct("day", "minute"))).scalar()
 
 
 def newest_rows(rows: DataFrame, limit: int = RESULT_LIMIT, tie_break: Sequence[str] = ()) -> DataFrame:
     """The newest `limit` rows.
 
-    A plain top-k would send `limit` rows of every input split to one task. Counting rows
-    per day first gives the oldest day that can matter, and counting that day's rows per
-    minute the oldest minute, so the top-k gets few rows more than it returns, also where
-    one day holds a third of the table. A table partitioned by `acq_date` is read whole
-    only for the first count, and there only the filtered columns.
+    A plain top-k would send `limit` rows of every input split to one task. The oldest
+    day and minute that can matter are found first, from the filtered columns alone, so
+    the top-k gets few rows more than it returns, also where one day holds a third of the
+    table. What it reads of a table partitioned by `acq_date` starts at that day.
     """
     day, minute = F.coalesce("acq_date", F.lit("")), F.coalesce("acq_time", F.lit(""))
-    oldest_day = _cut(rows, "acq_date", limit)
-    oldest_minute = _cut(rows.where(day == oldest_day), "acq_time", limit)
-    recent = rows.where((day >= oldest_day) & ((day > oldest_day) | (minute >= oldest_minute)))
+    oldest = _oldest_needed(rows, limit)
+    recent = rows.where((day >= oldest["day"]) & (F.struct(day.alias("day"), minute.alias("minute")) >= oldest))
     return recent.orderBy(*newest_first(tie_break)).limit(limit)
 
 
