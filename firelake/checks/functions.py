@@ -58,7 +58,10 @@ def queries() -> dict[str, Query]:
     day = "CAST(substr(yearday_text, 5, 3) AS INTEGER)"
     known = f"length(yearday_text) = 7 AND {day} BETWEEN 1 AND 366 AND NOT (yearday_text LIKE '2023%' AND {day} = 366)"
     zoneless = "substr(datetime_text, 1, 10)"
-    clock = "CASE WHEN length(datetime_text) > 10 THEN substr(datetime_text, 12, 2) || substr(datetime_text, 15, 2) ELSE '0000' END"
+    clock = (
+        "CASE WHEN length(datetime_text) > 10 THEN substr(datetime_text, 12, 2) || substr(datetime_text, 15, 2)"
+        " ELSE '0000' END"
+    )
     readable = "datetime_text IS NOT NULL AND datetime_text <> 'oops'"
     folder = "split_part(split_part(nodeid, '::', 1), '/', -2)"
     stem = "replace(replace(split_part(split_part(nodeid, '::', 1), '/', -1), 'test_', ''), '.py', '')"

@@ -18,7 +18,7 @@ from firelake.sources.builds import build_results, scan_build_json
 from firelake.sources.csv import Window, normalize_hms, scan_detections_csv, scan_hms_csv, scan_window_list
 from firelake.sources.payloads import parse_forecast_json, parse_gridpoint_json, parse_soil_json
 from firelake.sources.sinks import write_api_json
-from firelake.sources.tables import append_rows, ensure_table, scan_or_empty, scan_table
+from firelake.sources.tables import FIRES_TABLE, append_rows, ensure_table, scan_or_empty, scan_table
 
 COLUMNS = ", ".join(FIRES.fieldNames())
 RUN_DATE = "2024-02-01"
@@ -94,16 +94,16 @@ def _append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_table(spark, table, FIRES)
 
 
-def stored_fires(spark: SparkSession, sf_dir: str) -> str:
-    """A partitioned fires table with the detections of two feeds."""
-    fires, table = detections(spark, sf_dir), work_dir(spark, "stored")
+def _latest_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over a partitioned fires table with the detections of two feeds.
+
+    Rows of the last minute may tie for the last places, so only the times are compared.
+    """
+    fires, root = detections(spark, sf_dir), work_dir(spark, "stored")
+    table = f"{root}/{FIRES_TABLE}"
     append_rows(fires.where(STORED), table, FIRES, "acq_date", "satellite")
     append_rows(fires.where(f"NOT {STORED}"), table, FIRES, "acq_date", "smoke")
-    return table
-
-
-def _latest_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_fires_from_table(spark, stored_fires(spark, sf_dir), region="us").select("acq_date", "acq_time")
+    return latest_fires_from_table(spark, root, region="us").select("acq_date", "acq_time")
 
 
 def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +138,8 @@ def _enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     payloads = cell.selectExpr("latitude", "longitude", payload)
     there = cell.where("latitude >= 37").selectExpr(
-        "latitude", "longitude", f"'{RUN_DATE}' AS obs_date", "0D AS wind_speed_kmh", "0D AS humidity_pct",
-        "0D AS temp_c", f"TIMESTAMP '{RUN_DATE} 00:00:00' AS fetched_at",
+        *("latitude", "longitude", f"'{RUN_DATE}' AS obs_date", "0D AS wind_speed_kmh", "0D AS humidity_pct"),
+        *("0D AS temp_c", f"TIMESTAMP '{RUN_DATE} 00:00:00' AS fetched_at"),
     )
     append_rows(there, table, WEATHER)
     ingest_weather(fires, payloads, table, RUN_DATE, f"{RUN_DATE} 06:00:00", limit=None)
@@ -155,7 +155,8 @@ def _build_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("position", "nodeid", "outcome"))).alias("tests"),
     )
     path = work_dir(spark, "builds")
-    docs.select("build_id", "run_number", F.transform("tests", lambda t: t.dropFields("position")).alias("tests")).write.json(path)
+    tests = F.transform("tests", lambda t: t.dropFields("position")).alias("tests")
+    docs.select("build_id", "run_number", tests).write.json(path)
     rows = build_results(scan_build_json(spark, path, multi_line=False))
     return rows.select("build_id", "run_order", F.col("position").cast("long").alias("position"), "nodeid", "outcome")
 

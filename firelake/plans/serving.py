@@ -17,7 +17,7 @@ from firelake.plans.features import detection_features
 from firelake.plans.scoring import score
 from firelake.schemas import FIRES, RESULT_LIMIT
 from firelake.sources.files import matching_paths
-from firelake.sources.tables import scan_or_empty
+from firelake.sources.tables import FIRES_TABLE, load_all_tables, scan_or_empty
 
 
 def project_api(rows: DataFrame) -> DataFrame:
@@ -86,6 +86,18 @@ def latest_fires(
     the score needs no reading, so nothing is joined.
     """
     newest = select_newest(fires, region, confidence, limit, tie_break)
+    return api_records(newest, weather, soil, order, model, allow_fallback)
+
+
+def api_records(
+    newest: DataFrame,
+    weather: DataFrame | None,
+    soil: DataFrame | None,
+    order: Sequence[str] = ("fetched_at",),
+    model: PipelineModel | None = None,
+    allow_fallback: bool = True,
+) -> DataFrame:
+    """Scored records of a bounded list of detections, newest first."""
     if model is None:
         return project_api(score(newest, None, allow_fallback))
     features = latest_features(newest, weather, soil, order)
@@ -109,25 +121,42 @@ def newest_partitions(spark: SparkSession, path: str, feed: str | None = None) -
     return sorted(days - {"__HIVE_DEFAULT_PARTITION__"}, reverse=True)
 
 
-def latest_fires_from_table(
+def newest_from_table(
     spark: SparkSession,
     path: str,
     region: str | None = None,
     confidence: str | None = None,
     limit: int = RESULT_LIMIT,
 ) -> DataFrame:
-    """Newest rows of a stored table, reading no more of its days than needed.
+    """Newest rows of a stored fires table, reading no more of its days than needed.
 
     Looks at the newest day, then at four times as many, until the filters leave
-    `limit` rows; a table of ten thousand days takes at most eight looks.
+    `limit` rows; a table of ten thousand days takes at most seven looks.
     """
     fires = scan_or_empty(spark, path, FIRES)
-    days = newest_partitions(spark, path)
     filtered = filter_confidence_exact(filter_region(fires, region), confidence)
+    days = newest_partitions(spark, path)
     span = 1
     while span < len(days):
         recent = filtered.where(F.col("acq_date") >= days[span - 1])
         if recent.limit(limit).count() >= limit:
-            return recent.orderBy(*newest_first()).limit(limit)
+            return newest_rows(recent, limit)
         span *= 4
-    return filtered.orderBy(*newest_first()).limit(limit)
+    return newest_rows(filtered, limit)
+
+
+def latest_fires_from_table(
+    spark: SparkSession,
+    root: str,
+    region: str | None = None,
+    confidence: str | None = None,
+    limit: int = RESULT_LIMIT,
+    model: PipelineModel | None = None,
+    allow_fallback: bool = True,
+) -> DataFrame:
+    """`latest_fires` over the stored tables of one folder."""
+    check_region(region)
+    check_confidence(confidence)
+    newest = newest_from_table(spark, f"{root}/{FIRES_TABLE}", region, confidence, limit)
+    _, weather, soil = load_all_tables(spark, root)
+    return api_records(newest, weather, soil, model=model, allow_fallback=allow_fallback)

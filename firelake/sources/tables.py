@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 from firelake.schemas import ENVIRONMENT, FIRES, WEATHER
 from firelake.sources.files import matching_paths
 
+# Table names.
+FIRES_TABLE, WEATHER_TABLE, SOIL_TABLE = "fires", "weather_observations", "environmental_conditions"
+
 
 def scan_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The table with its fixed schema. Partition columns keep their declared type,
@@ -37,9 +40,11 @@ def scan_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 def load_all_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fires, weather and soil readings under one folder; a missing table reads as no rows."""
-    names = {"fires": FIRES, "weather_observations": WEATHER, "environmental_conditions": ENVIRONMENT}
-    fires, weather, soil = (scan_or_empty(spark, f"{root}/{name}", schema) for name, schema in names.items())
-    return fires, weather, soil
+    return (
+        scan_or_empty(spark, f"{root}/{FIRES_TABLE}", FIRES),
+        scan_or_empty(spark, f"{root}/{WEATHER_TABLE}", WEATHER),
+        scan_or_empty(spark, f"{root}/{SOIL_TABLE}", ENVIRONMENT),
+    )
 
 
 def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> None:

@@ -42,19 +42,25 @@ def test_default_cap(many):
 
 
 def test_stored_table_reads_only_the_days_it_needs(spark, many):
-    path = work_dir(spark, "stored")
+    root = work_dir(spark, "stored")
+    path = f"{root}/fires"
     tables.append_rows(many.where("frp < 30"), path, FIRES, "acq_date", "satellite")
     tables.append_rows(many.where("frp >= 30"), path, FIRES, "acq_date", "smoke")
     assert serving.newest_partitions(spark, path)[:2] == ["2024-08-30", "2024-08-29"]
     assert len(serving.newest_partitions(spark, path, "smoke")) <= 30
     for limit in (5, 10, 35, 290, 1000):
-        got = serving.latest_fires_from_table(spark, path, limit=limit)
+        got = serving.newest_from_table(spark, path, limit=limit)
         want = serving.select_newest(many, limit=limit)
         key = ["acq_date", "acq_time"]
         assert [tuple(r) for r in got.select(*key).collect()] == [tuple(r) for r in want.select(*key).collect()]
-    plan = serving.latest_fires_from_table(spark, path, limit=5)._jdf.queryExecution().executedPlan().toString()
+    plan = serving.newest_from_table(spark, path, limit=5)._jdf.queryExecution().executedPlan().toString()
     assert "acq_date#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "2024-08-30" in plan
+    records = serving.latest_fires_from_table(spark, root, region="ca", confidence="high", limit=50)
+    assert records.columns == serving.latest_fires(many).columns
+    assert records.count() == min(50, serving.latest_fires(many.where("confidence = 'high'"), region="ca").count())
     assert serving.latest_fires_from_table(spark, work_dir(spark, "none")).count() == 0
+    with pytest.raises(ValueError, match="Invalid region"):
+        serving.latest_fires_from_table(spark, root, region="mars")
 
 
 def test_prepared_list(many, make_fires):
