@@ -152,6 +152,8 @@ def join_conditions(
     """Every detection with the readings of its cell; absent and null values are 0.0."""
     columns = fires.columns
     wanted = WEATHER_VALUES * (weather is not None) + SOIL_VALUES * (soil is not None)
+    if not wanted:
+        return fires
     keyed = fires.withColumn("cell", cell_of(F.col("latitude"), F.col("longitude")))
     joined = keyed.join(cell_conditions(weather, soil, keep, order), "cell", "left")
     return joined.select(*columns, *[condition_value(v).alias(v) for v in wanted])

@@ -12,12 +12,8 @@ from firelake.operators.cells import join_conditions
 from firelake.schemas import FEATURES, SOIL_VALUES, WEATHER_VALUES
 
 
-def _zero(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0.0))
-
-
 def detection_features(rows: DataFrame, missing_time: str | None = None) -> DataFrame:
-    """Adds hour, month and degree bins; missing measurements become 0."""
+    """Adds hour, month and degree bins."""
     time = F.col("acq_time") if missing_time is None else F.coalesce("acq_time", F.lit(missing_time))
     date = F.col("acq_date")
     return rows.withColumns(
@@ -31,8 +27,9 @@ def detection_features(rows: DataFrame, missing_time: str | None = None) -> Data
 
 
 def feature_columns() -> list[Column]:
-    measured = {"bright_ti4", "bright_ti5", "frp", *WEATHER_VALUES, *SOIL_VALUES}
-    return [_zero(name).alias(name) if name in measured else F.col(name) for name in FEATURES]
+    """The features in model order; whatever is missing is 0."""
+    counted = {"hour", "month", "lat_bin", "lon_bin"}
+    return [F.coalesce(F.col(n), F.lit(0 if n in counted else 0.0)).alias(n) for n in FEATURES]
 
 
 def feature_matrix(

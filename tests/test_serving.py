@@ -85,6 +85,8 @@ def test_feature_matrix_is_complete_and_in_order(spark, many, make_fires):
     assert rows.where("wind_speed_kmh = 5 AND humidity_pct = 0 AND temp_c = 20").count() > 0
     assert feature_matrix(many).columns == rows.columns
     assert rows.agg(F.sum("label")).first()[0] == 120
+    nowhere = make_fires((None, None, None, None, None, None, None, None))
+    assert set(feature_matrix(nowhere, weather, soil).first()) == {0}
     odd = make_fires((-0.5, -118.25, 1.0, None, None, "2024-08-01", "12345", None))
     assert feature_matrix(odd).select("hour", "month", "lat_bin", "lon_bin", "label").first()[:] == (0, 0, -1, -119, 0)
 
