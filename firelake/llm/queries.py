@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from firelake.checks.query import Query
-from firelake.llm import jaccard
+from firelake.llm import jaccard, oracles, quality
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,12 @@ def _near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(documents(spark, sf_dir))
 
 
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op4_quality_rules": Query(_quality, oracles.quality_sql()),
         "op9_ngram_jaccard_join": Query(_near_duplicates),
     }
