@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from firelake.llm import quality
+from firelake.llm import mixing, quality, urls
 from firelake.llm.quality import LEAST_WORDS, REPEATED_PERCENT, RULES, STOP_WORDS, WINDOW_WORDS
 
 # Everything but capital letters.
@@ -52,3 +52,39 @@ judged AS (
     concat_ws(',', {broken}) AS broken FROM measured)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND broken = '' AS kept, broken FROM judged"""
+
+
+def mixing_sql() -> str:
+    seed, power = mixing.SEED, float(mixing.TEMPERATURE)
+    return f"""
+WITH counts AS (SELECT source, count(*) AS n, pow(count(*), {power}) AS weight FROM documents GROUP BY source),
+rates AS (
+  SELECT source, weight / (SELECT sum(weight) FROM counts) * (SELECT sum(n) FROM counts) / n AS rate FROM counts),
+each_k AS (
+  SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1)) AS k FROM rates),
+factorials AS (
+  SELECT *, sum(CASE WHEN k > 0 THEN ln(k) ELSE 0e0 END) OVER (PARTITION BY source ORDER BY k) AS factorial FROM each_k),
+steps AS (
+  SELECT source, sum(exp(k * ln(rate) - rate - factorial)) OVER (PARTITION BY source ORDER BY k) AS step FROM factorials),
+drawn AS (
+  SELECT doc_id, source,
+    CAST('0x' || substr(md5('{seed}:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / {float(1 << 52):.1f} AS u FROM documents),
+counted AS (
+  SELECT doc_id, count(*) AS n_copies FROM drawn d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND step <= u
+  GROUP BY doc_id)
+SELECT documents.*, n_copies, unnest(range(1, n_copies + 1)) AS copy FROM documents JOIN counted USING (doc_id)"""
+
+
+def urls_sql() -> str:
+    ranked = sorted(urls.SITE_RULES, key=lambda r: -len(r.name))
+    fits = [(f"suffix('.' || host, '.{r.host}') AND starts_with(path, '{r.path}')", r) for r in ranked]
+    rule = " ".join(f"WHEN {test} THEN '{r.name}'" for test, r in fits)
+    verdict = " ".join(f"WHEN {test} THEN '{r.verdict}'" for test, r in fits)
+    unwanted = " OR ".join(f"'.' || host || '#' || path LIKE '{g.replace('*', '%')}'" for g in urls.UNWANTED)
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{capitals}', '{capitals.lower()}') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, host, path, CASE {rule} END AS rule,
+  CASE {verdict} WHEN {unwanted} THEN 'block' ELSE 'allow' END AS verdict FROM parts"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from firelake.checks.query import Query
-from firelake.llm import jaccard, oracles, quality
+from firelake.llm import jaccard, mixing, oracles, quality, urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,14 @@ def _near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(documents(spark, sf_dir))
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicate(documents(spark, sf_dir))
+
+
+def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
@@ -23,5 +31,7 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op4_quality_rules": Query(_quality, oracles.quality_sql()),
+        "op5_source_mixing": Query(_mixture, oracles.mixing_sql()),
+        "op6_url_filters": Query(_urls, oracles.urls_sql()),
         "op9_ngram_jaccard_join": Query(_near_duplicates),
     }
