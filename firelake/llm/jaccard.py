@@ -11,10 +11,10 @@ sequence; without words it is empty and linked with nothing. Two documents link
 2. Each document keeps the first n - ceil(0.75 n) + 1 shingles. Two sets that link share one.
    Documents with the same prefix and size are one group and enter the index once.
 3. Index entries with a single group are dropped; the rest is expanded to one document per
-   distinct set.
-4. Star rounds: in each entry and size class one member is compared with all others, and what
-   links is one component. A family of thousands of near copies needs a few comparisons per
-   member instead of all pairs.
+   distinct set. Shingles with few entries have all their pairs compared.
+4. Star rounds over the other shingles: in each size class one member is compared with all
+   others, and what links is one component. A family of thousands of near copies needs a few
+   comparisons per member instead of all pairs.
 5. When few pairs of different components are left, every one that can reach the overlap by its
    positions and sizes is compared. No link between components is missed, as each has its
    first common shingle in both prefixes.
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firelake.llm.components import components
-from firelake.llm.shared import only_ids, stored
+from firelake.llm.shared import MAX_BROADCAST_IDS, only_ids, stored
 from firelake.llm.words import distinct_by_row, mix, pieces, shingles, words_of
 from firelake.operators.skew import join_reduced
 
@@ -45,9 +45,11 @@ THRESHOLD = 75
 COUNT_BITS = 20
 _BLOCK = 1 << 14
 _FAN_IN = 64
+# Tokens of so many entries or fewer have all their pairs compared at once.
+FEW_ROWS = 8
 # Step 5 begins when so many pairs can be left, besides a multiple of the index entries.
-LEAST_PAIRS = 100_000
-PAIRS_PER_ENTRY = 2
+LEAST_PAIRS = 1_000_000
+PAIRS_PER_ENTRY = 20
 SET_SCHEMA = "doc_id long, n long, f1 long, f2 long, p1 long, p2 long, prefix array<long>"
 _U = np.uint64
 
@@ -184,25 +186,39 @@ def _can_link(a: str, b: str, threshold: int) -> Column:
 
 
 def _index(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal sets, and the index entries (token, node, n, pos) of two nodes or more.
+    """Classes of equal sets, and the index entries (token, node, n, pos, rows) of two nodes or more.
 
-    A class is named by its node, the smallest doc_id that has the set.
+    A class is named by its node, the smallest doc_id that has the set; `rows` counts the entries of the token.
     """
     usable = sets.where("n > 0 AND doc_id IS NOT NULL")
     classes = stored(usable.groupBy("n", "f1", "f2", "p1", "p2").agg(F.min("doc_id").alias("node")), "classes")
+    heads = classes.groupBy("n", "p1", "p2").agg(F.min("node").alias("group"), F.count(F.lit(1)).alias("nodes"))
+    members = stored(join_reduced(classes, heads.where("nodes > 1"), ["n", "p1", "p2"], "inner"), "members")
+
     # One entry per group and prefix shingle; entries of a single group lead nowhere.
     groups = usable.groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("group"), F.any_value("prefix").alias("prefix"))
     entries = groups.select("group", "n", F.posexplode("prefix").alias("pos", "token"))
-    entries = entries.withColumn("groups", F.count(F.lit(1)).over(Window.partitionBy("token")))
-    entries = entries.where("groups > 1").drop("groups")
-    # The nodes of each group take its place.
-    heads = classes.groupBy("n", "p1", "p2").agg(F.min("node").alias("group"), F.count(F.lit(1)).alias("nodes"))
-    members = stored(join_reduced(classes, heads, ["n", "p1", "p2"], "inner"), "members")
-    expanded = entries.join(members.select("group", "node"), "group").select("token", "node", "n", "pos")
-    inside = members.where("nodes > 1").select(F.col("p1").alias("token"), "node", "n", F.lit(0).alias("pos"))
+    by_token = Window.partitionBy("token")
+    entries = entries.withColumn("groups", F.count(F.lit(1)).over(by_token)).where("groups > 1").drop("groups")
+    # A group of several nodes is expanded; its nodes also meet under the fingerprint of their prefix.
+    of_group = members.select("group", "node")
+    few = of_group.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    expanded = entries.join(F.broadcast(of_group) if few else of_group, "group", "left")
+    expanded = expanded.select("token", F.coalesce("node", "group").alias("node"), "n", "pos")
+    expanded = expanded.withColumn("rows", F.count(F.lit(1)).over(by_token))
+    inside = members.select(F.col("p1").alias("token"), "node", "n", F.lit(0).alias("pos"), F.col("nodes").alias("rows"))
     return classes, stored(expanded.union(inside), "index")
 
 
+def _few_pairs(index: DataFrame, threshold: int) -> DataFrame:
+    """All pairs that can link under tokens of few entries; no list is longer than FEW_ROWS."""
+    entry = F.sort_array(F.collect_list(F.struct("node", "n", "pos")))
+    listed = index.where(F.col("rows") <= FEW_ROWS).groupBy("token").agg(entry.alias("entries"))
+    firsts = listed.select("entries", F.posexplode("entries").alias("at", "x"))
+    others = firsts.select("x", F.explode(F.slice("entries", F.col("at") + 2, F.lit(FEW_ROWS))).alias("y"))
+    return _pairs(others.where((F.col("x.node") != F.col("y.node")) & _can_link("x", "y", threshold)))
+
+
 def _star_pairs(entries: DataFrame, turn: int, threshold: int) -> DataFrame:
     """One member of each entry and size class against the others of other components."""
     width = math.log(100 / THRESHOLD)
@@ -240,27 +256,46 @@ def _open_tokens(entries: DataFrame) -> tuple[DataFrame, int]:
     return tokens.select("token", "main"), int(left or 0)
 
 
-def _linked_nodes(index: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
-    """(node, component) of the nodes that link with another one."""
-    named = index.sparkSession.createDataFrame([], "node long, component long")
+def _joined(named: DataFrame | None, found: DataFrame) -> DataFrame | None:
+    """(node, component) after the links (a, b) of `found`."""
+    if found.isEmpty():
+        return named
+    if named is not None:
+        found = found.union(named.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return components(found)
+
+
+def _placed(index: DataFrame, named: DataFrame | None) -> DataFrame:
+    if named is None:
+        return index.withColumn("comp", F.col("node"))
+    placed = index.join(named, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    return placed.drop("component")
+
+
+def _linked_nodes(index: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame | None:
+    """(node, component) of the nodes that link with another one; None if none does."""
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return stored(verified(pairs, texts, k, threshold), "verified")
+
+    named = _joined(None, links(_few_pairs(index, threshold)))
     allowed = max(LEAST_PAIRS, PAIRS_PER_ENTRY * index.count())
+    index = index.where(F.col("rows") > FEW_ROWS).select("token", "node", "n", "pos")
     idle = turn = 0
     while True:
-        entries = index.join(named, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-        mains, left = _open_tokens(entries)
+        mains, left = _open_tokens(_placed(index, named))
         if not left:
             return named
+        # Components only grow, so a token with a single one is done with.
+        index = stored(index.join(mains.select("token"), "token", "left_semi"), "open")
+        entries = _placed(index, named)
         # Turns go on while they link something; their two size grids alternate.
         last = left <= allowed or idle == 2
-        pairs = _across(entries, mains, threshold) if last else _star_pairs(entries, turn, threshold)
-        found = stored(verified(pairs, texts, k, threshold), "verified")
-        fresh = not found.isEmpty()
-        if fresh:
-            known = named.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            named = components(known.union(found))
+        found = links(_across(entries, mains, threshold) if last else _star_pairs(entries, turn, threshold))
+        before, named = named, _joined(named, found)
         if last:
             return named
-        idle, turn = (0 if fresh else idle + 1), turn + 1
+        idle, turn = (idle + 1 if named is before else 0), turn + 1
 
 
 def link_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -270,9 +305,7 @@ def link_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = TH
     classes, index = _index(sets)
     texts = stored(only_ids(docs, index.select(F.col("node").alias("doc_id")).distinct(), "doc_id"), "texts")
     named = _linked_nodes(index, texts, k, threshold)
-    places = classes.join(named, "node", "left").select(
-        "n", "f1", "f2", F.coalesce("component", "node").alias("component")
-    )
+    places = _placed(classes, named).select("n", "f1", "f2", F.col("comp").alias("component"))
     # One row per set on the right; a set that a third of the rows share is split on the left.
     rows = join_reduced(sets.select("doc_id", "n", "f1", "f2"), places, ["n", "f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
