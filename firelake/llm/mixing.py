@@ -48,12 +48,12 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None, temperatu
     else:
         given = [("" if s is None else f"={s}", float(w)) for s, w in weights.items()]
         weighed = counts.join(docs.sparkSession.createDataFrame(given, f"{KEY} string, weight double"), KEY)
-    sums = weighed.agg(F.sum("weight").alias("weights"))
-    size = F.lit(float(total)) if total is not None else F.col("documents").cast("double")
-    rate = F.when(F.col("weights") > 0, F.col("weight") / F.col("weights") * size / F.col("n"))
-    # One row on the right: the sum of the weights and the number of documents.
-    one = sums.withColumn("_one", F.lit(1)).join(counts.agg(F.sum("n").alias("documents")).withColumn("_one", F.lit(1)), "_one")
-    return weighed.withColumn("_one", F.lit(1)).join(one, "_one").select(KEY, rate.alias("rate")).where("rate > 0")
+    weight_sum = weighed.agg(F.sum("weight")).first()[0] or 0.0
+    size = counts.agg(F.sum("n")).first()[0] if total is None else total
+    if weight_sum <= 0:
+        return weighed.select(KEY, F.lit(0.0).alias("rate")).where(F.lit(False))
+    rate = F.col("weight") / F.lit(float(weight_sum)) * F.lit(float(size)) / F.col("n")
+    return weighed.select(KEY, rate.alias("rate")).where("rate > 0")
 
 
 def distributions(mean_rates: DataFrame) -> DataFrame:
