@@ -3,17 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from firelake.checks.query import Query
-from firelake.llm import jaccard, mixing, oracles, quality, urls
+from firelake.llm import decontaminate, jaccard, language, mixing, oracles, pii, quality, toxicity, urls
+from firelake.llm.shared import held_out
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
-def _near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link_components(documents(spark, sf_dir))
+def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", held_out(F.col("doc_id")))
+    return language.identify(docs, docs.where(~F.col("held_out")), keep=("doc_id", "held_out"))
+
+
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir))
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,17 +36,31 @@ def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
-def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(documents(spark, sf_dir))
+def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(documents(spark, sf_dir))
+    counts = [f"n_{kind}" for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def _near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(documents(spark, sf_dir))
+
+
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_benchmark_decontamination": Query(_decontamination),
+        "op2_language_id": Query(_language),
         "op4_quality_rules": Query(_quality, oracles.quality_sql()),
         "op5_source_mixing": Query(_mixture, oracles.mixing_sql()),
         "op6_url_filters": Query(_urls, oracles.urls_sql()),
+        "op8_pii_spans": Query(_pii),
         "op9_ngram_jaccard_join": Query(_near_duplicates),
+        "op10_toxicity_grammar": Query(_toxicity),
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firelake.session import work_dir
@@ -25,3 +25,8 @@ def only_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi")
     """Semi or anti join by `key`; the ids are broadcast only when few enough."""
     few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids, key, how)
+
+
+def held_out(doc_id: Column) -> Column:
+    """Rows that no model learns from; a row without id is not one of them."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

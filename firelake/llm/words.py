@@ -154,3 +154,11 @@ def distinct_by_row(row: np.ndarray, values: np.ndarray, rows: int) -> Iterator[
     for end in ends:
         yield np.unique(values[begin:end])
         begin = end
+
+
+def shingle_places(words: Words, rows: int, k: int) -> np.ndarray:
+    """Index of the first word of each run, in the order of `shingles`."""
+    counts = np.bincount(words.row, minlength=rows)
+    first = np.concatenate([[0], np.cumsum(counts)])[:-1]
+    place = np.arange(len(words.row)) - first[words.row]
+    return np.flatnonzero(place <= counts[words.row] - np.minimum(counts[words.row], k))
