@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firelake.checks.query import Query
-from firelake.llm import decontaminate, jaccard, language, mixing, oracles, pii, quality, toxicity, urls
+from firelake.llm import decontaminate, jaccard, language, lm_score, mixing, oracles, pii, quality, toxicity, urls
 from firelake.llm.shared import held_out
 
 
@@ -39,6 +39,11 @@ def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def _lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_score.cross_entropy_difference(documents(spark, sf_dir), good)
+
+
 def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(documents(spark, sf_dir))
     counts = [f"n_{kind}" for kind in pii.KINDS]
@@ -60,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op4_quality_rules": Query(_quality, oracles.quality_sql()),
         "op5_source_mixing": Query(_mixture, oracles.mixing_sql()),
         "op6_url_filters": Query(_urls, oracles.urls_sql()),
+        "op7_lm_scoring": Query(_lm_scores),
         "op8_pii_spans": Query(_pii),
         "op9_ngram_jaccard_join": Query(_near_duplicates),
         "op10_toxicity_grammar": Query(_toxicity),

@@ -39,8 +39,8 @@ from firelake.llm.words import NOT_ALNUM, pieces, words_of
 
 THRESHOLD = 0.3
 SAMPLE_ROWS = 20_000
-LEAST_DOCS = 3
-LEAST_LOG_ODDS = 2.5
+# Two standard errors below its log odds, a learned word still has these.
+LEAST_LOG_ODDS = 1.5
 # Words the learned list may have; the strongest stay.
 MOST_WORDS = 2_000
 
@@ -231,9 +231,11 @@ def learned_insults(rows: DataFrame) -> dict[str, float]:
     counts = per_doc.groupBy("word").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"), F.countDistinct("before").alias("company")
     )
-    odds = F.ln((F.col("bad") + 0.5) / (n[1] + 1) / ((F.col("good") + 0.5) / (n[0] + 1)))
-    varied = (F.col("bad") >= LEAST_DOCS) & (2 * F.col("company") >= F.col("bad") + F.col("good"))
-    strong = counts.where(varied).select("word", odds.alias("odds")).where(F.col("odds") >= LEAST_LOG_ODDS)
+    bad, good = F.col("bad") + 0.5, F.col("good") + 0.5
+    odds = F.ln(bad / (n[1] + 1) / (good / (n[0] + 1)))
+    certain = odds - 2 * F.sqrt(1 / bad + 1 / good) >= LEAST_LOG_ODDS
+    varied = 2 * F.col("company") >= F.col("bad") + F.col("good")
+    strong = counts.where(certain & varied).select("word", odds.alias("odds"))
     return {r["word"]: float(r["odds"]) for r in strong.orderBy(F.desc("odds"), "word").limit(MOST_WORDS).collect()}
 
 
