@@ -26,26 +26,23 @@ def _toward_minimum(links: DataFrame, both_ways: bool) -> DataFrame:
         moved = moved.select(F.col("b").alias("a"), F.col("least").alias("b")).union(
             least.select("a", F.col("least").alias("b"))
         )
-    return moved.where("a <> b").distinct()
+    return moved.where("a <> b")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of all ids in `links(a, b)`; a component is named by its smallest id.
 
-    Alternates the two star operations until the links no longer change: each is one
-    grouping and one join, and the number of turns grows with the logarithm of the size.
+    Alternates the two star operations until the links are stars: each is one grouping and
+    one join, and the number of turns grows with the logarithm of the size.
     Self links and nulls are ignored; an empty table gives an empty result.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = stored(links, "links")
-    before = None
     while True:
-        mark = links.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))
-        ).first()
-        if tuple(mark) == before or not mark[0]:
+        links = stored(_toward_minimum(_toward_minimum(links, True), False).distinct(), "links")
+        tops = links.groupBy("a").agg(F.count(F.lit(1)).alias("tops"))
+        # Done when every id has one link, to an id that has none.
+        several = tops.where("tops > 1").select("a")
+        if several.union(links.join(tops.select(F.col("a").alias("b")), "b", "left_semi").select("a")).isEmpty():
             break
-        before = tuple(mark)
-        links = stored(_toward_minimum(_toward_minimum(links, True), False), "links")
     members = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return members.union(members.select(F.col("component").alias("node"), "component").distinct())

@@ -12,9 +12,9 @@ sequence; without words it is empty and linked with nothing. Two documents link
    Documents with the same prefix and size are one group and enter the index once.
 3. Index entries with a single group are dropped; the rest is expanded to one document per
    distinct set. Shingles with few entries have all their pairs compared.
-4. Star rounds over the other shingles: in each size class one member is compared with all
-   others, and what links is one component. A family of thousands of near copies needs a few
-   comparisons per member instead of all pairs.
+4. Star rounds over the other shingles: every document is compared with a few hubs that share
+   a frequent shingle, and what links is one component. A family of thousands of near copies
+   needs a few comparisons per member instead of all pairs.
 5. When few pairs of different components are left, every one that can reach the overlap by its
    positions and sizes is compared. No link between components is missed, as each has its
    first common shingle in both prefixes.
@@ -47,9 +47,11 @@ _BLOCK = 1 << 14
 _FAN_IN = 64
 # Tokens of so many entries or fewer have all their pairs compared at once.
 FEW_ROWS = 8
-# Step 5 begins when so many pairs can be left, besides a multiple of the index entries.
-LEAST_PAIRS = 1_000_000
-PAIRS_PER_ENTRY = 20
+# Step 5 begins when so few pairs can be left, or when a star round leaves more than this share of them.
+LEAST_PAIRS = 200_000
+SHRINKS = 0.7
+# Members of a token that all its members are compared with in one star round.
+HUBS = 8
 SET_SCHEMA = "doc_id long, n long, f1 long, f2 long, p1 long, p2 long, prefix array<long>"
 _U = np.uint64
 
@@ -220,16 +222,19 @@ def _few_pairs(index: DataFrame, threshold: int) -> DataFrame:
 
 
 def _star_pairs(entries: DataFrame, turn: int, threshold: int) -> DataFrame:
-    """One member of each entry and size class against the others of other components."""
-    width = math.log(100 / THRESHOLD)
-    rows = entries.withColumn("size", F.floor(F.log("n") / width + turn / 2))
-    member = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "pos", "comp")
-    hubs = rows.groupBy("token", "size").agg(
-        F.min(member).alias("x"), F.min("comp").alias("low"), F.max("comp").alias("high")
-    )
-    hubs = hubs.where("low <> high").select("token", "size", "x")
-    met = join_reduced(rows, hubs, ["token", "size"], "inner").withColumn("y", F.struct("node", "n", "pos", "comp"))
-    return _pairs(met.where((F.col("x.comp") != F.col("y.comp")) & _can_link("x", "y", threshold)))
+    """Every node, at one token of its own, against a few hubs of other components.
+
+    In the first turn a node stands at its most frequent token, later at one that a hash draws; nodes
+    of a family mostly stand together. A token's hubs are drawn one from each of HUBS shares of its nodes.
+    """
+    rank = F.struct(F.col("rows") if turn == 0 else F.lit(0), F.xxhash64("token", F.lit(turn)))
+    one = entries.groupBy("node", "n", "comp").agg(F.max_by("token", rank).alias("token"))
+    one = stored(one.withColumn("draw", F.xxhash64("node", F.lit(turn))), "places")
+    hubs = one.groupBy("token", F.pmod("draw", F.lit(HUBS)).alias("share"))
+    hubs = hubs.agg(F.min(F.struct("draw", "node", "n", "comp")).alias("x")).select("token", "x")
+    met = join_reduced(one, hubs, ["token"], "inner").withColumn("y", F.struct("node", "n", "comp"))
+    sizes = 100 * F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
+    return _pairs(met.where((F.col("x.comp") != F.col("y.comp")) & sizes))
 
 
 def _across(entries: DataFrame, mains: DataFrame, threshold: int) -> DataFrame:
@@ -279,9 +284,8 @@ def _linked_nodes(index: DataFrame, texts: DataFrame, k: int, threshold: int) ->
         return stored(verified(pairs, texts, k, threshold), "verified")
 
     named = _joined(None, links(_few_pairs(index, threshold)))
-    allowed = max(LEAST_PAIRS, PAIRS_PER_ENTRY * index.count())
-    index = index.where(F.col("rows") > FEW_ROWS).select("token", "node", "n", "pos")
-    idle = turn = 0
+    index = index.where(F.col("rows") > FEW_ROWS)
+    before, turn = math.inf, 0
     while True:
         mains, left = _open_tokens(_placed(index, named))
         if not left:
@@ -289,13 +293,13 @@ def _linked_nodes(index: DataFrame, texts: DataFrame, k: int, threshold: int) ->
         # Components only grow, so a token with a single one is done with.
         index = stored(index.join(mains.select("token"), "token", "left_semi"), "open")
         entries = _placed(index, named)
-        # Turns go on while they link something; their two size grids alternate.
-        last = left <= allowed or idle == 2
+        # Turns go on while they shrink what is left.
+        last = left <= LEAST_PAIRS or left > SHRINKS * before
         found = links(_across(entries, mains, threshold) if last else _star_pairs(entries, turn, threshold))
-        before, named = named, _joined(named, found)
+        named = _joined(named, found)
         if last:
             return named
-        idle, turn = (idle + 1 if named is before else 0), turn + 1
+        before, turn = left, turn + 1
 
 
 def link_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
