@@ -1,4 +1,10 @@
-"""Corpus cleaning: each stage reads what the one before it kept."""
+"""Corpus cleaning: each stage reads what the one before it kept.
+
+run() takes documents(doc_id, text, lang, source, n_chars), labels(doc_id, toxic) and
+benchmark(item_id, text) of a folder. Every stage writes its result to the shared folder, so a lost
+executor costs one stage at most. Nulls, empty texts and repeated rows are treated as the
+stages' operators say; an empty table passes through.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +12,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firelake.llm import jaccard
+from firelake.llm import decontaminate, jaccard, mixing, pii, toxicity
 from firelake.llm.shared import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
     return jaccard.keep_one_of_each(docs)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that give away no benchmark item."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the kind in place of each piece of personal data."""
+    return pii.without_pii(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of the documents by the target weights of their sources, in one random order."""
+    return mixing.replicate(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("near_duplicates", near_duplicates),
+    ("toxicity", without_toxic),
+    ("ngram_jaccard_join", one_of_each),
+    ("benchmark_decontamination", decontaminated),
+    ("pii", without_pii),
+    ("source_mixing", mixed),
 ]
 
-# The first stage learns from labels, which SQL cannot express.
+# Toxicity is learned from labels, which SQL cannot express.
 ORACLE_SQL: str | None = None
 
 
