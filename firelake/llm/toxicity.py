@@ -214,7 +214,10 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
     chosen = stored(usable.where(draw <= share), "labelled")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = only_ids(texts.where("text IS NOT NULL"), chosen.select("doc_id"), "doc_id")
-    return stored(texts.join(chosen, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "sample")
+    rows = stored(texts.join(chosen, "doc_id"), "sample")
+    same = rows.groupBy(F.xxhash64("text"), F.crc32(F.col("text").cast("binary")), F.length("text"))
+    kept = same.agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "toxic")
+    return rows.drop("toxic").join(kept, "doc_id").select("text", "toxic")
 
 
 def learned_insults(rows: DataFrame) -> dict[str, float]:
@@ -223,20 +226,20 @@ def learned_insults(rows: DataFrame) -> dict[str, float]:
     if len(n) < 2:
         return {}
     words = F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+"), "")
-    listed = rows.select("toxic", F.xxhash64("text").alias("doc"), words.alias("words"))
-    each = listed.select("toxic", "doc", "words", F.posexplode("words").alias("at", "word"))
-    before = F.coalesce(F.get("words", F.col("at") - 1), F.lit(""))
-    met = each.select("toxic", "doc", "word", before.alias("before"))
-    per_doc = met.groupBy("word", "toxic", "doc").agg(F.min("before").alias("before"))
-    counts = per_doc.groupBy("word").agg(
-        F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"), F.countDistinct("before").alias("company")
-    )
-    bad, good = F.col("bad") + 0.5, F.col("good") + 0.5
+    listed = rows.select("toxic", words.alias("words"))
+    each = listed.select("toxic", F.explode(F.array_distinct("words")).alias("word"))
+    counts = each.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("docs"))
+    bad, good = F.col("bad") + 0.5, F.col("docs") - F.col("bad") + 0.5
     odds = F.ln(bad / (n[1] + 1) / (good / (n[0] + 1)))
     certain = odds - 2 * F.sqrt(1 / bad + 1 / good) >= LEAST_LOG_ODDS
-    varied = 2 * F.col("company") >= F.col("bad") + F.col("good")
-    strong = counts.where(certain & varied).select("word", odds.alias("odds"))
-    return {r["word"]: float(r["odds"]) for r in strong.orderBy(F.desc("odds"), "word").limit(MOST_WORDS).collect()}
+    strong = counts.where(certain).select("word", "docs", odds.alias("odds")).orderBy(F.desc("odds"), "word")
+    strong = stored(strong.limit(MOST_WORDS), "words")
+    # The word before each of their mentions.
+    pairs = F.arrays_zip(F.col("words").alias("word"), F.concat(F.array(F.lit("")), "words").alias("before"))
+    met = listed.select(F.explode(pairs).alias("pair")).select("pair.word", "pair.before").where("word IS NOT NULL")
+    company = met.join(F.broadcast(strong.select("word")), "word").groupBy("word").agg(F.countDistinct("before").alias("company"))
+    found = strong.join(company, "word").where("2 * company >= docs").select("word", "odds")
+    return {r["word"]: float(r["odds"]) for r in found.collect()}
 
 
 def _weight_task(scorer) -> Callable[[Batches], Batches]:
