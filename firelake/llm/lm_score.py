@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firelake.llm.shared import stored
+from firelake.llm.shared import MAX_BROADCAST_IDS, stored
 from firelake.llm.words import NOT_ALNUM, mix, pieces, words_of
 
 WORD_BITS = 18
@@ -132,9 +132,12 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     named = good.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    few = named.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
     named = named.withColumn("good", F.lit(True))
-    marked = rows.join(named, "doc_id", "left").select("text", "doc_id", F.coalesce("good", F.lit(False)).alias("good"))
-    marked = stored(marked, "marked")
+    marked = rows.join(F.broadcast(named) if few else named, "doc_id", "left")
+    marked = marked.select("text", "doc_id", F.coalesce("good", F.lit(False)).alias("good"))
+    if not few:
+        marked = stored(marked, "marked")
     counts = docs.sparkSession.sparkContext.broadcast(count(marked))
     schema = "doc_id long, n_words long, target_loss double, background_loss double, score double"
     return marked.mapInArrow(_score_task(counts), schema)
