@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from firelake.llm import mixing, quality, urls
+from firelake.llm import licenses, mixing, quality, urls
 from firelake.llm.quality import LEAST_WORDS, REPEATED_PERCENT, RULES, STOP_WORDS, WINDOW_WORDS
 
 # Everything but capital letters.
@@ -54,6 +54,41 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words
   NOT base_failed AND broken = '' AS kept, broken FROM judged"""
 
 
+def licenses_sql() -> str:
+    """All windows that hold a template shingle, without hashes or bands."""
+    k = licenses.SHINGLE_WORDS
+    quoted = [(name, notice.replace("'", "''")) for name, notice in sorted(licenses.TEMPLATES.items())]
+    rows = ", ".join(f"('{name}', '{notice}')" for name, notice in quoted)
+    following = "".join(f" || ' ' || lead(w, {j}) OVER o" for j in range(1, k))
+
+    def shingles(key: str) -> str:
+        return f"SELECT {key}, i, w{following} AS s FROM {{}} WINDOW o AS (PARTITION BY {key} ORDER BY i)"
+
+    def words(text: str) -> str:
+        return f"[x FOR x IN regexp_split_to_array(lower({text}), '{licenses.NOT_WORD}') IF x <> '']"
+
+    return f"""
+WITH notices(license, notice) AS (VALUES {rows}),
+notice_words AS (SELECT license, {words('notice')} AS words FROM notices),
+notice_each AS (SELECT license, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM notice_words),
+templates AS (
+  SELECT DISTINCT license, s, len(words) AS n, greatest(1, len(words) // 2) AS step
+  FROM ({shingles('license').format('notice_each')}) JOIN notice_words USING (license) WHERE s IS NOT NULL),
+sizes AS (SELECT license, count(*) AS size FROM templates GROUP BY license),
+text_words AS (SELECT doc_id, {words("coalesce(text, '')")} AS words FROM documents),
+text_each AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM text_words),
+hits AS (
+  SELECT doc_id, i - 1 AS p, license, s, n, step FROM ({shingles('doc_id').format('text_each')}) JOIN templates USING (s)),
+windows AS (
+  SELECT doc_id, license, s, step,
+    unnest(range(CAST(greatest(0, ceil((p + {k} - 2 * n) / step)) AS BIGINT), CAST(floor(p / step) AS BIGINT) + 1)) AS v FROM hits),
+held AS (
+  SELECT doc_id, license, v * step + 1 AS first, count(DISTINCT s) AS shared FROM windows GROUP BY doc_id, license, v, step)
+SELECT doc_id, license, max(shared) / CAST(max(size) AS DOUBLE) AS containment,
+  CAST(arg_min(first, (-shared, first)) AS INTEGER) AS first_word
+FROM held JOIN sizes USING (license) WHERE 100 * shared >= {licenses.CONTAINMENT} * size GROUP BY doc_id, license"""
+
+
 def mixing_sql() -> str:
     seed, power = mixing.SEED, float(mixing.TEMPERATURE)
     return f"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firelake.checks.query import Query
-from firelake.llm import decontaminate, jaccard, language, lm_score, mixing, oracles, pii, quality, toxicity, urls
+from firelake.llm import decontaminate, jaccard, language, licenses, lm_score, mixing, oracles, pii, quality, toxicity, urls
 from firelake.llm.shared import held_out
 
 
@@ -27,6 +27,10 @@ def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, docs.where(~F.col("held_out")), keep=("doc_id", "held_out"))
 
 
+def _licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_benchmark_decontamination": Query(_decontamination),
         "op2_language_id": Query(_language),
+        "op3_license_scans": Query(_licenses, oracles.licenses_sql()),
         "op4_quality_rules": Query(_quality, oracles.quality_sql()),
         "op5_source_mixing": Query(_mixture, oracles.mixing_sql()),
         "op6_url_filters": Query(_urls, oracles.urls_sql()),
