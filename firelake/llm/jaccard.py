@@ -225,12 +225,13 @@ def _star_pairs(entries: DataFrame, turn: int, threshold: int) -> DataFrame:
     """Every node, at one token of its own, against a few hubs of other components.
 
     In the first turn a node stands at its most frequent token, later at one that a hash draws; nodes
-    of a family mostly stand together. A token's hubs are drawn one from each of HUBS shares of its nodes.
+    of a family mostly stand together. A token's hubs are drawn one from each of so many shares of its
+    nodes: HUBS in the first turn, four times as many in each later one, for the fewer nodes that are left.
     """
     rank = F.struct(F.col("rows") if turn == 0 else F.lit(0), F.xxhash64("token", F.lit(turn)))
     one = entries.groupBy("node", "n", "comp").agg(F.max_by("token", rank).alias("token"))
     one = stored(one.withColumn("draw", F.xxhash64("node", F.lit(turn))), "places")
-    hubs = one.groupBy("token", F.pmod("draw", F.lit(HUBS)).alias("share"))
+    hubs = one.groupBy("token", F.pmod("draw", F.lit(HUBS * 4**turn)).alias("share"))
     hubs = hubs.agg(F.min(F.struct("draw", "node", "n", "comp")).alias("x")).select("token", "x")
     met = join_reduced(one, hubs, ["token"], "inner").withColumn("y", F.struct("node", "n", "comp"))
     sizes = 100 * F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
@@ -238,10 +239,17 @@ def _star_pairs(entries: DataFrame, turn: int, threshold: int) -> DataFrame:
 
 
 def _across(entries: DataFrame, mains: DataFrame, threshold: int) -> DataFrame:
-    """All pairs of different components that can still link; one side is outside its token's main one."""
+    """All pairs of different components that can still link; one side is outside its token's main one.
+
+    Two nodes that met at the token before, in both their orders, are not paired again.
+    """
     rows = join_reduced(entries, mains, ["token"], "inner")
+    rows = rows.withColumn("before", F.lag("token").over(Window.partitionBy("node").orderBy("pos", "token")))
     a, b = rows.where("comp <> main").alias("x"), rows.alias("y")
-    apart = F.expr("x.token = y.token AND x.comp <> y.comp AND (y.comp = y.main OR x.node < y.node)")
+    apart = F.expr(
+        "x.token = y.token AND x.comp <> y.comp AND (y.comp = y.main OR x.node < y.node)"
+        " AND NOT coalesce(x.before = y.before, false)"
+    )
     return _pairs(a.join(b, apart & _can_link("x", "y", threshold)))
 
 
@@ -294,7 +302,7 @@ def _linked_nodes(index: DataFrame, texts: DataFrame, k: int, threshold: int) ->
         index = stored(index.join(mains.select("token"), "token", "left_semi"), "open")
         entries = _placed(index, named)
         # Turns go on while they shrink what is left.
-        last = left <= LEAST_PAIRS or left > SHRINKS * before
+        last = left <= LEAST_PAIRS or (turn > 1 and left > SHRINKS * before)
         found = links(_across(entries, mains, threshold) if last else _star_pairs(entries, turn, threshold))
         named = _joined(named, found)
         if last:
