@@ -23,8 +23,6 @@ FIRST_CONDITIONS = {
     " AS rn FROM environmental_conditions",
 }
 BUCKET = "CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 100"
-TREES = 20
-DEPTH = 5
 CONFUSION = (
     "SELECT count(*) FILTER (WHERE score > 0.5e0 AND label = 1) AS tp, count(*) FILTER (WHERE score > 0.5e0 AND label = 0)"
     " AS fp, count(*) FILTER (WHERE score <= 0.5e0 AND label = 1) AS fn, count(*) FILTER (WHERE score <= 0.5e0 AND"
@@ -48,7 +46,7 @@ def _tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 def _run(job, spark: SparkSession, sf_dir: str) -> tuple[str, Trained]:
     artifacts = work_dir(spark, "artifacts")
-    settings = {"trees": TREES, "max_depth": DEPTH, "key": ("event_id",), "order": ORDER}
+    settings = {"key": ("event_id",), "order": ORDER}
     return artifacts, job(*_tables(spark, sf_dir), artifacts, **settings)
 
 

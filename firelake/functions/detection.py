@@ -101,9 +101,10 @@ def marker_radius(frp: Column) -> Column:
 
 
 def _id_part(value: Column) -> Column:
-    """A whole number is written without its fraction."""
-    whole = F.floor(value)
-    text = F.when(value == whole, whole.cast("string")).otherwise(value.cast("string"))
+    """A whole number is written without its fraction, any other without an exponent."""
+    whole, text = F.floor(value), value.cast("string")
+    plain = F.regexp_replace(value.try_cast("decimal(38,18)").cast("string"), "0+$", "")
+    text = F.when(value == whole, whole.cast("string")).when(text.contains("E"), F.coalesce(plain, text)).otherwise(text)
     return F.coalesce(text, F.lit("na"))
 
 

@@ -53,9 +53,27 @@ def yearday_to_date(yearday: Column) -> Column:
     return F.when(known, date.cast("string"))
 
 
+# Date-time patterns besides ISO, first match wins.
+DATETIME_PATTERNS = (
+    "M/d/yyyy H:mm:ss",
+    "M/d/yyyy H:mm",
+    "M/d/yyyy",
+    "yyyy/M/d H:mm:ss",
+    "yyyy/M/d H:mm",
+    "yyyyMMdd HHmmss",
+    "yyyyMMdd HHmm",
+    "yyyyMMddHHmm",
+    "yyyyMMdd",
+)
+
+
 def _wall_clock(text: Column) -> Column:
     """`yyyy-MM-dd HH:mm:ss` as written; a zone in the text is kept out of it."""
-    return text.cast("string").try_cast("timestamp_ntz").cast("string")
+    text = F.trim(text.cast("string"))
+    # Eight or twelve digits are a day, not a year of that many.
+    iso = F.when(~text.rlike(r"^\d{5,}"), text.try_cast("timestamp_ntz").cast("string"))
+    others = [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz").cast("string") for p in DATETIME_PATTERNS]
+    return F.coalesce(iso, *others)
 
 
 def datetime_date(text: Column) -> Column:

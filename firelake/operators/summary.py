@@ -69,7 +69,8 @@ def staleness(rows: DataFrame, now: datetime) -> DataFrame:
 def bounding_box(rows: DataFrame, latitude: str = "latitude", longitude: str = "longitude") -> DataFrame:
     """Bounds of the finite coordinates, and where to point the map.
 
-    The centre is that of the bounds while it lies on the map, else the national one.
+    The centre is that of the bounds while it lies on the map, else the national one; a single
+    place is its own centre.
     """
     lat, lon = F.col(latitude), F.col(longitude)
     bound = F.lit(math.inf)
@@ -84,6 +85,7 @@ def bounding_box(rows: DataFrame, latitude: str = "latitude", longitude: str = "
     )
     mid_lat, mid_lon = F.expr("(min_lat + max_lat) / 2"), F.expr("(min_lon + max_lon) / 2")
     on_map = mid_lat.between(MAP_BOX.min_lat, MAP_BOX.max_lat) & mid_lon.between(MAP_BOX.min_lon, MAP_BOX.max_lon)
+    on_map = on_map | (F.expr("min_lat = max_lat AND min_lon = max_lon"))
     return box.withColumns(
         {
             "center_lat": F.when(on_map, mid_lat).otherwise(F.lit(MAP_CENTER[0])),
@@ -132,5 +134,5 @@ def request_metrics(log: DataFrame, endpoint: str, latency_ms: str, at: str) ->
     """Requests and latest latency per endpoint of a request log."""
     return log.groupBy(F.col(endpoint).alias("endpoint")).agg(
         F.count("*").alias("requests"),
-        round_to(F.max_by(latency_ms, at), 2).alias("last_response_ms"),
+        round_to(F.max_by(F.col(latency_ms), F.struct(at, latency_ms)), 2).alias("last_response_ms"),
     )

@@ -17,7 +17,7 @@ from firelake.sources.csv import Window, scan_window_list
 from firelake.sources.payloads import parse_forecast_json, parse_soil_json
 from firelake.sources.tables import append_rows, scan_or_empty
 
-# A micro-batch rarely spans more; beyond it the two outer dates bound the read.
+# Dates that are listed in a filter; more of them are joined. Both read the same partitions' rows.
 MAX_LISTED_DATES = 400
 
 
@@ -33,13 +33,12 @@ def stored_days(table: DataFrame, batch: DataFrame) -> DataFrame:
     The batch's distinct dates are few, so they are looked up and listed in the filter;
     an anti-join alone would read every partition.
     """
-    days = [r[0] for r in batch.select("acq_date").distinct().limit(MAX_LISTED_DATES + 1).collect()]
-    days = [d for d in days if d is not None]
+    dates = batch.where("acq_date IS NOT NULL").select("acq_date").distinct()
+    days = [r[0] for r in dates.limit(MAX_LISTED_DATES + 1).collect()]
     if not days:
         return table.where(F.lit(False))
     if len(days) > MAX_LISTED_DATES:
-        first, last = batch.agg(F.min("acq_date"), F.max("acq_date")).first()
-        return table.where(F.col("acq_date").between(first, last))
+        return table.join(dates, "acq_date", "left_semi").select(*table.columns)
     return table.where(F.col("acq_date").isin(days))
 
 
@@ -64,17 +63,33 @@ def insert_detections(spark: SparkSession, batch: DataFrame, path: str, source:
 
 
 def backfill(spark: SparkSession, windows: Iterable[Window], path: str, source: str = "archive") -> Counts:
-    """Load the landed windows whose first day the table does not have yet.
+    """Load the landed windows whose first day neither the table nor an earlier window has.
 
-    All of them go in as one job; rows the table holds already are skipped.
+    Of windows with one start date the first counts. The rest goes in as one job; rows the
+    table holds already are skipped.
     """
-    windows = list(windows)
-    if not windows:
+    first = {}
+    for window in windows:
+        first.setdefault(window.start_date, window)
+    if not first:
         return Counts(0, 0, 0)
-    listed = spark.createDataFrame([(w.start_date,) for w in windows], "start_date string")
-    missing = {r[0] for r in skip_loaded_windows(listed, scan_or_empty(spark, path, FIRES)).collect()}
-    batch = scan_window_list(spark, [w for w in windows if w.start_date in missing])
-    return insert_detections(spark, batch, path, source)
+    listed = spark.createDataFrame([(start,) for start in first], "start_date string")
+    stored = scan_or_empty(spark, path, FIRES).where(F.col("acq_date").isin([*first]))
+    missing = {r[0] for r in skip_loaded_windows(listed, stored).collect()}
+    left = [w for start, w in first.items() if start in missing]
+    # Which start dates the rows of each window hold: at most one pair per two windows.
+    landed = scan_window_list(spark, left)
+    held = landed.where(F.col("acq_date").isin([w.start_date for w in left])).select("window_start", "acq_date").distinct()
+    starts_in: dict[str, set[str]] = {}
+    for row in held.collect():
+        starts_in.setdefault(row["window_start"], set()).add(row["acq_date"])
+    loaded: set[str] = set()
+    accepted = []
+    for window in left:
+        if window.start_date not in loaded:
+            accepted.append(window)
+            loaded |= starts_in.get(window.start_date, set())
+    return insert_detections(spark, scan_window_list(spark, accepted), path, source)
 
 
 def _enrich(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+import re
 from collections.abc import Iterable, Mapping
+from csv import reader as csv_reader
 from functools import reduce
 from typing import NamedTuple
 
@@ -26,6 +29,8 @@ from firelake.schemas import FIRES, US_BOX, Box
 from firelake.sources.files import matching_paths
 from firelake.sources.tables import empty
 
+log = logging.getLogger(__name__)
+
 # Header spellings per field, first match wins.
 HMS_ALIASES = {
     "latitude": ["latitude", "lat", "y"],
@@ -49,14 +54,58 @@ class Window(NamedTuple):
     path: str
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str] | None:
-    """Column names of the landed files, or None when nothing has landed."""
-    files = matching_paths(spark, path)
-    if not files:
-        return None
-    # Only the start of the first file is read; a folder without files has no columns.
-    lines = spark.read.text(path).limit(1)
-    return spark.read.option("header", True).csv(path).columns if lines.count() else None
+def landed_lines(files: DataFrame) -> DataFrame:
+    """Lines of a text scan or stream, each with its file, the file's time and its place."""
+    return files.select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.col("_metadata.file_modification_time").alias("modified"),
+    )
+
+
+def file_headers(lines: DataFrame) -> DataFrame:
+    """(file, header): the first line of every file, found in one distributed pass."""
+    numbered = lines.where("start = 0").withColumn("at", F.monotonically_increasing_id())
+    return numbered.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+
+
+def header_columns(header: str) -> list[str]:
+    """Column names of a header line; a name that comes again gets its place added."""
+    names = next(csv_reader([header.removeprefix("\ufeff")]), [])
+    return [name if name not in names[:i] else f"{name}{i}" for i, name in enumerate(names)]
+
+
+def header_groups(lines: DataFrame) -> list[tuple[list[str], DataFrame]]:
+    """The lines below each different header. Headers are few, however many files have them."""
+    headers = file_headers(lines)
+    named = lines.join(headers, "file")
+    found = sorted(row["header"] for row in headers.select("header").distinct().collect())
+    below = F.col("value") != F.col("header")
+    return [(header_columns(h), named.where((F.col("header") == h) & below & (F.col("value") != ""))) for h in found]
+
+
+def parsed_lines(lines: DataFrame, schema: T.StructType, keep: Iterable[str] = ()) -> DataFrame:
+    """The values of the lines by the columns of their header; parsed in a generator, once per line."""
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+    return lines.select(*keep, F.inline(F.array(F.from_csv("value", ddl))))
+
+
+def _scan_lines(spark: SparkSession, path: str) -> DataFrame | None:
+    return landed_lines(spark.read.text(path)) if matching_paths(spark, path) else None
+
+
+def rejected_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header) of the landed files without all eight detection columns."""
+    lines = _scan_lines(spark, path)
+    if lines is None:
+        return spark.createDataFrame([], "file string, header string")
+    usable = [h for h in (r["header"] for r in file_headers(lines).select("header").distinct().collect()) if _has_detections(h)]
+    return file_headers(lines).where(~F.col("header").isin(usable) if usable else F.lit(True))
+
+
+def _has_detections(header: str) -> bool:
+    return set(FIRES.fieldNames()) <= set(header_columns(header))
 
 
 def detection_schema(header: Iterable[str]) -> T.StructType:
@@ -65,46 +114,87 @@ def detection_schema(header: Iterable[str]) -> T.StructType:
     return T.StructType([T.StructField(name, known.get(name, T.StringType())) for name in header])
 
 
-def normalize_detections(raw: DataFrame, box: Box = US_BOX) -> DataFrame:
+def normalize_detections(raw: DataFrame, box: Box = US_BOX, keep: Iterable[str] = ()) -> DataFrame:
     """The eight table columns inside the box, NaN as null, time padded to `HHmm`."""
     columns = [
         null_if_nan(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
         for f in FIRES.fields
     ]
-    rows = raw.select(*columns).withColumn("acq_time", pad_time(F.col("acq_time")))
+    rows = raw.select(*keep, *columns).withColumn("acq_time", pad_time(F.col("acq_time")))
     return filter_box(rows, box)
 
 
-def scan_detections_csv(spark: SparkSession, path: str, box: Box = US_BOX) -> DataFrame:
-    """Satellite detections. Files without all eight columns give no rows.
+def detections_of(lines: DataFrame, box: Box = US_BOX, keep: Iterable[str] = ()) -> DataFrame:
+    """Detections of landed lines, each file read by its own header.
 
-    `enforceSchema=False` makes every file of the folder prove that its header has the
-    columns in the order of the first one, instead of being read by position.
+    Files without all eight columns give no rows and hold up no other; they are logged.
     """
-    header = csv_header(spark, path)
-    if header is None or not set(FIRES.fieldNames()) <= set(header):
-        return empty(spark, FIRES)
-    reader = spark.read.schema(detection_schema(header)).option("header", True).option("enforceSchema", False)
-    return normalize_detections(reader.csv(path), box)
+    parts = []
+    for columns, below in header_groups(lines):
+        if set(FIRES.fieldNames()) <= set(columns):
+            parts.append(normalize_detections(parsed_lines(below, detection_schema(columns), keep), box, keep))
+        else:
+            log.warning("files without detection columns are left out; their header is %s", columns)
+    if parts:
+        return reduce(DataFrame.unionByName, parts)
+    return lines.where(F.lit(False)).select(*keep, *[F.lit(None).cast(f.dataType).alias(f.name) for f in FIRES.fields])
+
+
+def scan_detections_csv(spark: SparkSession, path: str, box: Box = US_BOX) -> DataFrame:
+    """Satellite detections of all landed files; column order and further columns do not matter."""
+    lines = _scan_lines(spark, path)
+    return empty(spark, FIRES) if lines is None else detections_of(lines, box)
 
 
 def scan_window_list(spark: SparkSession, windows: Iterable[Window], box: Box = US_BOX) -> DataFrame:
-    """All landed windows as one relation, each row with the start date of its window."""
-    parts = [
-        scan_detections_csv(spark, w.path, box).withColumn("window_start", F.lit(w.start_date)) for w in windows
-    ]
-    if not parts:
+    """All landed windows as one scan, each row with the start date of its window."""
+    start_of = {}
+    for window in windows:
+        for folder in matching_paths(spark, window.path):
+            start_of.setdefault(folder.rstrip("/"), window.start_date)
+    if not start_of:
         return empty(spark, FIRES).withColumn("window_start", F.lit(None).cast("string"))
-    return reduce(DataFrame.unionByName, parts)
+    start = F.lit(None).cast("string")
+    for folder, date in start_of.items():
+        # A file's path begins with its window's folder, up to the number of slashes.
+        inside = F.regexp_replace("file", "^([a-z0-9]+):/+", "$1:/")
+        start = F.when(F.startswith(inside, F.lit(re.sub("^([a-z0-9]+):/+", r"\1:/", folder))), date).otherwise(start)
+    lines = landed_lines(spark.read.text(list(start_of))).withColumn("window_start", start)
+    return detections_of(lines, box, ["window_start"]).select(*FIRES.fieldNames(), "window_start")
 
 
 def scan_hms_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Smoke/fire product with whatever header it has; every column as text."""
-    header = csv_header(spark, path)
-    if header is None:
+    """Smoke/fire product whose files share one header; every column as text."""
+    lines = _scan_lines(spark, path)
+    groups = header_groups(lines) if lines is not None else []
+    if not groups:
         raise FileNotFoundError(f"no smoke/fire product files under {path}")
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    if len(groups) > 1:
+        raise ValueError("the files have several headers: read them with scan_hms")
+    return parsed_lines(groups[0][1], _text_schema(groups[0][0]))
+
+
+def _text_schema(columns: Iterable[str]) -> T.StructType:
+    return T.StructType([T.StructField(name, T.StringType()) for name in columns])
+
+
+def hms_of(lines: DataFrame, run_date: str | Column, box: Box = US_BOX) -> DataFrame:
+    """Detections of smoke/fire lines, each file by its own header; files without a place or a date are left out."""
+    parts = []
+    for columns, below in header_groups(lines):
+        try:
+            parts.append(normalize_hms(parsed_lines(below, _text_schema(columns), [F.col("modified").alias("_written")]), run_date, box))
+        except ValueError as reason:
+            log.warning("files with the header %s are left out: %s", columns, reason)
+    if parts:
+        return reduce(DataFrame.unionByName, parts)
+    return lines.where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in FIRES.fields])
+
+
+def scan_hms(spark: SparkSession, path: str, run_date: str, box: Box = US_BOX) -> DataFrame:
+    """All landed files of the smoke/fire product, whatever headers they have."""
+    lines = _scan_lines(spark, path)
+    return empty(spark, FIRES) if lines is None else hms_of(lines, run_date, box)
 
 
 def resolve_aliases(
@@ -120,11 +210,12 @@ def resolve_aliases(
     return found
 
 
-def normalize_hms(raw: DataFrame, run_date: str, box: Box = US_BOX, default_confidence: str = "medium") -> DataFrame:
+def normalize_hms(raw: DataFrame, run_date: str | Column, box: Box = US_BOX, default_confidence: str = "medium") -> DataFrame:
     """Any header to the eight table columns.
 
     The date comes from a date column, else a datetime, else a year-day number. A
-    missing date becomes `run_date`, a missing time `0000`.
+    missing date becomes `run_date`, a missing time `0000`; rows with a datetime that cannot
+    be read are dropped.
     """
     found = resolve_aliases(raw.columns)
 
@@ -137,7 +228,10 @@ def normalize_hms(raw: DataFrame, run_date: str, box: Box = US_BOX, default_conf
 
     date, time = col("date"), col("time")
     if date is None and found["datetime"]:
-        date, time = datetime_date(col("datetime")), datetime_time(col("datetime"))
+        text = col("datetime")
+        date, time = datetime_date(text), datetime_time(text)
+        # A text that no pattern reads says nothing of the day, least of all that it is today.
+        raw = raw.where(F.coalesce(F.trim(text), F.lit("")).isin("") | date.isNotNull())
     elif date is None and found["yearday"]:
         date = yearday_to_date(col("yearday"))
     if date is None:

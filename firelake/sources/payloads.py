@@ -20,11 +20,11 @@ from firelake.functions import (
 )
 
 GRIDPOINT = "properties struct<gridId: string, gridX: string, gridY: string>"
-# Temperature as text: the payload may quote it.
+# Numbers as text where the payload may quote them.
 FORECAST = """properties struct<periods: array<struct<
-    windSpeed: string, temperature: string, relativeHumidity: struct<value: double>>>>"""
+    windSpeed: string, temperature: string, relativeHumidity: struct<value: string>>>>"""
 SOIL = """hourly struct<soil_moisture_0_to_1cm: array<double>>,
-    daily struct<vapor_pressure_deficit_max: array<double>, et0_fao_evapotranspiration: array<double>>"""
+    daily struct<vapor_pressure_deficit_max: array<string>, et0_fao_evapotranspiration: array<string>>"""
 
 
 def parse_gridpoint_json(payloads: DataFrame, payload: str = "payload") -> DataFrame:
@@ -46,7 +46,7 @@ def parse_forecast_json(payloads: DataFrame, payload: str = "payload") -> DataFr
         *kept,
         # An absent speed reads as no wind.
         parse_wind_kmh(F.col("windSpeed")).alias("wind_speed_kmh"),
-        humidity_pct(F.col("relativeHumidity.value")).alias("humidity_pct"),
+        humidity_pct(to_number(F.col("relativeHumidity.value"))).alias("humidity_pct"),
         fahrenheit_to_c(to_number(F.col("temperature"))).alias("temp_c"),
     )
 
@@ -62,7 +62,7 @@ def parse_soil_json(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     et0 = F.col("daily.et0_fao_evapotranspiration")
 
     def first(series: Column) -> Column:
-        return round_to(F.coalesce(F.get(series, F.lit(0)), F.lit(0.0)), 3)
+        return round_to(F.coalesce(to_number(F.get(series, F.lit(0))), F.lit(0.0)), 3)
 
     return (
         payloads.select(*kept, F.inline(F.array(F.from_json(F.col(payload), SOIL))))

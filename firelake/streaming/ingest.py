@@ -9,71 +9,69 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterable, Sequence
-from datetime import UTC, datetime
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from firelake.plans.ingest import insert_detections
 from firelake.schemas import DETECTION_KEY
-from firelake.sources.csv import csv_header, detection_schema, normalize_detections, normalize_hms
+from firelake.sources.csv import detections_of, hms_of, landed_lines
 
 # Poll interval.
 POLL_INTERVAL = "30 minutes"
-MAX_FILES_PER_BATCH = 1000
 
 log = logging.getLogger(__name__)
 
 
 class Feed(NamedTuple):
-    """Where a source lands its files and how a row of them becomes a detection."""
+    """Where a source lands its files and how their lines become detections."""
 
     source: str
     landing: str
-    raw_schema: T.StructType
-    normalize: Callable[[DataFrame], DataFrame]
-
-
-def _header(spark: SparkSession, landing: str) -> list[str]:
-    header = csv_header(spark, landing)
-    if header is None:
-        raise FileNotFoundError(f"no files have landed under {landing}")
-    return header
+    detections: Callable[[DataFrame], DataFrame]
 
 
 def detection_feed(spark: SparkSession, landing: str, source: str = "satellite") -> Feed:
-    return Feed(source, landing, detection_schema(_header(spark, landing)), normalize_detections)
+    return Feed(source, landing, detections_of)
 
 
 def hms_feed(
-    spark: SparkSession,
-    landing: str,
-    source: str = "smoke",
-    today: Callable[[], str] = lambda: datetime.now(UTC).strftime("%Y-%m-%d"),
+    spark: SparkSession, landing: str, source: str = "smoke", today: Callable[[], str] | None = None
 ) -> Feed:
-    text = T.StructType([T.StructField(name, T.StringType()) for name in _header(spark, landing)])
-    return Feed(source, landing, text, lambda rows: normalize_hms(rows, today()))
+    """A row without a date gets the day its file was written, so that a replay gives it the same key."""
+    written = F.col("_written").cast("date").cast("string")
+    return Feed(source, landing, lambda lines: hms_of(lines, written if today is None else today()))
 
 
 def start_feed(
-    spark: SparkSession, feed: Feed, table: str, checkpoint: str, once: bool = False, interval: str = POLL_INTERVAL
+    spark: SparkSession,
+    feed: Feed,
+    table: str,
+    checkpoint: str,
+    once: bool = False,
+    interval: str = POLL_INTERVAL,
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Start the query of one feed: every `interval`, or over what has landed by now."""
+    """Start the query of one feed: every `interval`, or over what has landed by now.
+
+    Files are streamed as lines and read by their own headers inside the batch, so a file with
+    other columns holds up neither its batch nor a later one. `files_per_batch` bounds a batch.
+    """
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        counts = insert_detections(batch.sparkSession, feed.normalize(batch), table, feed.source)
+        lines = batch.persist()
+        try:
+            counts = insert_detections(batch.sparkSession, feed.detections(lines), table, feed.source)
+        finally:
+            lines.unpersist()
         log.info("%s batch %d: inserted %d, skipped %d", feed.source, batch_id, counts.inserted, counts.skipped)
 
-    landed = (
-        spark.readStream.schema(feed.raw_schema)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("maxFilesPerTrigger", MAX_FILES_PER_BATCH)
-        .csv(feed.landing)
-    )
+    reader = spark.readStream.format("text")
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    landed = landed_lines(reader.load(feed.landing))
     writer = landed.writeStream.foreachBatch(insert).option("checkpointLocation", f"{checkpoint}/{feed.source}")
     trigger = {"availableNow": True} if once else {"processingTime": interval}
     return writer.trigger(**trigger).start()
@@ -90,6 +88,7 @@ def poll_once(
     Returns the sources that succeeded.
     """
     done = []
+    # One after the other: feeds that overlap check the table before they write to it.
     for make in feeds:
         try:
             feed = make(spark)

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from firelake.plans.ingest import backfill, ingest_soil, ingest_weather
+from firelake.plans.ingest import backfill, ingest_soil, ingest_weather, insert_detections
 from firelake.schemas import ENVIRONMENT, FIRES, WEATHER
 from firelake.session import work_dir
 from firelake.sources import builds, csv, payloads, sinks, tables
@@ -46,12 +46,15 @@ def test_detections_without_a_column_or_a_file_are_empty(spark, land, tmp_path):
         assert got.count() == 0 and got.columns == FIRES.fieldNames()
 
 
-def test_a_file_with_another_column_order_is_not_read_by_position(spark, land):
+def test_each_file_is_read_by_its_own_header(spark, land):
     path = land("c/1.csv", HEADER, "34.05,-118.25,330.5,290.1,25.5,2024-08-01,930,h")
     swapped = HEADER.replace("latitude,longitude", "longitude,latitude")
     land("c/2.csv", swapped, "-118.25,34.05,330.5,290.1,25.5,2024-08-01,930,h")
-    with pytest.raises(Exception, match="header does not conform|CSV header"):
-        csv.scan_detections_csv(spark, path).collect()
+    land("c/3.csv", HEADER.replace(",frp", "") + ",a long column that comes first", "34.05,-118.25,330.5,290.1,2024-08-01,930,h,x")
+    land("c/4.csv", "extra," + HEADER, "x,34.05,-118.25,330.5,290.1,25.5,2024-08-01,930,h")
+    rows = csv.scan_detections_csv(spark, path)
+    assert rows.count() == 3 == len(rows.collect()) and rows.distinct().count() == 1
+    assert [r.file[-5:] for r in csv.rejected_files(spark, path).collect()] == ["3.csv"]
 
 
 def test_windows_and_backfill(spark, land):
@@ -70,6 +73,35 @@ def test_windows_and_backfill(spark, land):
     assert tuple(backfill(spark, [], table)) == (0, 0, 0)
 
 
+def test_overlapping_windows_are_loaded_once(spark, land):
+    def lines(*days):
+        return [f"34.05,-118.25,330.5,290.1,25.5,2024-01-0{d},0930,h" for d in days]
+
+    first = csv.Window("2024-01-01", 5, "a", land("o1/1.csv", HEADER, *lines(1, 2, 3, 4, 5)))
+    second = csv.Window("2024-01-03", 5, "a", land("o2/1.csv", HEADER, *lines(3, 4, 5, 6, 7)))
+    other = csv.Window("2024-01-01", 5, "b", land("o3/1.csv", HEADER, *lines(1)))
+    table = work_dir(spark, "overlap")
+    assert backfill(spark, [first, second, other], table).inserted == 5
+
+
+def test_many_dates_and_a_null_one_are_looked_up(spark, make_fires):
+    rest = (34.05, -118.25, 1.0, 1.0, 1.0)
+    days = [f"{1990 + i // 300}-{i % 12 + 1:02d}-{i % 25 + 1:02d}x{i}" for i in range(420)]
+    batch = make_fires(*[(*rest, day, "0930", "h") for day in days], (*rest, None, "0930", "h"))
+    table = work_dir(spark, "dates")
+    assert insert_detections(spark, batch, table, "s").inserted == 421
+    # A row with a null in its key always counts as new.
+    assert insert_detections(spark, batch, table, "s").inserted == 1
+
+
+def test_smoke_files_with_other_headers_and_dates(spark, land):
+    path = land("h/1.csv", "lat,lon,datetime", "34.1,-118.2,06/01/2024 14:30", "34.1,-118.2,20240601 1430", "34.1,-118.2,soon", "34.1,-118.2,")
+    land("h/2.csv", "Longitude,Latitude,date,time", "-118.2,34.1,2024-05-01,905")
+    land("h/3.csv", "a,b", "1,2")
+    rows = sorted((r.acq_date, r.acq_time) for r in csv.scan_hms(spark, path, "2024-09-09").collect())
+    assert rows == [("2024-05-01", "0905"), ("2024-06-01", "1430"), ("2024-06-01", "1430"), ("2024-09-09", "0000")]
+
+
 def _hms(spark, land, name, *lines):
     return csv.normalize_hms(csv.scan_hms_csv(spark, land(f"{name}/1.csv", *lines)), "2024-09-09")
 
@@ -141,7 +173,7 @@ def test_forecast_payloads(spark):
         _payloads(
             spark,
             period(windSpeed="10 mph", temperature=77, relativeHumidity={"value": 41.26}),
-            period(windSpeed="20 km/h", temperature="50"),
+            period(windSpeed="20 km/h", temperature="50", relativeHumidity={"value": "45"}),
             period(temperature=None, relativeHumidity=17),
             {"properties": {"periods": []}},
             {"properties": {}},
@@ -150,7 +182,7 @@ def test_forecast_payloads(spark):
     )
     assert [tuple(r) for r in rows.orderBy("i").collect()] == [
         (0, 16.09, 41.3, 25.0),
-        (1, 20.0, 0.0, 10.0),
+        (1, 20.0, 45.0, 10.0),
         (2, 0.0, 0.0, -17.8),
     ]
 
@@ -166,7 +198,7 @@ def test_soil_payloads(spark):
         _payloads(
             spark,
             doc([0.12, None, 0.14], [1.23456], [4.5]),
-            doc([None, None], [None], [4.5]),
+            doc([None, None], [None], ["4.5"]),
             doc([0.1], [], [4.5]),
             doc(None, [1.0], [4.5]),
             {"hourly": {}, "daily": {}},

@@ -39,6 +39,17 @@ def test_feeds_insert_each_detection_once(spark, tmp_path):
     assert scan_or_empty(spark, table, FIRES).where("acq_date = '2024-09-09' AND acq_time = '0000'").count() == 1
 
 
+def test_a_file_with_another_header_holds_up_nothing(spark, tmp_path):
+    table, checkpoint = work_dir(spark, "fires"), work_dir(spark, "checkpoint")
+    feeds = [lambda s: detection_feed(s, str(tmp_path / "in"))]
+    _land(tmp_path / "in", "1.csv", "a,b", "1,2")
+    assert poll_once(spark, feeds, table, checkpoint) == ["satellite"]
+    _land(tmp_path / "in", "2.csv", HEADER, ROW.format("0930"))
+    _land(tmp_path / "in", "3.csv", "extra," + HEADER, "x," + ROW.format("0931"))
+    assert poll_once(spark, feeds, table, checkpoint) == ["satellite"]
+    assert scan_or_empty(spark, table, FIRES).count() == 2
+
+
 def test_a_batch_run_again_adds_nothing(spark, tmp_path):
     """A checkpoint lost after the append, as by a driver failure in between."""
     table = work_dir(spark, "fires")
