@@ -140,7 +140,7 @@ def shingles(words: Words, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(n) - first[words.row]
     size = np.minimum(counts[words.row], k)
     total = np.zeros(n, dtype=_U)
-    for j in range(k):
+    for j in range(min(k, n)):
         part = words.hash[j:] * _U(pow(_SHINGLE_BASE, j + 1, 1 << 64))
         np.add(total[: n - j], np.where(size[: n - j] > j, part, _U(0)), out=total[: n - j])
     kept = place <= counts[words.row] - size
