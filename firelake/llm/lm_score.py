@@ -1,16 +1,17 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models are counted over all documents: the target model over those marked as good, the
-background model over all others. Both share one vocabulary, the same smoothing and the same tables.
+background model over all others. Both have the same smoothing.
 A document's score is the mean over its words of the loss under the background model less the loss
 under the target model: higher means closer to the target.
 
-The vocabulary is 2 ** WORD_BITS classes of words and 2 ** PAIR_BITS classes of word pairs, by
-hash; every word of every document counts in its class, so nothing is dropped and the model's size
-does not grow with the input. Counts are summed per task, then by class. Probabilities are
-interpolated: pair given word, word, and one in all classes. When a document is scored, each
-occurrence is first taken out of the counts of the model that holds the document, so that no text
-is judged by itself.
+Every word and every word pair has its own count, by a 64-bit hash: the tables are Spark data and grow
+with the corpus. Texts are cut into blocks of about BLOCK_BYTES. A block sends one row for each of its
+distinct n-grams, with its own counts; these are summed by n-gram, and a block gets back the sums that
+differ from what it knows itself. So a frequent n-gram has one row per block, not one per occurrence.
+Probabilities are interpolated: pair given word, word, and a floor of one in 2 ** WORD_BITS. When a
+document is scored, each occurrence is first taken out of the counts of the model that holds the
+document, so that no text is judged by itself.
 
 Words are runs of letters and digits (A-Z folded). A document without words has a score of 0 and
 null losses. Without any good document the two models hold nothing to tell apart: the target model
@@ -20,109 +21,172 @@ and count each time.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firelake.llm.shared import MAX_BROADCAST_IDS, stored
-from firelake.llm.words import NOT_ALNUM, mix, pieces, words_of
+from firelake.llm.words import NOT_ALNUM, mix, pieces, utf8, words_of
 
+# The floor under a word's probability is one in 2 ** WORD_BITS, however many words there are.
 WORD_BITS = 18
-PAIR_BITS = 21
-# Weights of pair, word and uniform probability.
+# Weights of pair, word and floor.
 WEIGHTS = (0.55, 0.44, 0.01)
+# Text that is counted and scored together; a longer single text is a block of its own.
+BLOCK_BYTES = 24_000_000
+_ROWS = 200_000
 _U = np.uint64
+# Stands for all words: its counts are the sizes of the models.
+ALL_WORDS = _U(0)
 
 Batches = Iterator[pa.RecordBatch]
 
 
-class Counts(NamedTuple):
-    """Occurrences by class, for background (0) and target (1)."""
+class Grams(NamedTuple):
+    """Words of some texts in reading order; a pair is at the place of its second word."""
 
-    words: np.ndarray
-    pairs: np.ndarray
+    row: np.ndarray
+    word: np.ndarray
+    second: np.ndarray
+    pair: np.ndarray
 
 
-def empty_counts() -> Counts:
-    return Counts(np.zeros((2, 1 << WORD_BITS), np.int32), np.zeros((2, 1 << PAIR_BITS), np.int32))
+def grams(texts: pa.Array) -> Grams:
+    words = words_of(texts, NOT_ALNUM)
+    second = np.flatnonzero(words.row[1:] == words.row[:-1]) + 1 if len(words.row) else np.zeros(0, np.int64)
+    return Grams(words.row, words.hash, second, mix(words.hash[second - 1] * _U(3) + words.hash[second]))
 
 
-def classes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row and class of each word; index and class of each pair, at the place of its second word."""
-    words = words_of(texts, NOT_ALNUM)
-    word = (words.hash >> _U(64 - WORD_BITS)).astype(np.int64)
-    second = np.flatnonzero(words.row[1:] == words.row[:-1]) + 1 if len(word) else np.zeros(0, np.int64)
-    joint = mix(words.hash[second - 1] * _U(3) + words.hash[second])
-    return words.row, word, second, (joint >> _U(64 - PAIR_BITS)).astype(np.int64)
+class Counts(NamedTuple):
+    """Distinct n-grams, ascending, and their occurrences in background (0) and target (1)."""
+
+    grams: np.ndarray
+    seen: np.ndarray
+
+
+def counted(parts: list[tuple[Grams, np.ndarray]]) -> Counts:
+    """Counts of texts, given as n-grams and whether each text is good."""
+    keys = [np.zeros(0, _U)]
+    sides = [np.zeros(0, bool)]
+    sizes = np.zeros(2, np.int64)
+    for found, good in parts:
+        side = good[found.row]
+        keys += [found.word, found.pair]
+        sides += [side, side[found.second]]
+        sizes += np.bincount(side, minlength=2)
+    values, place = np.unique(np.concatenate(keys), return_inverse=True)
+    side = np.concatenate(sides)
+    seen = np.stack([np.bincount(place[side == model], minlength=len(values)) for model in (False, True)])
+    return Counts(np.append(ALL_WORDS, values), np.concatenate([sizes[:, None], seen], axis=1))
+
+
+def _block_task(batches: Batches) -> Batches:
+    """The rows with the number of their block."""
+    block, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        for piece in pieces(batch, "text"):
+            more = len(utf8(piece.column(0))[0]) + 16 * piece.num_rows
+            if size and size + more > BLOCK_BYTES:
+                block, size = block + 1, 0
+            size += more
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(piece.num_rows, block, np.int64)), *piece.columns], names=["block", *piece.schema.names]
+            )
+
+
+def _flags(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _rows(block: int, counts: Counts) -> Batches:
+    for begin in range(0, len(counts.grams), _ROWS):
+        part = slice(begin, begin + _ROWS)
+        gram = counts.grams[part].view(np.int64)
+        columns = [np.full(len(gram), block, np.int64), gram, counts.seen[0, part], counts.seen[1, part]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "gram", "background", "target"])
 
 
 def _count_task(batches: Batches) -> Batches:
-    counts = empty_counts()
+    current, parts = None, []
     for batch in batches:
-        for piece in pieces(batch, "text"):
-            good = piece.column(1).to_numpy(zero_copy_only=False).astype(int)
-            row, word, second, pair = classes(piece.column(0))
-            np.add.at(counts.words, (good[row], word), 1)
-            np.add.at(counts.pairs, (good[row[second]], pair), 1)
-    for table, values in enumerate(counts):
-        used = np.flatnonzero(values.any(axis=0))
-        for begin in range(0, len(used), 100_000):
-            part = used[begin : begin + 100_000]
-            columns = [np.full(len(part), table, np.int32), part.astype(np.int32), values[0, part].astype(np.int64), values[1, part].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["table", "class", "background", "target"])
-
-
-def count(marked: DataFrame) -> Counts:
-    """Both models' counts over all rows of `marked(text, good)`; as many rows are collected as there are classes."""
-    schema = "table int, class int, background long, target long"
-    rows = marked.select("text", "good").mapInArrow(_count_task, schema)
-    summed = rows.groupBy("table", "class").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    counts = Counts(*(c.astype(np.int64) for c in empty_counts()))
-    for batch in summed.toArrow().to_batches():
-        table, number, background, target = (c.to_numpy() for c in batch.columns)
-        for t in range(2):
-            chosen = table == t
-            counts[t][0, number[chosen]] = background[chosen]
-            counts[t][1, number[chosen]] = target[chosen]
-    return Counts(*(np.minimum(c, np.iinfo(np.int32).max).astype(np.int32) for c in counts))
-
-
-def losses(counts: Counts, texts: pa.Array, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        column = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(column[1:] != column[:-1]) + 1
+        for low, high in zip([0, *cuts], [*cuts, len(column)]):
+            if low == high:
+                continue
+            if parts and column[low] != current:
+                yield from _rows(current, counted(parts))
+                parts = []
+            current = int(column[low])
+            for piece in pieces(batch.slice(low, high - low), "text"):
+                parts.append((grams(piece.column(1)), _flags(piece.column(2))))
+    if parts:
+        yield from _rows(current, counted(parts))
+
+
+def other_counts(marked: DataFrame) -> DataFrame:
+    """(block, gram, background, target) over all rows of `marked(block, text, good)`.
+
+    N-grams that a block has for itself are left out: it knows their counts.
+    """
+    schema = "block long, gram long, background long, target long"
+    rows = marked.select("block", "text", "good").mapInArrow(_count_task, schema)
+    same = Window.partitionBy("gram")
+    sums = rows.select("*", *(F.sum(c).over(same).alias(f"all_{c}") for c in ("background", "target")))
+    shared = sums.where("all_background != background OR all_target != target")
+    return shared.select("block", "gram", F.col("all_background").alias("background"), F.col("all_target").alias("target"))
+
+
+def losses(counts: Counts, found: Grams, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of each text, and the summed loss of each text under both models (bits)."""
-    row, word, second, pair = classes(texts)
-    n = np.bincount(row, minlength=len(texts))
-    out = np.zeros((2, len(texts)))
+    n = np.bincount(found.row, minlength=len(good))
+    out = np.zeros((2, len(good)))
+    # ALL_WORDS is the first n-gram.
+    word = np.searchsorted(counts.grams[1:], found.word) + 1
+    pair = np.searchsorted(counts.grams[1:], found.pair) + 1
     for model in range(2):
-        own = (good[row] == model).astype(np.int64)
-        total = int(counts.words[model].sum(dtype=np.int64))
-        seen = np.maximum(0, counts.words[model, word] - own)
+        own = (good[found.row] == bool(model)).astype(np.int64)
+        total = int(counts.seen[model, 0])
+        seen = np.maximum(0, counts.seen[model, word] - own)
         chance = WEIGHTS[1] * seen / np.maximum(1, total - own) + WEIGHTS[2] / (1 << WORD_BITS)
-        before = seen[second - 1]
-        both = np.maximum(0, counts.pairs[model, pair] - own[second])
-        chance[second] += WEIGHTS[0] * np.minimum(1.0, both / np.maximum(1, before))
-        out[model] = np.bincount(row, -np.log2(chance), minlength=len(texts))
+        before = seen[found.second - 1]
+        both = np.maximum(0, counts.seen[model, pair] - own[found.second])
+        chance[found.second] += WEIGHTS[0] * np.minimum(1.0, both / np.maximum(1, before))
+        out[model] = np.bincount(found.row, -np.log2(chance), minlength=len(good))
     return n, out
 
 
-def _score_task(counts) -> Callable[[Batches], Batches]:
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                good = piece.column(2).to_numpy(zero_copy_only=False).astype(int)
-                n, loss = losses(counts.value, piece.column(0), good)
-                mean = loss / np.maximum(1, n)
-                nothing = n == 0
-                columns = [
-                    piece.column(1), pa.array(n.astype(np.int64)), pa.array(mean[1], mask=nothing), pa.array(mean[0], mask=nothing),
-                    pa.array(np.where(nothing, 0.0, mean[0] - mean[1])),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
-
-    return run
+_SCORES = "doc_id long, n_words long, target_loss double, background_loss double, score double"
+
+
+def _score_block(texts: pa.Table, others: pa.Table) -> pa.Table:
+    """Scores of one block, with the counts that `others` adds to its own."""
+    parts = [
+        (piece.column(2), grams(piece.column(1)), _flags(piece.column(3)))
+        for batch in texts.select(["block", "text", "doc_id", "good"]).to_batches()
+        for piece in pieces(batch, "text")
+    ]
+    counts = counted([part[1:] for part in parts])
+    gram = others.column("gram").to_numpy().view(_U)
+    place = np.where(gram == ALL_WORDS, 0, np.searchsorted(counts.grams[1:], gram) + 1)
+    for model, name in enumerate(("background", "target")):
+        counts.seen[model, place] = others.column(name).to_numpy()
+    out = []
+    for doc_id, found, good in parts:
+        n, loss = losses(counts, found, good)
+        mean = loss / np.maximum(1, n)
+        nothing = n == 0
+        columns = [
+            doc_id, pa.array(n.astype(np.int64)), pa.array(mean[1], mask=nothing), pa.array(mean[0], mask=nothing),
+            pa.array(np.where(nothing, 0.0, mean[0] - mean[1])),
+        ]
+        out.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "target_loss", "background_loss", "score"]))
+    return pa.Table.from_batches(out)
 
 
 def cross_entropy_difference(docs: DataFrame, good: DataFrame) -> DataFrame:
@@ -136,8 +200,5 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame) -> DataFrame:
     named = named.withColumn("good", F.lit(True))
     marked = rows.join(F.broadcast(named) if few else named, "doc_id", "left")
     marked = marked.select("text", "doc_id", F.coalesce("good", F.lit(False)).alias("good"))
-    if not few:
-        marked = stored(marked, "marked")
-    counts = docs.sparkSession.sparkContext.broadcast(count(marked))
-    schema = "doc_id long, n_words long, target_loss double, background_loss double, score double"
-    return marked.mapInArrow(_score_task(counts), schema)
+    marked = stored(marked.mapInArrow(_block_task, "block long, text string, doc_id long, good boolean"), "marked")
+    return marked.groupBy("block").cogroup(other_counts(marked).groupBy("block")).applyInArrow(_score_block, _SCORES)

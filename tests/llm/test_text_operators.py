@@ -325,3 +325,22 @@ def test_lm_scores_against_plain_counts(spark):
             assert r.target_loss == pytest.approx(loss(r.doc_id, True)) and r.background_loss == pytest.approx(loss(r.doc_id, False))
         else:
             assert r.score == 0.0 and r.target_loss is None
+
+
+def test_lm_counts_each_pair_by_itself(spark, monkeypatch):
+    # More distinct words and pairs than a table of 2 ** 18 words and 2 ** 21 pairs keeps apart, in many blocks.
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 2_000_000)
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{v}" for v in rng.integers(0, 400_000, 20_000)) for _ in range(60)]
+    texts += ["alpha beta gamma", "alpha beta delta", "unseen words only"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    good = spark.createDataFrame([(i,) for i in [*range(0, 60, 2), 60, 61]], "doc_id long")
+    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(docs, good).collect()}
+    assert len(got) == len(texts)
+    total = 30 * 20_000
+    floor = 0.01 / 2**lm_score.WORD_BITS
+    # Each word of the last text occurs nowhere else: nothing but the floor in both models.
+    assert got[62].background_loss == pytest.approx(-math.log2(floor)) and got[62].target_loss == pytest.approx(-math.log2(floor))
+    one = 0.44 / (total + 5) + floor
+    wanted = -(math.log2(one) + math.log2(one + 0.55) + math.log2(floor)) / 3
+    assert got[60].target_loss == pytest.approx(wanted) and got[60].score == pytest.approx(-math.log2(floor) - wanted)
