@@ -156,11 +156,12 @@ def edges(tokens: Sequence[Token]) -> tuple[np.ndarray, np.ndarray]:
     """(pairs of tokens, 0 for a chain and 1 for a skip edge); each mention is tied to the one before."""
     pairs, kinds, seen = [], [], {}
     for i, token in enumerate(tokens):
-        if i and _adjacent(tokens[i - 1], token):
+        chained = i > 0 and _adjacent(tokens[i - 1], token)
+        if chained:
             pairs.append((i - 1, i))
             kinds.append(0)
         key = _mention(token.text)
-        if key in seen and seen[key] != i - 1:
+        if key in seen and not (chained and seen[key] == i - 1):
             pairs.append((seen[key], i))
             kinds.append(1)
         seen[key] = i

@@ -344,3 +344,28 @@ def test_lm_counts_each_pair_by_itself(spark, monkeypatch):
     one = 0.44 / (total + 5) + floor
     wanted = -(math.log2(one) + math.log2(one + 0.55) + math.log2(floor)) / 3
     assert got[60].target_loss == pytest.approx(wanted) and got[60].score == pytest.approx(-math.log2(floor) - wanted)
+
+
+def _field():
+    filler = "lorem ipsum dolor sit amet 7 times or 2024 "
+    calls = [f"call +1 555-010-{1000 + i} now, mail u{i}@site.org at 10.0.0.{i % 200}" for i in range(300)]
+    texts = [f"{filler}{call} {filler}or {call if i % 2 else ''} {filler}" for i, call in enumerate(calls)]
+    sample = []
+    for text in texts:
+        tokens = pii.open_tokens(text)
+        sample.append([(*t, int(y)) for t, y in zip(tokens, pii.token_labels(tokens, pii.base_spans(text)))])
+    return pii.fit(sample)
+
+
+@pytest.mark.parametrize("between", ["words and more words", "lorem 7 times or 2024"])
+def test_field_ties_mentions_apart(between):
+    text = f"call +1 555-010-7777 now {between} again 555-010-7777 tonight"
+    tokens = pii.open_tokens(text)
+    mentions = [i for i, t in enumerate(tokens) if t.text == "555-010-7777"]
+    pairs, kinds = pii.edges(tokens)
+    assert (tuple(mentions), 1) in [(tuple(p), k) for p, k in zip(pairs.tolist(), kinds)]
+    base, spans = pii.all_spans(text, _field())
+    at = text.rindex("555-010-7777")
+    assert (at, pii.KINDS.index("phone"), at + 12) in {tuple(s) for s in spans} - {tuple(s) for s in base}
+    tokens = pii.open_tokens("call 555-010-7777 555-010-7777")
+    assert pii.edges(tokens)[1].tolist() == [0]
