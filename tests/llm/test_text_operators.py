@@ -369,3 +369,27 @@ def test_field_ties_mentions_apart(between):
     assert (at, pii.KINDS.index("phone"), at + 12) in {tuple(s) for s in spans} - {tuple(s) for s in base}
     tokens = pii.open_tokens("call 555-010-7777 555-010-7777")
     assert pii.edges(tokens)[1].tolist() == [0]
+
+
+def test_field_reaches_far_mentions():
+    """Against exact beliefs: one known label at the end of a long row of mentions."""
+    names = {"any": 0}
+    weak = np.zeros((1, pii.OUTSIDE + 1))
+    pair = np.zeros((2, pii.OUTSIDE + 1, pii.OUTSIDE + 1))
+    pair[1] = 8.0 * np.eye(pii.OUTSIDE + 1)
+    field, n = pii.Field(names, weak, pair), 60
+    text = " and ".join(["+1 555-010-7777"] + ["5550107777"] * n)
+    tokens = pii.open_tokens(text)
+    labels = pii.token_labels(tokens, pii.base_spans(text))
+    belief = field.beliefs(tokens, labels)[:, pii.KINDS.index("phone")]
+    step = np.exp(pair[1])
+    step /= step.sum(axis=1, keepdims=True)
+    for k in (1, 9, 30, n):
+        assert belief[1 + k] == pytest.approx(np.linalg.matrix_power(step, k)[3, 3], abs=1e-3)
+    assert belief[-1] >= pii.CERTAIN and pii.all_spans(text, field)[1][-1].end == len(text)
+
+
+def test_similar_numbers_are_tied():
+    tokens = pii.open_tokens("+15550107777 then 5550107777 then 010-7777 then 5550107777 or 5550108888")
+    pairs, kinds = pii.edges(tokens)
+    assert pairs.tolist() == [[0, 1], [1, 2], [1, 3]] and kinds.tolist() == [1, 1, 1]
