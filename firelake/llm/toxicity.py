@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firelake.llm.shared import held_out, only_ids, stored
-from firelake.llm.words import NOT_ALNUM, pieces, words_of
+from firelake.llm.words import NOT_ALNUM, pieces, utf8, words_of
 
 THRESHOLD = 0.3
 SAMPLE_ROWS = 20_000
@@ -173,12 +173,17 @@ class Scorer:
         return total
 
     def weights(self, texts: pa.Array) -> np.ndarray:
-        """As `weight`, for many texts; only those with an insult or threat are read word by word."""
+        """As `weight`, for many texts; only those with an insult or threat are read word by word.
+
+        Bytes tell the words of ASCII texts only, so texts with other characters are all read.
+        """
         words = words_of(texts, NOT_ALNUM)
         place = np.searchsorted(self.heavy, words.hash)
         hit = np.append(self.heavy, 0)[place] == words.hash
+        raw, at = utf8(texts)
+        wide = np.searchsorted(at[1:], np.flatnonzero(raw >= 128), side="right")
         out = np.zeros(len(texts))
-        for row in np.unique(words.row[hit]):
+        for row in np.union1d(words.row[hit], wide):
             out[row] = self.weight(texts[int(row)].as_py())
         return out
 

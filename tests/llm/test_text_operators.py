@@ -393,3 +393,15 @@ def test_similar_numbers_are_tied():
     tokens = pii.open_tokens("+15550107777 then 5550107777 then 010-7777 then 5550107777 or 5550108888")
     pairs, kinds = pii.edges(tokens)
     assert pairs.tolist() == [[0, 1], [1, 2], [1, 3]] and kinds.tolist() == [1, 1, 1]
+
+
+def test_weights_of_many_texts_as_of_one():
+    scorer = toxicity.Scorer({w: 3.0 for w in toxicity.INSULTS})
+    texts = [
+        "plain words", "what an idiot", "", "\u201cidiot\u201d he shouted", "you\u2014idiot\u2026", "idiot\u00a0!", "QUEL IMB\u00c9CILE",
+        "CR\u00c9TIN", "ich will dich T\u00d6TEN \u2013 dich", "caf\u00e9", "You \u00abMORON\u00bb", "id_iot", "an_idiot_",
+    ]
+    wanted = [scorer.weight(t) for t in texts]
+    assert scorer.weights(pa.array(texts)).tolist() == wanted
+    assert sum(w > 0 for w in wanted) == 9
+    assert scorer.weights(pa.array(texts).slice(3, 2)).tolist() == wanted[3:5]
