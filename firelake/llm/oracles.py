@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from firelake.llm import licenses, mixing, quality, urls
+from firelake.llm import licenses, mixing, negatives, quality, sharding, spelling, urls
 from firelake.llm.quality import LEAST_WORDS, REPEATED_PERCENT, RULES, STOP_WORDS, WINDOW_WORDS
 
 # Everything but capital letters.
@@ -123,3 +123,102 @@ WITH parts AS (
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)
 SELECT page_id, host, path, CASE {rule} END AS rule,
   CASE {verdict} WHEN {unwanted} THEN 'block' ELSE 'allow' END AS verdict FROM parts"""
+
+
+# crc_table: the 256 values of CRC-32 as one list.
+CRC_TABLE = """
+crc_steps(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) r(i) UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS crc FROM crc_steps WHERE k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes; crc_table must be joined."""
+    octets = f"[CAST('0x' || h AS BIGINT) FOR h IN regexp_extract_all(hex(encode({text})), '..')]"
+    step = "lambda c, b: xor(c // 256, crc[xor(c % 256, b) + 1])"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), {step}), 4294967295)"
+
+
+def shards_sql() -> str:
+    seed, shards = sharding.SEED, sharding.SHARDS
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+records AS (
+  SELECT doc_id, text, coalesce(strlen(text), 0) + 1 AS size,
+    coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '') AS identity FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY identity) - 1 AS copy FROM records),
+totals AS (
+  SELECT greatest(1, ceil(count(*) / {sharding.BUCKET_ROWS}), ceil(sum(size) / {sharding.BUCKET_BYTES})) AS buckets FROM records),
+drawn AS (SELECT *, md5('{seed}:' || identity || ':' || copy) AS draw FROM numbered),
+placed AS (SELECT *, CAST('0x' || substr(draw, 1, 15) AS BIGINT) % CAST(buckets AS BIGINT) AS bucket FROM drawn, totals),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY draw) AS rank FROM placed),
+counts AS (SELECT bucket, count(*) AS n, sum(count(*)) OVER (ORDER BY bucket) - count(*) AS start FROM placed GROUP BY bucket),
+fisher_yates(bucket, start, i, a) AS (
+  SELECT bucket, start, n - 1, range(n) FROM counts UNION ALL
+  SELECT bucket, start, i - 1, list_transform(a, lambda x, p: CASE p - 1 WHEN i THEN a[j + 1] WHEN j THEN a[i + 1] ELSE x END)
+  FROM (SELECT *, CAST('0x' || substr(md5('swap {seed}:' || bucket || ':' || i), 1, 13) AS BIGINT) % (i + 1) AS j
+    FROM fisher_yates WHERE i > 0)),
+put AS (
+  SELECT doc_id, size, text, CAST(start + a[rank] AS BIGINT) AS place
+  FROM ranked JOIN (SELECT * FROM fisher_yates WHERE i = 0) USING (bucket))
+SELECT doc_id, CAST(size AS BIGINT) AS size, {_crc32("coalesce(text, '')")} AS text_crc32, 'rows' AS law,
+  CAST(place % {shards} AS INTEGER) AS shard, place // {shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM put, crc_table"""
+
+
+def spelling_sql() -> str:
+    """Near words by what is left of each without one letter; roots by walking the forms."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    least = spelling.LEAST_LETTERS
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(translate(text, '{capitals}', '{capitals.lower()}'),
+    '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+in_docs AS (SELECT doc, run, count(*) AS n FROM runs WHERE length(run) >= {least} GROUP BY ALL),
+hashed AS (SELECT *, {_crc32("doc || ':' || run")} AS h FROM in_docs, crc_table),
+strewn AS (
+  SELECT CASE WHEN h % {spelling.STREWN} = 0
+    THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM strewn WHERE length(word) >= {least} GROUP BY word
+  HAVING sum(n) >= {spelling.LEAST_COUNT}),
+gaps AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM gaps a JOIN gaps b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM gaps a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM gaps a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+forms AS (
+  SELECT word, CASE WHEN near_n >= {spelling.RATIO} * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN near_n >= {spelling.RATIO} * n THEN near_n END AS form_n FROM words LEFT JOIN best USING (word)),
+walk(word, place) AS (
+  SELECT word, word FROM forms UNION ALL
+  SELECT walk.word, form FROM walk JOIN forms ON walk.place = forms.word WHERE form IS NOT NULL)
+SELECT forms.word, forms.form, walk.place AS root, forms.n, forms.n_near, forms.form_n
+FROM forms JOIN walk USING (word) JOIN forms last ON last.word = walk.place AND last.form IS NULL"""
+
+
+def negatives_sql() -> str:
+    return f"""
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {negatives.POSITIVES})
+SELECT anchor_id, positive_id, CAST(row_number() OVER inside AS INTEGER) AS rank, vec_id AS negative_id, positive_score,
+  score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND {negatives.LOW} * positive_score <= 100 * score AND 100 * score <= {negatives.HIGH} * positive_score
+WINDOW inside AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER inside <= {negatives.NEGATIVES}"""

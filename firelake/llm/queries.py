@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firelake.checks.query import Query
-from firelake.llm import decontaminate, jaccard, language, licenses, lm_score, mixing, oracles, pii, quality, toxicity, urls
+from firelake.llm import decontaminate, jaccard, language, licenses, lm_score, mixing, negatives, oracles, pii, quality
+from firelake.llm import sharding, spelling, toxicity, urls
 from firelake.llm.shared import held_out
 
 
@@ -62,6 +63,21 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def _spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(documents(spark, sf_dir), strewn=spelling.STREWN))
+
+
+def _shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(documents(spark, sf_dir))
+
+
+def _negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = negatives.scaled(table(spark, sf_dir, "embeddings"), "embedding", 256)
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = vectors.withColumn("label", moved)
+    return negatives.hard_negatives(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_benchmark_decontamination": Query(_decontamination),
@@ -74,4 +90,7 @@ def queries() -> dict[str, Query]:
         "op8_pii_spans": Query(_pii),
         "op9_ngram_jaccard_join": Query(_near_duplicates),
         "op10_toxicity_grammar": Query(_toxicity),
+        "op11_spelling_variants": Query(_spelling, oracles.spelling_sql()),
+        "op12_shard_shuffle": Query(_shards, oracles.shards_sql()),
+        "op13_hard_negatives": Query(_negatives, oracles.negatives_sql()),
     }
