@@ -109,10 +109,15 @@ def queries() -> dict[str, Query]:
         "bounding_box": Query(
             over("fires", build=lambda fires: summary.bounding_box(filter_us_box(fires))),
             with_views(
-                "SELECT count(*) AS n, min(latitude) AS min_lat, max(latitude) AS max_lat, min(longitude) AS min_lon,"
-                " max(longitude) AS max_lon, (min(latitude) + max(latitude)) / 2 AS center_lat,"
-                f" (min(longitude) + max(longitude)) / 2 AS center_lon, 7 AS max_zoom FROM fires WHERE {US}",
+                "SELECT n, min_lat, max_lat, min_lon, max_lon, round(degrees(2 * atan(exp((0.5e0 - (top + low) / 2) * 2 * pi()))"
+                " - pi() / 2) * 1e6) / 1e6 AS center_lat, round((min_lon + max_lon) / 2 * 1e6) / 1e6 AS center_lon,"
+                " CAST(greatest(4, least(7, floor(round(log2(least(924e0 / 256 * 360 / (max_lon - min_lon),"
+                " 668e0 / 256 / (low - top))) * 1e2) / 1e2))) AS INTEGER) AS zoom, 7 AS max_zoom FROM placed",
                 "fires",
+                box="SELECT count(*) AS n, min(latitude) AS min_lat, max(latitude) AS max_lat, min(longitude) AS min_lon,"
+                f" max(longitude) AS max_lon FROM fires WHERE {US}",
+                placed="SELECT *, 0.5e0 - ln((1 + sin(radians(max_lat))) / (1 - sin(radians(max_lat)))) / (4 * pi()) AS top,"
+                " 0.5e0 - ln((1 + sin(radians(min_lat))) / (1 - sin(radians(min_lat)))) / (4 * pi()) AS low FROM box",
             ),
         ),
         "heat_points": Query(
@@ -128,13 +133,28 @@ def queries() -> dict[str, Query]:
             over("fires", build=lambda fires: summary.cluster_counts(fires, zoom=5)),
             with_views(
                 "SELECT CAST(floor(x / 40) AS BIGINT) AS grid_x, CAST(floor(y / 40) AS BIGINT) AS grid_y, count(*) AS n,"
-                " round(avg(latitude) * 1e6) / 1e6 AS latitude, round(avg(longitude) * 1e6) / 1e6 AS longitude,"
+                " round(sum(CAST(round(latitude * 1e6) AS BIGINT)) / count(*)) / 1e6 AS latitude,"
+                " round(sum(CAST(round(longitude * 1e6) AS BIGINT)) / count(*)) / 1e6 AS longitude,"
                 " CASE WHEN count(*) >= 100 THEN 'large' WHEN count(*) >= 10 THEN 'medium' ELSE 'small' END AS size"
                 " FROM projected GROUP BY 1, 2",
                 "fires",
                 **GRID,
             ),
         ),
+        "cluster_pyramid": Query(
+            over("fires", build=summary.cluster_pyramid),
+            with_views(
+                "SELECT zoom, CAST(floor(x * 256 * (1 << zoom) / 40) AS BIGINT) AS grid_x,"
+                " CAST(floor(y * 256 * (1 << zoom) / 40) AS BIGINT) AS grid_y, count(*) AS n,"
+                " round(sum(CAST(round(latitude * 1e6) AS BIGINT)) / count(*)) / 1e6 AS latitude,"
+                " round(sum(CAST(round(longitude * 1e6) AS BIGINT)) / count(*)) / 1e6 AS longitude,"
+                " CASE WHEN count(*) >= 100 THEN 'large' WHEN count(*) >= 10 THEN 'medium' ELSE 'small' END AS size"
+                " FROM at_zoom GROUP BY 1, 2, 3",
+                "fires",
+                at_zoom="SELECT latitude, longitude, (longitude + 180e0) / 360e0 AS x, 0.5e0 - ln((1e0 + sin(radians(latitude)))"
+                " / (1e0 - sin(radians(latitude)))) / (4e0 * pi()) AS y, unnest(range(8)::INTEGER[]) AS zoom FROM fires",
+            ),
+        ),
         "request_metrics": Query(
             over("events", build=lambda log: summary.request_metrics(log, "event_type", "value", "ts")),
             "SELECT event_type AS endpoint, count(*) AS requests, arg_max(value, ts) AS last_response_ms"

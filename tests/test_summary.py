@@ -53,11 +53,29 @@ def test_bounding_box(spark):
         return summary.bounding_box(spark.createDataFrame(list(points), "latitude double, longitude double")).first()
 
     assert tuple(box((30.0, -120.0), (40.0, -100.0), (float("nan"), -100.0), (float("inf"), 1.0), (None, 1.0))) == (
-        2, 30.0, 40.0, -120.0, -100.0, 35.0, -110.0, 7,
+        2, 30.0, 40.0, -120.0, -100.0, 35.153392, -110.0, 6, 7,
     )
-    assert tuple(box()) == (0, None, None, None, None, 39.8283, -98.5795, 5)
-    # Centre off the map.
-    assert box((60.0, -120.0))[5:7] == (39.8283, -98.5795)
+    assert tuple(box()) == (0, None, None, None, None, 39.8283, -98.5795, 5, 5)
+    # One detection is its own centre wherever it is; two at one place are not.
+    assert box((60.0, -120.0))[5:] == (60.0, -120.0, 7, 7)
+    assert box((60.0, -120.0), (60.0, -120.0))[5:] == (39.8283, -98.5795, 7, 7)
+    assert box((40.0, -100.0), (40.0, -100.0))[5:] == (40.0, -100.0, 7, 7)
+    # A row without coordinates is a row, so the other is not alone.
+    assert box((60.0, -120.0), (None, 1.0))[5:7] == (39.8283, -98.5795)
+
+
+def test_fitted_zoom(spark):
+    def zoom(*points, view=(1024, 768)):
+        rows = spark.createDataFrame(list(points), "latitude double, longitude double")
+        return summary.bounding_box(rows, view=view).first().zoom
+
+    # 256 * 2 ** zoom pixels for 360 degrees, and 924 of 1024 pixels to show them in.
+    for wanted in (4, 5, 6, 7):
+        exact = 924 / 256 / 2**wanted * 360
+        assert zoom((39.0, -100.0 - exact / 2), (39.0, -100.0 + exact / 2)) == wanted
+        assert zoom((39.0, -100.0 - exact * 0.51), (39.0, -100.0 + exact * 0.51)) == max(4, wanted - 1)
+    assert zoom((39.0, -100.0), (39.0, -100.1)) == 7 and zoom((-80.0, -170.0), (80.0, 170.0)) == 4
+    assert zoom((30.0, -110.0), (45.0, -108.0)) == 5 and zoom((30.0, -110.0), (45.0, -108.0), view=(300, 300)) == 4
 
 
 def test_heat_weight_is_against_the_highest_risk_or_one(spark):
@@ -69,6 +87,15 @@ def test_heat_weight_is_against_the_highest_risk_or_one(spark):
     assert weights(4.0, 2.0, 1.0) == [0.25, 0.5, 1.0]
 
 
+def test_cluster_pyramid_is_every_zoom(spark):
+    places = [(-60.0 + (i * 7919 % 12000) / 100, -179.0 + (i * 104729 % 35800) / 100) for i in range(600)]
+    rows = spark.createDataFrame([*places, *places[:40], (90.0, 1.0), (None, 2.0)], "latitude double, longitude double")
+    got = sorted(tuple(r) for r in summary.cluster_pyramid(rows, (0, 3, 5, 7)).collect())
+    wanted = [(z, *r) for z in (0, 3, 5, 7) for r in summary.cluster_counts(rows, z).collect()]
+    assert got == sorted(wanted)
+    assert summary.cluster_pyramid(rows.limit(0)).collect() == []
+
+
 def test_cluster_sizes(spark):
     near = [(34.05, -118.25)] * 9 + [(40.0, -100.0)] * 10 + [(45.0, -80.0)] * 100
     rows = spark.createDataFrame(near, "latitude double, longitude double")
