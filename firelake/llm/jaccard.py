@@ -10,32 +10,39 @@ sequence; without words it is empty and linked with nothing. Two documents link
    all documents share gives the same links.
 2. Each document keeps the first n - ceil(0.75 n) + 1 shingles. Two sets that link share one.
    Documents with the same prefix and size are one group and enter the index once.
-3. Index entries with a single group are dropped; the rest is expanded to one document per
-   distinct set. Shingles with few entries have all their pairs compared.
-4. Star rounds over the other shingles: every document is compared with a few hubs that share
-   a frequent shingle, and what links is one component. A family of thousands of near copies
-   needs a few comparisons per member instead of all pairs.
-5. When few pairs of different components are left, every one that can reach the overlap by its
-   positions and sizes is compared. No link between components is missed, as each has its
-   first common shingle in both prefixes.
+3. Pairs of groups that share a token are filtered by size, by the places of the token, and by a
+   sketch where a group has one set. What is left is expanded to the groups' members, filtered by their
+   sketches, and verified. Tokens of few groups have all their pairs formed this way at once.
+4. Star turns over the other tokens: every member is compared with a few hubs that share a
+   frequent token, and what links is one component. A family of thousands of near copies needs a few
+   comparisons per member instead of all pairs. Turns end when one joins few of the components left.
+5. Then all remaining pairs of groups with members of different components go through step 3.
+
+The sketch holds SKETCH_LONGS * 64 bits; each shingle of the set flips one. The bits in which two
+sketches differ are never more than the shingles in which the sets do, so the test is exact: it drops no
+link. It is part of the join condition, so near misses do not leave the join, and what is verified grows
+with the links between components, not with the square of a family.
 
 Every comparison is exact, on the two texts. Rows without doc_id are linked with nothing and get
-a null component. Repeated rows give repeated result rows. doc_id should name one text; should it
-name several, they count as one document where their components are named.
+a null component. Repeated rows give repeated result rows. Rows that share a doc_id but differ in their
+sets are told apart: each has the component of its own text.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from firelake.llm.components import components
-from firelake.llm.shared import MAX_BROADCAST_IDS, only_ids, stored
+from firelake.llm.shared import only_ids, stored
 from firelake.llm.words import distinct_by_row, mix, pieces, shingles, words_of
 from firelake.operators.skew import join_reduced
 
@@ -45,14 +52,19 @@ THRESHOLD = 75
 COUNT_BITS = 20
 _BLOCK = 1 << 14
 _FAN_IN = 64
-# Tokens of so many entries or fewer have all their pairs compared at once.
+# Tokens of so many groups or fewer have all their pairs formed at once.
 FEW_ROWS = 8
-# Step 5 begins when so few pairs can be left, or when a star round leaves more than this share of them.
-LEAST_PAIRS = 200_000
-SHRINKS = 0.7
-# Members of a token that all its members are compared with in one star round.
+# Star turns go on while each leaves no more than this share of the components that were open before it.
+SHRINKS = 0.9
+# Members of a token that all its members are compared with in one star turn.
 HUBS = 8
-SET_SCHEMA = "doc_id long, n long, f1 long, f2 long, p1 long, p2 long, prefix array<long>"
+# Bits of a sketch, in words of 64.
+SKETCH_LONGS = 8
+_SKETCH = ", ".join(f"s{i} long" for i in range(SKETCH_LONGS))
+SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
+SET_SCHEMA = f"doc_id long, n long, f1 long, f2 long, p1 long, p2 long, prefix array<long>, {_SKETCH}"
+# A set is named by the smallest doc_id that has it and its fingerprints; the order of names is that of doc_ids.
+NODE = "struct<doc_id: bigint, f1: bigint, f2: bigint>"
 _U = np.uint64
 
 Batches = Iterator[pa.RecordBatch]
@@ -126,6 +138,12 @@ def _fingerprints(values: np.ndarray) -> tuple[int, int]:
     return tuple(int(_signed(mix(values ^ s).sum(dtype=_U).reshape(1))[0]) for s in salts)
 
 
+def _sketch(values: np.ndarray) -> np.ndarray:
+    """Bit v is set when an odd number of values end in v."""
+    odd = np.bincount((values & _U(64 * SKETCH_LONGS - 1)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
     return n - -(-threshold * n // 100) + 1 if n else 0
 
@@ -135,7 +153,7 @@ def _prefix_task(k: int, threshold: int, counts) -> Callable[[Batches], Batches]
         order = counts.value
         for batch in batches:
             for piece in pieces(batch, "text"):
-                n, prints, prefixes = [], [], []
+                n, prints, prefixes, sketches = [], [], [], [np.zeros((0, SKETCH_LONGS), np.int64)]
                 for values in _sets(piece, "text", k):
                     n.append(len(values))
                     p = prefix_length(len(values), threshold)
@@ -143,12 +161,14 @@ def _prefix_task(k: int, threshold: int, counts) -> Callable[[Batches], Batches]
                     kept = values[np.argsort(order[_bucket(values)], kind="stable")[:p]]
                     prints.append(_fingerprints(values) + _fingerprints(kept))
                     prefixes.append(_signed(kept))
+                    sketches.append(_sketch(values)[None])
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
                 columns = [piece.column(piece.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(n, pa.int64())]
                 columns += [pa.array([p[i] for p in prints], pa.int64()) for i in range(4)]
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "f1", "f2", "p1", "p2", "prefix"])
+                columns += [pa.array(np.ascontiguousarray(column)) for column in np.concatenate(sketches).T]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "f1", "f2", "p1", "p2", "prefix", *SKETCH])
 
     return run
 
@@ -173,11 +193,17 @@ def _verify_task(k: int, threshold: int) -> Callable[[Batches], Batches]:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose texts link. Each row holds its two texts, so no pair waits for another."""
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verify_task(k, threshold), "a long, b long").distinct()
+    """The pairs (a, b) whose texts link. Each row holds its two texts, so no pair waits for another.
+
+    `texts` has doc_id and text, with fingerprints where a doc_id alone does not name the text.
+    """
+
+    def own(side: str) -> Column:
+        return F.expr(f"t.doc_id = {side}.doc_id AND coalesce(t.f1 = {side}.f1 AND t.f2 = {side}.f2, true)")
+
+    both = pairs.join(texts.alias("t"), own("a")).select("a", "b", F.col("text").alias("text_a"))
+    both = both.join(texts.alias("t"), own("b")).select("a", "b", "text_a", F.col("text").alias("text_b"))
+    return both.mapInArrow(_verify_task(k, threshold), f"a {NODE}, b {NODE}").distinct()
 
 
 def _can_link(a: str, b: str, threshold: int) -> Column:
@@ -187,41 +213,60 @@ def _can_link(a: str, b: str, threshold: int) -> Column:
     return (100 * F.least(n, m) >= threshold * F.greatest(n, m)) & (100 * rest >= threshold * (n + m - rest))
 
 
-def _index(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal sets, and the index entries (token, node, n, pos, rows) of two nodes or more.
+def _near(a: str, b: str, threshold: int) -> Column:
+    """Whether the sketches allow a link; true where one is null."""
+    both = F.col(f"{a}.n") + F.col(f"{b}.n")
+    apart = reduce(Column.__add__, (F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH))
+    return F.coalesce((100 + threshold) * (both - apart) >= 2 * threshold * both, F.lit(True))
 
-    A class is named by its node, the smallest doc_id that has the set; `rows` counts the entries of the token.
-    """
+
+class Index(NamedTuple):
+    members: DataFrame  # group, node, n, nodes of the group, f1, f2, sketch: one row per different set
+    entries: DataFrame  # token, group, n, pos, rows of the token: one row per group and prefix token
+    inside: DataFrame  # as entries, by node: members of one group meet under the fingerprint of their prefix
+
+
+def _index(sets: DataFrame) -> Index:
     usable = sets.where("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(usable.groupBy("n", "f1", "f2", "p1", "p2").agg(F.min("doc_id").alias("node")), "classes")
+    sketch = [F.any_value(s).alias(s) for s in SKETCH]
+    classes = usable.groupBy("n", "f1", "f2", "p1", "p2").agg(F.min("doc_id").alias("doc_id"), *sketch)
+    classes = stored(classes.select("*", F.struct("doc_id", "f1", "f2").alias("node")), "classes")
     heads = classes.groupBy("n", "p1", "p2").agg(F.min("node").alias("group"), F.count(F.lit(1)).alias("nodes"))
-    members = stored(join_reduced(classes, heads.where("nodes > 1"), ["n", "p1", "p2"], "inner"), "members")
+    members = join_reduced(classes, heads, ["n", "p1", "p2"], "inner")
+    members = stored(members.select("group", "node", "n", "nodes", "p1", *SKETCH), "members")
 
-    # One entry per group and prefix shingle; entries of a single group lead nowhere.
-    groups = usable.groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("group"), F.any_value("prefix").alias("prefix"))
+    # One entry per group and prefix shingle; tokens of a single group lead nowhere.
+    first = F.min_by("prefix", F.struct("doc_id", "f1", "f2")).alias("prefix")
+    groups = usable.groupBy("n", "p1", "p2").agg(F.min(F.struct("doc_id", "f1", "f2")).alias("group"), first)
     entries = groups.select("group", "n", F.posexplode("prefix").alias("pos", "token"))
-    by_token = Window.partitionBy("token")
-    entries = entries.withColumn("groups", F.count(F.lit(1)).over(by_token)).where("groups > 1").drop("groups")
-    # A group of several nodes is expanded; its nodes also meet under the fingerprint of their prefix.
-    of_group = members.select("group", "node")
-    few = of_group.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    expanded = entries.join(F.broadcast(of_group) if few else of_group, "group", "left")
-    expanded = expanded.select("token", F.coalesce("node", "group").alias("node"), "n", "pos")
-    expanded = expanded.withColumn("rows", F.count(F.lit(1)).over(by_token))
-    inside = members.select(F.col("p1").alias("token"), "node", "n", F.lit(0).alias("pos"), F.col("nodes").alias("rows"))
-    return classes, stored(expanded.union(inside), "index")
-
-
-def _few_pairs(index: DataFrame, threshold: int) -> DataFrame:
-    """All pairs that can link under tokens of few entries; no list is longer than FEW_ROWS."""
-    entry = F.sort_array(F.collect_list(F.struct("node", "n", "pos")))
-    listed = index.where(F.col("rows") <= FEW_ROWS).groupBy("token").agg(entry.alias("entries"))
+    entries = entries.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("rows > 1")
+    inside = members.where("nodes > 1").select(F.col("p1").alias("token"), "node", "n", F.col("nodes").alias("rows"), *SKETCH)
+    return Index(members, stored(entries.select("token", "group", "n", "pos", "rows"), "index"), inside)
+
+
+def _expanded(pairs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) of different members of paired groups (ga, gb) that the sketches allow.
+
+    With a column `comp` on the members, only members of different components are paired.
+    """
+    x, y = members.alias("x"), members.alias("y")
+    apart = F.expr("x.comp <> y.comp") if "comp" in members.columns else F.lit(True)
+    apart &= F.expr("x.node < y.node OR ga <> gb")
+    half = pairs.join(x, F.expr("ga = x.group"))
+    return _pairs(half.join(y, F.expr("gb = y.group") & apart & _near("x", "y", threshold)))
+
+
+def _few_pairs(entries: DataFrame, threshold: int) -> DataFrame:
+    """All pairs of groups that can link under tokens of few groups; no list is longer than FEW_ROWS."""
+    entry = F.sort_array(F.collect_list(F.struct("group", "n", "pos")))
+    listed = entries.where(F.col("rows") <= FEW_ROWS).groupBy("token").agg(entry.alias("entries"))
     firsts = listed.select("entries", F.posexplode("entries").alias("at", "x"))
     others = firsts.select("x", F.explode(F.slice("entries", F.col("at") + 2, F.lit(FEW_ROWS))).alias("y"))
-    return _pairs(others.where((F.col("x.node") != F.col("y.node")) & _can_link("x", "y", threshold)))
+    met = others.where(_can_link("x", "y", threshold))
+    return met.select(F.col("x.group").alias("ga"), F.col("y.group").alias("gb")).distinct()
 
 
-def _star_pairs(entries: DataFrame, turn: int, threshold: int) -> DataFrame:
+def _star_pairs(rows: DataFrame, turn: int, threshold: int) -> DataFrame:
     """Every node, at one token of its own, against a few hubs of other components.
 
     In the first turn a node stands at its most frequent token, later at one that a hash draws; nodes
@@ -229,28 +274,38 @@ def _star_pairs(entries: DataFrame, turn: int, threshold: int) -> DataFrame:
     nodes: HUBS in the first turn, four times as many in each later one, for the fewer nodes that are left.
     """
     rank = F.struct(F.col("rows") if turn == 0 else F.lit(0), F.xxhash64("token", F.lit(turn)))
-    one = entries.groupBy("node", "n", "comp").agg(F.max_by("token", rank).alias("token"))
+    one = rows.groupBy("node", "n", "comp", *SKETCH).agg(F.max_by("token", rank).alias("token"))
     one = stored(one.withColumn("draw", F.xxhash64("node", F.lit(turn))), "places")
     hubs = one.groupBy("token", F.pmod("draw", F.lit(HUBS * 4**turn)).alias("share"))
-    hubs = hubs.agg(F.min(F.struct("draw", "node", "n", "comp")).alias("x")).select("token", "x")
-    met = join_reduced(one, hubs, ["token"], "inner").withColumn("y", F.struct("node", "n", "comp"))
+    hubs = hubs.agg(F.min(F.struct("draw", "node", "n", "comp", *SKETCH)).alias("x")).select("token", "x")
+    met = join_reduced(one, hubs, ["token"], "inner").withColumn("y", F.struct("node", "n", "comp", *SKETCH))
     sizes = 100 * F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
-    return _pairs(met.where((F.col("x.comp") != F.col("y.comp")) & sizes))
+    return _pairs(met.where((F.col("x.comp") != F.col("y.comp")) & sizes & _near("x", "y", threshold)))
 
 
-def _across(entries: DataFrame, mains: DataFrame, threshold: int) -> DataFrame:
-    """All pairs of different components that can still link; one side is outside its token's main one.
+def _across(entries: DataFrame, members: DataFrame, mains: DataFrame, threshold: int) -> DataFrame:
+    """All pairs of members of different components that can still link.
 
-    Two nodes that met at the token before, in both their orders, are not paired again.
+    Groups are paired first: one of them with members outside its token's largest component. A group
+    whose members are in several components has no `comp`; one with several members has no sketch. Two
+    groups that met at the token before, in both their orders, are not paired again.
     """
-    rows = join_reduced(entries, mains, ["token"], "inner")
-    rows = rows.withColumn("before", F.lag("token").over(Window.partitionBy("node").orderBy("pos", "token")))
-    a, b = rows.where("comp <> main").alias("x"), rows.alias("y")
+    single = F.col("nodes") == 1
+    of_group = members.groupBy("group").agg(
+        F.when(F.min("comp") == F.max("comp"), F.min("comp")).alias("comp"),
+        *[F.when(F.max("nodes") == 1, F.any_value(s)).alias(s) for s in SKETCH],
+    )
+    rows = join_reduced(entries, mains, ["token"], "inner").join(of_group, "group")
+    rows = rows.withColumn("before", F.lag("token").over(Window.partitionBy("group").orderBy("pos", "token")))
+    a, b = rows.where("NOT coalesce(comp = main, false)").alias("x"), rows.alias("y")
     apart = F.expr(
-        "x.token = y.token AND x.comp <> y.comp AND (y.comp = y.main OR x.node < y.node)"
-        " AND NOT coalesce(x.before = y.before, false)"
+        "x.token = y.token AND x.group <> y.group AND NOT coalesce(x.comp = y.comp, false)"
+        " AND (coalesce(y.comp = y.main, false) OR x.group < y.group) AND NOT coalesce(x.before = y.before, false)"
     )
-    return _pairs(a.join(b, apart & _can_link("x", "y", threshold)))
+    met = a.join(b, apart & _can_link("x", "y", threshold) & _near("x", "y", threshold))
+    pairs = met.select(F.col("x.group").alias("ga"), F.col("y.group").alias("gb")).distinct()
+    own = members.where(~single).select(F.col("group").alias("ga"), F.col("group").alias("gb")).distinct()
+    return _expanded(pairs.union(own), members, threshold)
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -258,15 +313,11 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(smaller.alias("a"), larger.alias("b")).distinct()
 
 
-def _open_tokens(entries: DataFrame) -> tuple[DataFrame, int]:
-    """Tokens that more than one component holds, with the largest; and a bound for their pairs."""
-    sizes = entries.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows"))
-    tokens = sizes.groupBy("token").agg(
-        F.sum("rows").alias("rows"), F.max("rows").alias("most"), F.max_by("comp", F.struct("rows", "comp")).alias("main")
-    )
-    tokens = stored(tokens.where("rows > most"), "tokens")
-    left = tokens.select(F.sum(((F.col("rows") - F.col("most")) * F.col("rows")).cast("decimal(38,0)"))).first()[0]
-    return tokens.select("token", "main"), int(left or 0)
+def _open_tokens(rows: DataFrame) -> DataFrame:
+    """(token, main): tokens that more than one component holds, with the largest."""
+    sizes = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows"))
+    tokens = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("rows", "comp")).alias("main"))
+    return stored(tokens.where("comps > 1").select("token", "main"), "tokens")
 
 
 def _joined(named: DataFrame | None, found: DataFrame) -> DataFrame | None:
@@ -278,62 +329,111 @@ def _joined(named: DataFrame | None, found: DataFrame) -> DataFrame | None:
     return components(found)
 
 
-def _placed(index: DataFrame, named: DataFrame | None) -> DataFrame:
+def _placed(nodes: DataFrame, named: DataFrame | None) -> DataFrame:
     if named is None:
-        return index.withColumn("comp", F.col("node"))
-    placed = index.join(named, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+        return nodes.withColumn("comp", F.col("node"))
+    placed = nodes.join(named, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     return placed.drop("component")
 
 
-def _linked_nodes(index: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame | None:
+def _linked_nodes(index: Index, texts: DataFrame, k: int, threshold: int) -> DataFrame | None:
     """(node, component) of the nodes that link with another one; None if none does."""
 
     def links(pairs: DataFrame) -> DataFrame:
         return stored(verified(pairs, texts, k, threshold), "verified")
 
-    named = _joined(None, links(_few_pairs(index, threshold)))
-    index = index.where(F.col("rows") > FEW_ROWS)
-    before, turn = math.inf, 0
+    of_group = index.members.select("group", "node", "n", "nodes", *SKETCH)
+    named = _joined(None, links(_expanded(_few_pairs(index.entries, threshold), of_group, threshold)))
+    entries, inside = index.entries.where(F.col("rows") > FEW_ROWS), index.inside
+    before, turn = 0, 0
     while True:
-        mains, left = _open_tokens(_placed(index, named))
-        if not left:
+        members = _placed(of_group, named)
+        rows = entries.select("token", "group", "rows").join(members, "group").select("token", "node", "n", "comp", "rows", *SKETCH)
+        rows = rows.union(_placed(inside, named).select(*rows.columns))
+        mains = _open_tokens(rows)
+        if mains.isEmpty():
             return named
         # Components only grow, so a token with a single one is done with.
-        index = stored(index.join(mains.select("token"), "token", "left_semi"), "open")
-        entries = _placed(index, named)
-        # Turns go on while they shrink what is left.
-        last = left <= LEAST_PAIRS or (turn > 1 and left > SHRINKS * before)
-        found = links(_across(entries, mains, threshold) if last else _star_pairs(entries, turn, threshold))
-        named = _joined(named, found)
-        if last:
-            return named
+        entries = stored(entries.join(mains.select("token"), "token", "left_semi"), "open")
+        inside = inside.join(mains.select("token"), "token", "left_semi")
+        open_rows = stored(rows.join(mains.select("token"), "token", "left_semi"), "rows")
+        left = open_rows.select("comp").distinct().count()
+        if turn and left > SHRINKS * before:
+            return _joined(named, links(_across(entries, members, mains, threshold)))
+        named = _joined(named, links(_star_pairs(open_rows, turn, threshold)))
         before, turn = left, turn + 1
 
 
-def link_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of `docs(doc_id, text)`."""
+def _linked(docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """(doc_id, n, f1, f2, component) of each row; the component is the name of its first set, null without doc_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = stored(document_sets(docs, k, threshold), "sets")
-    classes, index = _index(sets)
-    texts = stored(only_ids(docs, index.select(F.col("node").alias("doc_id")).distinct(), "doc_id"), "texts")
-    named = _linked_nodes(index, texts, k, threshold)
-    places = _placed(classes, named).select("n", "f1", "f2", F.col("comp").alias("component"))
+    index = _index(sets)
+    wanted = index.entries.select("group").union(index.members.where("nodes > 1").select("group")).distinct()
+    ids = index.members.join(wanted, "group", "left_semi").select("node.doc_id").distinct()
+    named = _linked_nodes(index, _texts(docs, stored(ids, "ids"), sets, k), k, threshold)
+    places = _placed(index.members, named)
+    places = places.select("n", F.col("node.f1").alias("f1"), F.col("node.f2").alias("f2"), F.col("comp").alias("component"))
     # One row per set on the right; a set that a third of the rows share is split on the left.
     rows = join_reduced(sets.select("doc_id", "n", "f1", "f2"), places, ["n", "f1", "f2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    own = F.struct("doc_id", "f1", "f2")
+    return rows.select("doc_id", "n", "f1", "f2", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", own)).alias("component"))
+
+
+def _print_task(k: int) -> Callable[[Batches], Batches]:
+    """Adds n, f1 and f2 of the column `text` to the record of each row."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                found = [(len(values), *_fingerprints(values)) for values in _sets(piece, "text", k)]
+                added = [pa.array([f[i] for f in found], pa.int64()) for i in range(3)]
+                columns = [piece.column(i) for i in range(piece.num_columns)]
+                yield pa.RecordBatch.from_arrays(columns + added, names=[*piece.schema.names, "n", "f1", "f2"])
+
+    return run
+
+
+def _texts(docs: DataFrame, ids: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """(doc_id, text, f1, f2) of the rows with these ids; the fingerprints are null where an id names one row only."""
+    found = stored(only_ids(docs, ids, "doc_id").select("doc_id", "text"), "texts")
+    none = F.lit(None).cast("long")
+    repeated = stored(sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return found.select("*", none.alias("f1"), none.alias("f2"))
+    once = found.join(repeated, "doc_id", "left_anti").select("doc_id", "text", none.alias("f1"), none.alias("f2"))
+    again = found.join(repeated, "doc_id", "left_semi")
+    again = again.mapInArrow(_print_task(k), "doc_id long, text string, n long, f1 long, f2 long")
+    again = again.dropDuplicates(["doc_id", "f1", "f2"]).select("doc_id", "text", "f1", "f2")
+    return stored(once.union(again), "texts")
+
+
+def link_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of `docs(doc_id, text)`."""
+    rows = _linked(docs, k, threshold)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("component.doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """The documents without those that link, over any number of links, to a smaller doc_id.
+    """The documents without those that link, over any number of links, to one named before them.
 
-    Rows without doc_id stay; of rows that share a doc_id one stays.
+    Rows without doc_id stay. Of rows equal in doc_id and set one stays; rows that share a doc_id with
+    different sets are judged each by its own.
     """
-    found = stored(link_components(docs, k, threshold), "components")
-    dropped = found.where("component_id < doc_id").select("doc_id").distinct()
-    kept = only_ids(docs, dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    found = stored(_linked(docs, k, threshold).where("doc_id IS NOT NULL"), "components")
+    found = found.withColumn("drop", F.col("component") != F.struct("doc_id", "f1", "f2"))
+    repeated = stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "repeated")
+    dropped = found.where("drop").select("doc_id").distinct()
     if repeated.isEmpty():
-        return kept
-    once = only_ids(kept, repeated, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"])
-    return only_ids(kept, repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+        return only_ids(docs, dropped, "doc_id", "left_anti").select(*docs.columns)
+    rest = only_ids(docs, repeated, "doc_id", "left_anti")
+    kept = only_ids(rest, dropped, "doc_id", "left_anti").select(*docs.columns)
+    # The whole rows are one struct, whatever their columns are called.
+    record = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = only_ids(docs, repeated, "doc_id").select(record.alias("record"))
+    again = again.select(F.col("record.doc_id").cast("long").alias("id"), F.col("record.text").cast("string").alias("text"), "record")
+    schema = T.StructType([*again.schema.fields, *[T.StructField(c, T.LongType()) for c in ("n", "f1", "f2")]])
+    printed = again.mapInArrow(_print_task(k), schema)
+    judged = found.where("NOT drop").select(F.col("doc_id").alias("id"), "n", "f1", "f2").distinct()
+    once = join_reduced(printed, judged, ["id", "n", "f1", "f2"], "left_semi").dropDuplicates(["id", "n", "f1", "f2"])
+    return kept.union(once.select("record.*"))

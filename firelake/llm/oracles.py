@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from firelake.llm import licenses, mixing, negatives, quality, sharding, spelling, urls
+from firelake.llm import jaccard, licenses, mixing, negatives, quality, sharding, spelling, urls
 from firelake.llm.quality import LEAST_WORDS, REPEATED_PERCENT, RULES, STOP_WORDS, WINDOW_WORDS
 
 # Everything but capital letters.
@@ -140,6 +140,28 @@ def _crc32(text: str) -> str:
     return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), {step}), 4294967295)"
 
 
+def near_duplicates_sql() -> str:
+    """All pairs that share a shingle, and what each document reaches."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    k = jaccard.SHINGLE_WORDS
+    run = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
+    return rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), '{capitals}', '{capitals.lower()}'), '{BLANKS}')
+    IF x <> ''] AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+    ELSE [{run} FOR i IN range(1, len(w) - {k - 2})] END) AS s FROM texts),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.n, b.n AS m, count(*) AS o
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared WHERE 100 * o >= {jaccard.THRESHOLD} * (n + m - o)),
+reached(x, y) AS (SELECT doc_id, doc_id FROM sets UNION SELECT reached.x, links.y FROM reached JOIN links ON reached.y = links.x)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(y) AS component_id FROM sets JOIN reached ON x = doc_id
+GROUP BY doc_id, len(s)"""
+
+
 def shards_sql() -> str:
     seed, shards = sharding.SEED, sharding.SHARDS
     return f"""

@@ -88,7 +88,7 @@ def queries() -> dict[str, Query]:
         "op6_url_filters": Query(_urls, oracles.urls_sql()),
         "op7_lm_scoring": Query(_lm_scores),
         "op8_pii_spans": Query(_pii),
-        "op9_ngram_jaccard_join": Query(_near_duplicates),
+        "op9_ngram_jaccard_join": Query(_near_duplicates, oracles.near_duplicates_sql()),
         "op10_toxicity_grammar": Query(_toxicity),
         "op11_spelling_variants": Query(_spelling, oracles.spelling_sql()),
         "op12_shard_shuffle": Query(_shards, oracles.shards_sql()),

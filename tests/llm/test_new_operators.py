@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from firelake.llm import negatives, sharding, spelling
+from firelake.llm import jaccard, negatives, sharding, spelling
 
 DOCS = "doc_id long, text string, shard string, slot long, record string"
 
@@ -217,3 +217,70 @@ def test_variants_of_odd_tables(spark):
     found = _found(spelling.spelling_variants(words))
     assert found["aaaaaaa"] == ("aaaaaab", "aaaabbb", 2, 1, 20) and found["zzzzzzz"] == (None, "zzzzzzz", 1, 0, None)
     assert found["q" * 70_000][0] == "q" * 70_001
+
+
+# Near copies -------------------------------------------------------------------------------------------
+
+
+def _variants_of_one_text(n):
+    """Copies of one text of forty words with one word replaced each: they link to the text, mostly not to each other."""
+    base = [f"w{i}" for i in range(40)]
+    return [" ".join(base)] + [" ".join([*base[: i % 40], f"x{i}", *base[i % 40 + 1 :]]) for i in range(n)]
+
+
+def _links(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    top = list(range(len(texts)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 100 * len(x & y) >= 75 * len(x | y):
+                a, b = sorted((root(i), root(j)))
+                top[b] = a
+    return [root(i) for i in range(len(texts))]
+
+
+def test_verified_pairs_grow_with_the_family(spark, monkeypatch):
+    verify, counts = jaccard.verified, []
+
+    def counted(pairs, *rest):
+        pairs = jaccard.stored(pairs, "counted")
+        counts[-1] += pairs.count()
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    for n in (200, 800):
+        counts.append(0)
+        texts = _variants_of_one_text(n)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        got = {r.doc_id: r.component_id for r in jaccard.link_components(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == _links(texts)
+        # About 600 and 8,400 pairs link, of 20,100 and 320,400.
+        assert counts[-1] <= 8 * n, counts
+
+
+def test_rows_of_one_doc_id_are_told_apart(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    near = one.replace("a29", "zz")
+    rows = [(1, one, 1), (1, two, 2), (2, near, 3), (3, two, 4), (3, two, 4), (4, "alone here", 5), (4, "", 6), (None, one, 7), (None, one, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_components(docs).collect())
+    assert got == Counter(
+        {(1, 26, 1): 2, (2, 26, 1): 1, (3, 26, 1): 2, (4, 1, 4): 1, (4, 0, 4): 1, (None, 26, None): 2}
+    )
+    kept = Counter(tuple(r) for r in jaccard.keep_one_of_each(docs).collect())
+    assert kept == Counter([r for r in rows if r[2] in (1, 2, 5, 6, 7, 8)])
+
+
+def test_sketches_drop_no_link(spark):
+    rng = np.random.default_rng(0)
+    for n in (10, 100, 2000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n - n // 8], rng.integers(0, 2**63, n // 8, dtype=np.uint64)]))
+        apart = sum(int(x).bit_count() for x in (jaccard._sketch(a) ^ jaccard._sketch(b)).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b))
