@@ -35,6 +35,8 @@ BUCKET_ROWS = 512
 BUCKET_BYTES = 64 << 20
 # Buckets whose places are summed together; the sums of blocks are summed once more.
 _BLOCK = 4096
+# Buckets whose permutations one task draws: their rows are few but each is a second's fraction of work.
+_BUCKETS_PER_TASK = 64
 
 
 def size_of(text: Column) -> Column:
@@ -102,7 +104,9 @@ def _buckets(placed: DataFrame, seed: int) -> DataFrame:
     blocks = counts.groupBy("block").agg(F.sum("n").alias("n")).select("block", before([], "block").alias("first"))
     inner = counts.withColumn("inside", before(["block"], "bucket"))
     start = (F.col("first") + F.col("inside")).alias("start")
-    return inner.join(blocks, "block").select("bucket", start, _fisher_yates(F.col("bucket"), F.col("n"), seed).alias("places"))
+    tasks = math.ceil(counts.count() / _BUCKETS_PER_TASK)
+    started = inner.join(blocks, "block").select("bucket", "n", start).repartition(max(1, tasks), "bucket")
+    return stored(started.select("bucket", "start", _fisher_yates(F.col("bucket"), F.col("n"), seed).alias("places")), "places")
 
 
 def shuffled(
