@@ -10,9 +10,9 @@ from firelake.checks.query import Query, over
 from firelake.checks.rows import API, LEVEL, NEWEST, US
 from firelake.checks.views import view, with_views
 from firelake.functions import fallback_risk
-from firelake.plans.ingest import backfill, ingest_weather
+from firelake.plans.ingest import backfill, ingest_soil, ingest_weather
 from firelake.plans.serving import latest_fires, latest_fires_from_table, project_api
-from firelake.schemas import FIRES, WEATHER
+from firelake.schemas import ENVIRONMENT, FIRES, WEATHER
 from firelake.session import work_dir
 from firelake.sources.builds import build_results, scan_build_json
 from firelake.sources.csv import Window, normalize_hms, scan_detections_csv, scan_hms_csv, scan_window_list
@@ -130,25 +130,75 @@ def _all_api_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(records.schema).json(path)
 
 
-def _enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Cells of the detections, and the grid square of each: a third of the cells shares one, every eleventh is at sea.
+CELLS = {
+    "cells": "SELECT DISTINCT event_id % 4000 AS fold, round(latitude * 1e2) / 1e2 AS latitude,"
+    " round(longitude * 1e2) / 1e2 AS longitude FROM fires",
+    "squares": "SELECT *, CASE WHEN fold % 3 = 0 THEN 'HOT' ELSE 'G' || CAST(fold % 7 AS VARCHAR(9)) END AS grid_id,"
+    " CASE WHEN fold % 3 = 0 THEN 0 ELSE fold % 40 END AS grid_x, CASE WHEN fold % 3 = 0 THEN 0 ELSE fold % 25 END AS grid_y,"
+    " fold % 11 = 0 AS at_sea FROM cells",
+}
+
+# Whether a cell has a detection inside the service's box, on its unrounded coordinates.
+COVERED = (
+    "SELECT squares.*, inside FROM squares JOIN (SELECT round(latitude * 1e2) / 1e2 AS latitude, round(longitude * 1e2) / 1e2"
+    " AS longitude, bool_or({box}) AS inside FROM fires GROUP BY 1, 2) AS seen USING (latitude, longitude)"
+)
+
+
+def _squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = spark.sql(CELLS["cells"].replace("FROM fires", "FROM {fires}"), fires=detections(spark, sf_dir))
+    return spark.sql(CELLS["squares"].replace("FROM cells", "FROM {cells}"), cells=cells)
+
+
+def _twice(answers: DataFrame, payload: str, older: str) -> DataFrame:
+    """Each answer, and an older one that must not count."""
+    columns = [c for c in answers.columns if c in ("latitude", "longitude", "grid_id", "grid_x", "grid_y")]
+    new = answers.selectExpr(*columns, f"TIMESTAMP '{RUN_DATE} 05:00:00' AS landed_at", f"{payload} AS payload")
+    return new.union(answers.selectExpr(*columns, f"TIMESTAMP '{RUN_DATE} 04:00:00' AS landed_at", f"{older} AS payload"))
+
+
+def _weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings stored for the cells of every detection; the northern ones are there already."""
-    fires, table = detections(spark, sf_dir), work_dir(spark, "weather")
-    point = "round(latitude * 1e2) / 1e2 AS latitude", "round(longitude * 1e2) / 1e2 AS longitude"
-    cell = fires.selectExpr("event_id % 4000 AS fold", *point).distinct()
-    payload = (
-        "'{\"properties\": {\"periods\": [{\"windSpeed\": \"' || CAST(fold % 40 AS STRING) || ' mph\","
-        " \"temperature\": ' || CAST(fold % 120 AS STRING) || '}]}}' AS payload"
-    )
-    payloads = cell.selectExpr("latitude", "longitude", payload)
-    there = cell.where("latitude >= 37").selectExpr(
+    squares, table = _squares(spark, sf_dir), work_dir(spark, "weather")
+    there = squares.where("latitude >= 37").selectExpr(
         *("latitude", "longitude", f"'{RUN_DATE}' AS obs_date", "0D AS wind_speed_kmh", "0D AS humidity_pct"),
         *("0D AS temp_c", f"TIMESTAMP '{RUN_DATE} 00:00:00' AS fetched_at"),
     )
-    append_rows(there, table, WEATHER)
-    ingest_weather(fires, payloads, table, RUN_DATE, f"{RUN_DATE} 06:00:00", limit=None)
+    append_rows(there, table, WEATHER, "obs_date")
+    named = (
+        "'{\"properties\": {\"gridId\": \"' || grid_id || '\", \"gridX\": ' || grid_x ||"
+        " CASE WHEN at_sea THEN '' ELSE ', \"gridY\": ' || grid_y END || '}}'"
+    )
+    other = "'{\"properties\": {\"gridId\": \"OLD\", \"gridX\": 1, \"gridY\": 1}}'"
+    points = _twice(squares, named, f"CASE WHEN at_sea THEN 'not json' ELSE {other} END")
+    forecast = (
+        "CASE WHEN grid_x % 13 = 5 THEN '{\"properties\": {\"periods\": []}}' ELSE '{\"properties\": {\"periods\": [{\"windSpeed\": \"'"
+        " || grid_x || ' mph\", \"temperature\": ' || grid_y * 4 || '}]}}' END"
+    )
+    older = "CASE WHEN grid_x = 31 THEN '{}' ELSE '{\"properties\": {\"periods\": [{\"windSpeed\": \"99 km/h\", \"temperature\": 50}]}}' END"
+    forecasts = _twice(squares.select("grid_id", "grid_x", "grid_y").distinct(), forecast, older)
+    ingest_weather(detections(spark, sf_dir), points, forecasts, table, RUN_DATE, f"{RUN_DATE} 06:00:00", limit=None)
     return scan_table(spark, table, WEATHER).drop("fetched_at")
 
 
+def _soil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the weather, one step away: the answers are those of the cells."""
+    squares, table = _squares(spark, sf_dir), work_dir(spark, "soil")
+    there = squares.where("latitude >= 37").selectExpr(
+        *("latitude", "longitude", f"'{RUN_DATE}' AS obs_date", "0D AS soil_moisture", "0D AS vpd_kpa", "0D AS et0_mm"),
+        f"TIMESTAMP '{RUN_DATE} 00:00:00' AS fetched_at",
+    )
+    append_rows(there, table, ENVIRONMENT, "obs_date")
+    answer = (
+        "CASE WHEN fold % 11 = 0 THEN '{\"hourly\": {}}' ELSE '{\"hourly\": {\"soil_moisture_0_to_1cm\": [0.25, null]}, \"daily\":"
+        " {\"vapor_pressure_deficit_max\": [' || fold % 9 || '], \"et0_fao_evapotranspiration\": [' || fold % 4 || ']}}' END"
+    )
+    payloads = _twice(squares.select("*"), answer, "'{}'")
+    ingest_soil(detections(spark, sf_dir), payloads, table, RUN_DATE, f"{RUN_DATE} 06:00:00", limit=None)
+    return scan_table(spark, table, ENVIRONMENT).drop("fetched_at")
+
+
 def _build_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty results to a build file, so files grow in number and not in size."""
     results = view(spark, sf_dir, "results").withColumn("no", F.expr("position div 50"))
@@ -245,16 +295,28 @@ def queries() -> dict[str, Query]:
         ),
         "write_api_json_all": Query(_all_api_json, with_views(f"SELECT {API} FROM fires", "fires")),
         "ingest_weather": Query(
-            _enrichment,
+            _weather,
+            with_views(
+                f"SELECT latitude, longitude, '{RUN_DATE}' AS obs_date, CASE WHEN latitude >= 37e0 THEN 0e0"
+                " WHEN grid_x % 13 = 5 THEN 99e0 ELSE round(grid_x * 1.60934e0 * 1e2) / 1e2 END AS wind_speed_kmh,"
+                " 0e0 AS humidity_pct, CASE WHEN latitude >= 37e0 THEN 0e0 WHEN grid_x % 13 = 5 THEN 10e0"
+                " ELSE round((grid_y * 4 - 32e0) * 5e0 / 9e0 * 1e1) / 1e1 END AS temp_c FROM covered"
+                " WHERE latitude >= 37e0 OR (inside AND NOT at_sea AND grid_x <> 31)",
+                "fires",
+                **CELLS,
+                covered=COVERED.format(box="latitude BETWEEN 24e0 AND 48.5e0 AND longitude BETWEEN -125e0 AND -66.5e0"),
+            ),
+        ),
+        "ingest_soil": Query(
+            _soil,
             with_views(
-                "SELECT latitude, longitude, '2024-02-01' AS obs_date, CASE WHEN latitude >= 37e0 THEN 0e0 ELSE"
-                " round((fold % 40) * 1.60934e0 * 1e2) / 1e2 END AS wind_speed_kmh, 0e0 AS humidity_pct,"
-                " CASE WHEN latitude >= 37e0 THEN 0e0 ELSE round(((fold % 120) - 32e0) * 5e0 / 9e0 * 1e1) / 1e1 END AS temp_c"
-                " FROM cell WHERE latitude >= 37e0 OR covered",
+                f"SELECT latitude, longitude, '{RUN_DATE}' AS obs_date, CASE WHEN latitude >= 37e0 THEN 0e0 ELSE 0.25e0 END"
+                " AS soil_moisture, CASE WHEN latitude >= 37e0 THEN 0e0 ELSE CAST(fold % 9 AS DOUBLE) END AS vpd_kpa,"
+                " CASE WHEN latitude >= 37e0 THEN 0e0 ELSE CAST(fold % 4 AS DOUBLE) END AS et0_mm FROM covered"
+                " WHERE latitude >= 37e0 OR (inside AND NOT at_sea)",
                 "fires",
-                cell="SELECT event_id % 4000 AS fold, round(latitude * 1e2) / 1e2 AS latitude, round(longitude * 1e2) / 1e2"
-                " AS longitude, bool_or(latitude BETWEEN 24e0 AND 48.5e0 AND longitude BETWEEN -125e0 AND -66.5e0) AS covered"
-                " FROM fires GROUP BY 1, 2, 3",
+                **CELLS,
+                covered=COVERED.format(box="latitude BETWEEN 24e0 AND 49.5e0 AND longitude BETWEEN -125e0 AND -66.5e0"),
             ),
         ),
         "scan_build_json": Query(

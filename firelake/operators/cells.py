@@ -61,9 +61,11 @@ def soil_cells(fires: DataFrame, limit: int = SOIL_CELLS_PER_RUN) -> DataFrame:
 
 
 def skip_fetched_points(points: DataFrame, observations: DataFrame, obs_date: str) -> DataFrame:
-    """Points that have no observation of that date yet."""
-    fetched = observations.where(F.col("obs_date") == obs_date).select("latitude", "longitude")
-    return points.join(fetched, ["latitude", "longitude"], "left_anti")
+    """Points whose cell has no observation of that date yet; only that day's partition is read."""
+    fetched = observations.where(F.col("obs_date") == obs_date)
+    fetched = fetched.select(cell_of(F.col("latitude"), F.col("longitude")).alias("_cell"))
+    keyed = points.withColumn("_cell", cell_of(F.col("latitude"), F.col("longitude")))
+    return keyed.join(fetched, "_cell", "left_anti").select(*points.columns)
 
 
 def _keyed(readings: DataFrame, values: Sequence[str], order: Sequence[str], name: str) -> DataFrame:

@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable, Sequence
 from typing import NamedTuple
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from firelake.functions import cell_index
 from firelake.operators.cells import skip_fetched_points, soil_cells, weather_cells
 from firelake.operators.dedup import dedup_insert, skip_loaded_windows
-from firelake.schemas import ENVIRONMENT, FIRES, SOIL_CELLS_PER_RUN, WEATHER, WEATHER_CELLS_PER_RUN
+from firelake.operators.skew import join_reduced
+from firelake.schemas import (
+    ENVIRONMENT,
+    FIRES,
+    SOIL_CELLS_PER_RUN,
+    SOIL_VALUES,
+    WEATHER,
+    WEATHER_CELLS_PER_RUN,
+    WEATHER_VALUES,
+)
 from firelake.sources.csv import Window, scan_window_list
-from firelake.sources.payloads import parse_forecast_json, parse_soil_json
-from firelake.sources.tables import append_rows, scan_or_empty
+from firelake.sources.payloads import parse_forecast_json, parse_gridpoint_json, parse_soil_json
+from firelake.sources.tables import append_rows, scan_or_empty, staged
 
 # Dates that are listed in a filter; more of them are joined. Both read the same partitions' rows.
 MAX_LISTED_DATES = 400
+CELL = ["lat_cell", "lon_cell"]
+GRID = ["grid_id", "grid_x", "grid_y"]
 
 
 class Counts(NamedTuple):
@@ -92,39 +104,89 @@ def backfill(spark: SparkSession, windows: Iterable[Window], path: str, source:
     return insert_detections(spark, scan_window_list(spark, accepted), path, source)
 
 
-def _enrich(
-    points: DataFrame,
-    payloads: DataFrame,
-    path: str,
-    schema: T.StructType,
-    parse: Callable[[DataFrame], DataFrame],
-    obs_date: str,
-    fetched_at: str,
-) -> int:
-    spark = points.sparkSession
-    wanted = skip_fetched_points(points, scan_or_empty(spark, path, schema), obs_date)
-    readings = parse(payloads.join(wanted, ["latitude", "longitude"], "left_semi")).withColumns(
-        {"obs_date": F.lit(obs_date), "fetched_at": F.lit(fetched_at).cast("timestamp")}
+def _wanted_cells(points: DataFrame, path: str, schema: T.StructType, obs_date: str) -> DataFrame:
+    """(lat_cell, lon_cell) of the points that have no reading of that date."""
+    left = skip_fetched_points(points, scan_or_empty(points.sparkSession, path, schema), obs_date)
+    return left.select(*_cell_columns())
+
+
+def _cell_columns() -> list[Column]:
+    return [cell_index(F.col(c)).alias(name) for c, name in (("latitude", "lat_cell"), ("longitude", "lon_cell"))]
+
+
+def _answers(payloads: DataFrame, cells: DataFrame) -> DataFrame:
+    """The landed answers for the wanted cells, as (lat_cell, lon_cell, landed_at, payload)."""
+    keyed = payloads.select(*_cell_columns(), "landed_at", "payload")
+    return keyed.join(cells, CELL, "left_semi")
+
+
+def _last(answers: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """The values of the answer that landed last, per key; equal times are settled by the values."""
+    last = answers.groupBy(*key).agg(F.max(F.struct("landed_at", *values)).alias("last"))
+    return last.select(*key, *[F.col(f"last.{v}").alias(v) for v in values])
+
+
+def _store(readings: DataFrame, path: str, schema: T.StructType, obs_date: str, fetched_at: str) -> int:
+    rows = readings.withColumns(
+        {
+            "latitude": F.col("lat_cell") / 100.0,
+            "longitude": F.col("lon_cell") / 100.0,
+            "obs_date": F.lit(obs_date),
+            "fetched_at": F.lit(fetched_at).cast("timestamp"),
+        }
     )
     written = Observation()
-    append_rows(readings, path, schema, written=written)
+    append_rows(rows, path, schema, "obs_date", written=written)
     return written.get["rows"]
 
 
+def grid_of_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """(lat_cell, lon_cell, grid_id, grid_x, grid_y): the forecast grid square of each cell that has one.
+
+    `points` are landed answers (latitude, longitude, landed_at, payload); one that names no square, as for
+    a place at sea, counts for nothing, and of several the last one landed counts.
+    """
+    return _last(parse_gridpoint_json(_answers(points, cells)), CELL, GRID)
+
+
+def readings_of_grids(forecasts: DataFrame, grids: DataFrame) -> DataFrame:
+    """(grid_id, grid_x, grid_y) of the wanted squares with the readings of the last usable forecast landed.
+
+    `forecasts` are landed answers (grid_id, grid_x, grid_y, landed_at, payload). Only those of wanted squares are parsed.
+    """
+    wanted = forecasts.select(*[F.col(c).cast("string").alias(c) for c in GRID], "landed_at", "payload")
+    wanted = wanted.join(grids.select(*GRID).distinct(), GRID, "left_semi")
+    return _last(parse_forecast_json(wanted), GRID, WEATHER_VALUES)
+
+
 def ingest_weather(
-    fires: DataFrame, payloads: DataFrame, path: str, obs_date: str, fetched_at: str, limit: int | None = WEATHER_CELLS_PER_RUN
+    fires: DataFrame,
+    points: DataFrame,
+    forecasts: DataFrame,
+    path: str,
+    obs_date: str,
+    fetched_at: str,
+    limit: int | None = WEATHER_CELLS_PER_RUN,
 ) -> int:
     """Store the forecast of each detection cell not stored today; returns rows added.
 
-    `payloads` holds latitude and longitude of the cell and the landed answer.
+    A cell is looked up in two steps: its grid square, then that square's forecast, which goes back to all
+    cells of the square. Forecasts are parsed once per square, not per cell; the cells of a
+    square that holds a large share of them are split over tasks.
     """
-    cells = weather_cells(fires, limit)
-    return _enrich(cells, payloads, path, WEATHER, parse_forecast_json, obs_date, fetched_at)
+    cells = _wanted_cells(weather_cells(fires, limit), path, WEATHER, obs_date)
+    resolved = staged(grid_of_cells(points, cells), "grids")
+    readings = readings_of_grids(forecasts, resolved)
+    return _store(join_reduced(resolved, readings, GRID, "inner"), path, WEATHER, obs_date, fetched_at)
 
 
 def ingest_soil(
     fires: DataFrame, payloads: DataFrame, path: str, obs_date: str, fetched_at: str, limit: int | None = SOIL_CELLS_PER_RUN
 ) -> int:
-    """As `ingest_weather`, for soil moisture, vapour pressure deficit and evapotranspiration."""
-    cells = soil_cells(fires, limit)
-    return _enrich(cells, payloads, path, ENVIRONMENT, parse_soil_json, obs_date, fetched_at)
+    """As `ingest_weather`, for soil moisture, vapour pressure deficit and evapotranspiration.
+
+    `payloads` are landed answers (latitude, longitude, landed_at, payload), one step away from their cells.
+    """
+    cells = _wanted_cells(soil_cells(fires, limit), path, ENVIRONMENT, obs_date)
+    readings = _last(parse_soil_json(_answers(payloads, cells)), CELL, SOIL_VALUES)
+    return _store(readings, path, ENVIRONMENT, obs_date, fetched_at)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firelake.schemas import ENVIRONMENT, FIRES, WEATHER
+from firelake.session import work_dir
 from firelake.sources.files import matching_paths
 
 # Table names.
@@ -47,6 +48,13 @@ def load_all_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
     )
 
 
+def staged(rows: DataFrame, purpose: str) -> DataFrame:
+    """The rows written to the shared work folder and read again, for use in several places."""
+    path = work_dir(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> None:
     """Create the folder with an empty file of the schema unless it is there."""
     if not matching_paths(spark, path):

@@ -1,13 +1,15 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 
 import pytest
 
-from firelake.plans.ingest import backfill, ingest_soil, ingest_weather, insert_detections
+from firelake.plans.ingest import backfill, ingest_soil, ingest_weather, insert_detections, readings_of_grids
 from firelake.schemas import ENVIRONMENT, FIRES, WEATHER
 from firelake.session import work_dir
 from firelake.sources import builds, csv, payloads, sinks, tables
+from firelake.sources.files import matching_paths
 
 HEADER = "latitude,longitude,bright_ti4,bright_ti5,frp,acq_date,acq_time,confidence"
 
@@ -208,31 +210,102 @@ def test_soil_payloads(spark):
     assert [tuple(r) for r in rows.orderBy("i").collect()] == [(0, 0.13, 1.235, 4.5), (1, 0.0, 0.0, 4.5)]
 
 
-def test_enrichment_skips_stored_points(spark, make_fires):
-    rest = (1.0, 1.0, 1.0, "2024-08-01", "1200", "h")
-    fires = make_fires((34.051, -118.249, *rest), (40.0, -100.0, *rest), (45.0, -90.0, *rest))
-    forecast = json.dumps({"properties": {"periods": [{"windSpeed": "10 mph", "temperature": 77}]}})
+REST = (1.0, 1.0, 1.0, "2024-08-01", "1200", "h")
+RUN = ("2024-08-02", "2024-08-02 06:00:00")
+POINTS = "latitude double, longitude double, landed_at timestamp, payload string"
+FORECASTS = "grid_id string, grid_x string, grid_y string, landed_at timestamp, payload string"
+
+
+def _at(hour):
+    return datetime(2024, 8, 2, hour)
+
+
+def _square(grid_id, x, y):
+    return json.dumps({"properties": {"gridId": grid_id, "gridX": x, "gridY": y}})
+
+
+def _forecast(mph, fahrenheit):
+    return json.dumps({"properties": {"periods": [{"windSpeed": f"{mph} mph", "temperature": fahrenheit}]}})
+
+
+def _stored_weather(spark, path):
+    rows = tables.scan_table(spark, path, WEATHER).collect()
+    return {(r.latitude, r.longitude): (r.obs_date, r.wind_speed_kmh, r.temp_c) for r in rows}
+
+
+def test_weather_goes_by_the_grid(spark, make_fires):
+    fires = make_fires((34.051, -118.249, *REST), (34.06, -118.25, *REST), (40.0, -100.0, *REST), (45.0, -90.0, *REST), (46.0, -91.0, *REST))
+    points = spark.createDataFrame(
+        [
+            (34.05, -118.25, _at(1), _square("LOX", 1, 2)),
+            # Another answer before it, and the same one again.
+            (34.06, -118.25, _at(0), _square("OLD", 9, 9)),
+            (34.06, -118.25, _at(1), _square("LOX", "1", "2")),
+            (34.06, -118.25, _at(1), _square("LOX", 1, 2)),
+            (40.0, -100.0, _at(1), _square("GLD", 5, 6)),
+            # At sea, and a later answer that cannot be read.
+            (45.0, -90.0, _at(1), json.dumps({"properties": {"gridId": "X"}})),
+            (40.0, -100.0, _at(2), "not json"),
+            (10.0, 10.0, _at(1), _square("FAR", 1, 1)),
+            (None, None, None, None),
+        ],
+        POINTS,
+    )
+    forecasts = spark.createDataFrame(
+        [
+            ("LOX", "1", "2", _at(1), _forecast(99, 99)),
+            ("LOX", "1", "2", _at(3), _forecast(10, 77)),
+            # The last usable forecast counts.
+            ("LOX", "1", "2", _at(4), json.dumps({"properties": {"periods": []}})),
+            ("GLD", "5", "6", _at(1), _forecast(0, 32)),
+            ("LOX", "2", "1", _at(5), _forecast(50, 50)),
+            (None, None, None, None, None),
+        ],
+        FORECASTS,
+    )
+    path = work_dir(spark, "weather")
+    south = points.where("latitude < 35")
+    assert ingest_weather(fires, south, forecasts, path, *RUN) == 2
+    assert ingest_weather(fires, points, forecasts, path, *RUN) == 1
+    assert ingest_weather(fires, points, forecasts, path, *RUN) == 0
+    assert _stored_weather(spark, path) == {
+        (34.05, -118.25): ("2024-08-02", 16.09, 25.0),
+        (34.06, -118.25): ("2024-08-02", 16.09, 25.0),
+        (40.0, -100.0): ("2024-08-02", 0.0, 0.0),
+    }
+    # The cap counts cells from the north: two without an answer.
+    assert ingest_weather(fires, points, forecasts, path, "2024-08-03", RUN[1], limit=2) == 0
+    assert ingest_weather(fires, points, forecasts, path, "2024-08-03", RUN[1], limit=3) == 1
+
+
+def test_forecast_of_a_large_square_is_parsed_once(spark, make_fires):
+    cells = spark.range(400).selectExpr("25D + id / 100D AS latitude", "-100D AS longitude")
+    plan = cells.selectExpr("latitude", "longitude", "1D AS bright_ti4", "1D AS bright_ti5", "1D AS frp", "'2024-08-01' AS acq_date", "'1200' AS acq_time", "'h' AS confidence")
+    points = cells.selectExpr("latitude", "longitude", "TIMESTAMP '2024-08-02 01:00:00' AS landed_at", f"'{_square('HOT', 1, 1)}' AS payload")
+    forecasts = spark.createDataFrame([("HOT", "1", "1", _at(1), _forecast(10, 77))], FORECASTS)
+    path = work_dir(spark, "weather")
+    assert ingest_weather(plan, points, forecasts, path, *RUN, limit=None) == 400
+    assert set(_stored_weather(spark, path).values()) == {("2024-08-02", 16.09, 25.0)}
+    grids = spark.createDataFrame([(i, 1, "HOT", "1", "1") for i in range(9)], "lat_cell int, lon_cell int, grid_id string, grid_x string, grid_y string")
+    assert readings_of_grids(forecasts, grids).count() == 1
+
+
+def test_soil_skips_stored_points(spark, make_fires):
+    fires = make_fires((34.051, -118.249, *REST), (40.0, -100.0, *REST), (45.0, -90.0, *REST))
     soil = json.dumps(
         {
             "hourly": {"soil_moisture_0_to_1cm": [0.1, 0.2]},
             "daily": {"vapor_pressure_deficit_max": [1.5], "et0_fao_evapotranspiration": [4.0]},
         }
     )
-    landed = spark.createDataFrame(
-        [(34.05, -118.25, forecast, soil), (40.0, -100.0, forecast, soil)],
-        "latitude double, longitude double, forecast string, soil string",
-    )
-    weather, ground = work_dir(spark, "weather"), work_dir(spark, "soil")
-    spots = landed.withColumnRenamed("forecast", "payload")
-    run = ("2024-08-02", "2024-08-02 06:00:00")
-    assert ingest_weather(fires, spots.limit(1).select("latitude", "longitude", "payload"), weather, *run) == 1
-    assert ingest_weather(fires, spots.select("latitude", "longitude", "payload"), weather, *run) == 1
-    assert ingest_weather(fires, spots.select("latitude", "longitude", "payload"), weather, *run) == 0
-    assert ingest_weather(fires, spots.select("latitude", "longitude", "payload"), weather, "2024-08-03", run[1], limit=1) == 0
-    spots = landed.withColumnRenamed("soil", "payload").select("latitude", "longitude", "payload")
-    assert ingest_soil(fires, spots, ground, *run) == 2
+    landed = [(34.05, -118.25, _at(1), soil), (34.05, -118.25, _at(2), "{}"), (34.05, -118.25, _at(1), soil), (40.0, -100.0, _at(1), soil)]
+    answers, ground = spark.createDataFrame(landed, POINTS), work_dir(spark, "soil")
+    assert ingest_soil(fires, answers, ground, *RUN) == 2
+    assert ingest_soil(fires, answers, ground, *RUN) == 0
+    assert ingest_soil(fires, answers, ground, "2024-08-03", RUN[1]) == 2
     assert {r.soil_moisture for r in tables.scan_table(spark, ground, ENVIRONMENT).collect()} == {0.15}
-    assert tables.scan_table(spark, weather, WEATHER).first().temp_c == 25.0
+    # One folder per day: today's points are looked up in today's only.
+    assert len(matching_paths(spark, f"{ground}/obs_date=*")) == 2
 
 
 def test_tables(spark, make_fires):
