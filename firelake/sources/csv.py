@@ -1,14 +1,22 @@
-"""Detection files: the satellite product and the smoke/fire product."""
+"""Detection files: the satellite product and the smoke/fire product.
+
+Files with different headers land side by side. Their headers are looked up first, one short read per
+file; then the files of each header are one native scan, with the header's schema, so column
+pruning holds and nothing is joined per line.
+"""
 
 from __future__ import annotations
 
+import io
 import logging
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from csv import reader as csv_reader
 from functools import reduce
 from typing import NamedTuple
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +52,11 @@ HMS_ALIASES = {
     "yearday": ["yearday", "year_day", "julian_day"],
 }
 
+# Characters after which a header with an open quote is taken as it is.
+LONGEST_HEADER = 1 << 20
+# Bytes of a split, and the cost of opening a file, that leave every file whole and alone in its task.
+WHOLE_FILES = str(1 << 40)
+
 
 class Window(NamedTuple):
     """One landed backfill window."""
@@ -54,58 +67,119 @@ class Window(NamedTuple):
     path: str
 
 
-def landed_lines(files: DataFrame) -> DataFrame:
-    """Lines of a text scan or stream, each with its file, the file's time and its place."""
-    return files.select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.col("_metadata.file_modification_time").alias("modified"),
-    )
+class HeaderGroup(NamedTuple):
+    """Landed files with one header."""
+
+    header: str
+    columns: list[str]
+    files: list[str]
+
+
+class Reject(NamedTuple):
+    """A landed file that cannot be read, and why."""
+
+    file: str
+    header: str
+    reason: str
+
+
+class Landed(NamedTuple):
+    """Detections of landed files, and the files that gave none."""
+
+    rows: DataFrame
+    rejects: list[Reject]
 
 
-def file_headers(lines: DataFrame) -> DataFrame:
-    """(file, header): the first line of every file, found in one distributed pass."""
-    numbered = lines.where("start = 0").withColumn("at", F.monotonically_increasing_id())
-    return numbered.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+REJECTS = T.StructType([T.StructField(name, T.StringType()) for name in Reject._fields])
+
+
+def _first_records(single: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(file, header): the first record of each file that is not blank, quoted line breaks included.
+
+    With one file to a task the rest of the file is not read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, file, header = set(), None, ""
+        for batch in batches:
+            for value, of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if of in done:
+                    continue
+                if of != file:
+                    file, header = of, ""
+                if not header and not value.removeprefix("\ufeff").strip():
+                    continue
+                header = f"{header}\n{value}" if header else value
+                if header.count('"') % 2 and len(header) < LONGEST_HEADER:
+                    continue
+                done.add(of)
+                yield pa.RecordBatch.from_pydict({"file": [of], "header": [header]})
+                if single:
+                    return
+
+    return run
+
+
+def file_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, header) of every landed file that has a line.
+
+    A session of its own gives each file a task of its own, which stops after the first record.
+    """
+    heads = spark.newSession()
+    for name in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"):
+        heads.conf.set(name, WHOLE_FILES)
+    heads.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    single = heads.conf.get("spark.sql.files.openCostInBytes") == WHOLE_FILES
+    lines = heads.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
+    return lines.mapInArrow(_first_records(single), "file string, header string")
 
 
 def header_columns(header: str) -> list[str]:
-    """Column names of a header line; a name that comes again gets its place added."""
-    names = next(csv_reader([header.removeprefix("\ufeff")]), [])
+    """Column names of a header record; a name that comes again gets its place added."""
+    names = next(csv_reader(io.StringIO(header.removeprefix("\ufeff"))), [])
     return [name if name not in names[:i] else f"{name}{i}" for i, name in enumerate(names)]
 
 
-def header_groups(lines: DataFrame) -> list[tuple[list[str], DataFrame]]:
-    """The lines below each different header. Headers are few, however many files have them."""
-    headers = file_headers(lines)
-    named = lines.join(headers, "file")
-    found = sorted(row["header"] for row in headers.select("header").distinct().collect())
-    below = F.col("value") != F.col("header")
-    return [(header_columns(h), named.where((F.col("header") == h) & below & (F.col("value") != ""))) for h in found]
+def header_groups(spark: SparkSession, paths: str | list[str]) -> list[HeaderGroup]:
+    """The landed files by header: few groups, however many files.
+
+    The list of files is the driver's, as that of any scan is.
+    """
+    groups: dict[str, list[str]] = {}
+    for row in file_headers(spark, paths).toLocalIterator():
+        groups.setdefault(row["header"], []).append(row["file"])
+    return [HeaderGroup(h, header_columns(h), sorted(files)) for h, files in sorted(groups.items())]
 
 
-def parsed_lines(lines: DataFrame, schema: T.StructType, keep: Iterable[str] = ()) -> DataFrame:
-    """The values of the lines by the columns of their header; parsed in a generator, once per line."""
-    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
-    return lines.select(*keep, F.inline(F.array(F.from_csv("value", ddl))))
+def literal_path(path: str) -> str:
+    """A path as reported for a file, so that a scan takes it for this one file."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", unquote(path))
 
 
-def _scan_lines(spark: SparkSession, path: str) -> DataFrame | None:
-    return landed_lines(spark.read.text(path)) if matching_paths(spark, path) else None
+def scan_group(spark: SparkSession, group: HeaderGroup, schema: T.StructType, line_breaks: bool = True) -> DataFrame:
+    """One native scan of the group's files.
+
+    With `line_breaks` a quoted value may go over several lines, and a file is one task; without, large
+    files are split.
+    """
+    reader = spark.read.schema(schema).options(header=True, multiLine=line_breaks, escape='"')
+    return reader.csv([literal_path(f) for f in group.files])
+
+
+def _found(spark: SparkSession, path: str | list[str]) -> bool:
+    return bool(path) if isinstance(path, list) else bool(matching_paths(spark, path))
 
 
 def rejected_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, header) of the landed files without all eight detection columns."""
-    lines = _scan_lines(spark, path)
-    if lines is None:
-        return spark.createDataFrame([], "file string, header string")
-    usable = [h for h in (r["header"] for r in file_headers(lines).select("header").distinct().collect()) if _has_detections(h)]
-    return file_headers(lines).where(~F.col("header").isin(usable) if usable else F.lit(True))
+    """(file, header, reason) of the landed files without all eight detection columns."""
+    groups = header_groups(spark, path) if _found(spark, path) else []
+    rejects = [Reject(f, g.header, reason) for g in groups if (reason := _lacking(g)) for f in g.files]
+    return spark.createDataFrame(rejects, REJECTS)
 
 
-def _has_detections(header: str) -> bool:
-    return set(FIRES.fieldNames()) <= set(header_columns(header))
+def _lacking(group: HeaderGroup) -> str:
+    lacking = [name for name in FIRES.fieldNames() if name not in group.columns]
+    return f"no column {', '.join(lacking)}" if lacking else ""
 
 
 def detection_schema(header: Iterable[str]) -> T.StructType:
@@ -124,77 +198,106 @@ def normalize_detections(raw: DataFrame, box: Box = US_BOX, keep: Iterable[str]
     return filter_box(rows, box)
 
 
-def detections_of(lines: DataFrame, box: Box = US_BOX, keep: Iterable[str] = ()) -> DataFrame:
-    """Detections of landed lines, each file read by its own header.
+def _union(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else empty(spark, FIRES)
+
+
+def _left_out(group: HeaderGroup, reason: str) -> list[Reject]:
+    log.warning("%d files are left out (%s); their header is %s", len(group.files), reason, group.header)
+    return [Reject(f, group.header, reason) for f in group.files]
 
-    Files without all eight columns give no rows and hold up no other; they are logged.
+
+def land_detections(spark: SparkSession, paths: str | list[str], box: Box = US_BOX, line_breaks: bool = True) -> Landed:
+    """Detections of landed files, each file read by its own header.
+
+    Files without all eight columns give no rows and hold up no other.
     """
-    parts = []
-    for columns, below in header_groups(lines):
-        if set(FIRES.fieldNames()) <= set(columns):
-            parts.append(normalize_detections(parsed_lines(below, detection_schema(columns), keep), box, keep))
+    parts, rejects = [], []
+    for group in header_groups(spark, paths) if _found(spark, paths) else []:
+        if reason := _lacking(group):
+            rejects += _left_out(group, reason)
         else:
-            log.warning("files without detection columns are left out; their header is %s", columns)
-    if parts:
-        return reduce(DataFrame.unionByName, parts)
-    return lines.where(F.lit(False)).select(*keep, *[F.lit(None).cast(f.dataType).alias(f.name) for f in FIRES.fields])
+            parts.append(normalize_detections(scan_group(spark, group, detection_schema(group.columns), line_breaks), box))
+    return Landed(_union(spark, parts), rejects)
 
 
-def scan_detections_csv(spark: SparkSession, path: str, box: Box = US_BOX) -> DataFrame:
+def scan_detections_csv(spark: SparkSession, path: str, box: Box = US_BOX, line_breaks: bool = True) -> DataFrame:
     """Satellite detections of all landed files; column order and further columns do not matter."""
-    lines = _scan_lines(spark, path)
-    return empty(spark, FIRES) if lines is None else detections_of(lines, box)
+    return land_detections(spark, path, box, line_breaks).rows
+
+
+def _plain(path: str) -> str:
+    """Without escapes, and with one slash after the scheme, however many the reporter writes."""
+    return re.sub("^([a-z0-9]+):/+", r"\1:/", unquote(path)).rstrip("/")
 
 
 def scan_window_list(spark: SparkSession, windows: Iterable[Window], box: Box = US_BOX) -> DataFrame:
-    """All landed windows as one scan, each row with the start date of its window."""
-    start_of = {}
+    """All landed windows, each row with the start date of the window whose folder (or file) it is in.
+
+    Of windows with one folder the first counts; in nested folders the innermost does.
+    """
+    start_of: dict[str, str] = {}
+    folders = []
     for window in windows:
         for folder in matching_paths(spark, window.path):
-            start_of.setdefault(folder.rstrip("/"), window.start_date)
-    if not start_of:
+            if _plain(folder) not in start_of:
+                folders.append(folder)
+            start_of.setdefault(_plain(folder), window.start_date)
+
+    def start(file: str) -> str | None:
+        path = _plain(file)
+        while path not in start_of and "/" in path:
+            path = path.rpartition("/")[0]
+        return start_of.get(path)
+
+    parts = []
+    for group in header_groups(spark, [literal_path(f) for f in folders]) if folders else []:
+        if reason := _lacking(group):
+            _left_out(group, reason)
+            continue
+        of_file = spark.createDataFrame([(f, start(f)) for f in group.files], "file string, window_start string")
+        raw = scan_group(spark, group, detection_schema(group.columns)).withColumn("file", F.col("_metadata.file_path"))
+        parts.append(normalize_detections(raw.join(of_file, "file"), box, ["window_start"]))
+    if not parts:
         return empty(spark, FIRES).withColumn("window_start", F.lit(None).cast("string"))
-    start = F.lit(None).cast("string")
-    for folder, date in start_of.items():
-        # A file's path begins with its window's folder, up to the number of slashes.
-        inside = F.regexp_replace("file", "^([a-z0-9]+):/+", "$1:/")
-        start = F.when(F.startswith(inside, F.lit(re.sub("^([a-z0-9]+):/+", r"\1:/", folder))), date).otherwise(start)
-    lines = landed_lines(spark.read.text(list(start_of))).withColumn("window_start", start)
-    return detections_of(lines, box, ["window_start"]).select(*FIRES.fieldNames(), "window_start")
+    return reduce(DataFrame.unionByName, parts).select(*FIRES.fieldNames(), "window_start")
 
 
 def scan_hms_csv(spark: SparkSession, path: str) -> DataFrame:
     """Smoke/fire product whose files share one header; every column as text."""
-    lines = _scan_lines(spark, path)
-    groups = header_groups(lines) if lines is not None else []
+    groups = header_groups(spark, path) if _found(spark, path) else []
     if not groups:
         raise FileNotFoundError(f"no smoke/fire product files under {path}")
     if len(groups) > 1:
         raise ValueError("the files have several headers: read them with scan_hms")
-    return parsed_lines(groups[0][1], _text_schema(groups[0][0]))
+    return scan_group(spark, groups[0], _text_schema(groups[0].columns))
 
 
 def _text_schema(columns: Iterable[str]) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in columns])
 
 
-def hms_of(lines: DataFrame, run_date: str | Column, box: Box = US_BOX) -> DataFrame:
-    """Detections of smoke/fire lines, each file by its own header; files without a place or a date are left out."""
-    parts = []
-    for columns, below in header_groups(lines):
+def land_hms(
+    spark: SparkSession, paths: str | list[str], run_date: str | Column, box: Box = US_BOX, line_breaks: bool = True
+) -> Landed:
+    """Detections of smoke/fire files, each file by its own header; files without a place or a date are left out.
+
+    `run_date` may use the column `_written`, the time a file was written.
+    """
+    parts, rejects = [], []
+    for group in header_groups(spark, paths) if _found(spark, paths) else []:
+        raw = scan_group(spark, group, _text_schema(group.columns), line_breaks)
+        raw = raw.select("*", F.col("_metadata.file_modification_time").alias("_written"))
         try:
-            parts.append(normalize_hms(parsed_lines(below, _text_schema(columns), [F.col("modified").alias("_written")]), run_date, box))
+            parts.append(normalize_hms(raw, run_date, box))
         except ValueError as reason:
-            log.warning("files with the header %s are left out: %s", columns, reason)
-    if parts:
-        return reduce(DataFrame.unionByName, parts)
-    return lines.where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in FIRES.fields])
+            rejects += _left_out(group, str(reason))
+    return Landed(_union(spark, parts), rejects)
 
 
 def scan_hms(spark: SparkSession, path: str, run_date: str, box: Box = US_BOX) -> DataFrame:
     """All landed files of the smoke/fire product, whatever headers they have."""
-    lines = _scan_lines(spark, path)
-    return empty(spark, FIRES) if lines is None else hms_of(lines, run_date, box)
+    return land_hms(spark, path, run_date, box).rows
 
 
 def resolve_aliases(

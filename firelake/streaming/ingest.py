@@ -1,14 +1,17 @@
 """Feeds as file streams: each landed file is normalised and inserted once.
 
-One query and one checkpoint per feed, so a failing feed does not hold up another, and
-one `source=` folder per feed, so their appends do not meet. A micro-batch that is run
-again after a failure finds its rows in the table and adds nothing.
+One query and one checkpoint per feed, all started together, so neither a failing nor a slow feed holds up
+another. One `source=` folder per feed, so their appends do not meet; inside one driver a feed looks
+detections up and adds them while no other does. A micro-batch that is run again after a failure finds
+its rows in the table and adds nothing, and writes its rejects over those of the first attempt.
 """
 
 from __future__ import annotations
 
 import logging
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Sequence
+from threading import Lock
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,24 +20,28 @@ from pyspark.sql.streaming import StreamingQuery
 
 from firelake.plans.ingest import insert_detections
 from firelake.schemas import DETECTION_KEY
-from firelake.sources.csv import detections_of, hms_of, landed_lines
+from firelake.sources.csv import REJECTS, Landed, Reject, land_detections, land_hms, literal_path
 
 # Poll interval.
 POLL_INTERVAL = "30 minutes"
 
+# The columns of a stream of files.
+LANDED_FILES = "path string, modificationTime timestamp, length long, content binary"
+
 log = logging.getLogger(__name__)
+_inserting: defaultdict[str, Lock] = defaultdict(Lock)
 
 
 class Feed(NamedTuple):
-    """Where a source lands its files and how their lines become detections."""
+    """Where a source lands its files and how these become detections."""
 
     source: str
     landing: str
-    detections: Callable[[DataFrame], DataFrame]
+    read: Callable[[SparkSession, list[str]], Landed]
 
 
 def detection_feed(spark: SparkSession, landing: str, source: str = "satellite") -> Feed:
-    return Feed(source, landing, detections_of)
+    return Feed(source, landing, land_detections)
 
 
 def hms_feed(
@@ -42,7 +49,13 @@ def hms_feed(
 ) -> Feed:
     """A row without a date gets the day its file was written, so that a replay gives it the same key."""
     written = F.col("_written").cast("date").cast("string")
-    return Feed(source, landing, lambda lines: hms_of(lines, written if today is None else today()))
+    return Feed(source, landing, lambda s, files: land_hms(s, files, written if today is None else today()))
+
+
+def write_rejects(spark: SparkSession, rejects: list[Reject], path: str, source: str, batch_id: int) -> None:
+    """(file, header, reason) under `source=<feed>/batch=<id>`; a batch that is run again replaces its own."""
+    rows = spark.createDataFrame(rejects, REJECTS).coalesce(1)
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/source={source}/batch={batch_id}")
 
 
 def start_feed(
@@ -53,25 +66,31 @@ def start_feed(
     once: bool = False,
     interval: str = POLL_INTERVAL,
     files_per_batch: int | None = None,
+    rejects: str | None = None,
 ) -> StreamingQuery:
     """Start the query of one feed: every `interval`, or over what has landed by now.
 
-    Files are streamed as lines and read by their own headers inside the batch, so a file with
-    other columns holds up neither its batch nor a later one. `files_per_batch` bounds a batch.
+    The stream carries the names of landed files; a batch reads its files natively, each by its own header, so
+    a file with other columns holds up neither its batch nor a later one. What cannot be read goes to the table
+    `rejects`, if one is given. `files_per_batch` bounds a batch.
     """
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        lines = batch.persist()
-        try:
-            counts = insert_detections(batch.sparkSession, feed.detections(lines), table, feed.source)
-        finally:
-            lines.unpersist()
+        session = batch.sparkSession
+        # Names with glob characters make the source list a file of their batch more than once.
+        files = sorted({literal_path(r["path"]) for r in batch.collect()})
+        landed = feed.read(session, files)
+        if rejects is not None and landed.rejects:
+            write_rejects(session, landed.rejects, rejects, feed.source, batch_id)
+        with _inserting[table]:
+            counts = insert_detections(session, landed.rows, table, feed.source)
         log.info("%s batch %d: inserted %d, skipped %d", feed.source, batch_id, counts.inserted, counts.skipped)
 
-    reader = spark.readStream.format("text")
+    reader = spark.readStream.format("binaryFile").schema(LANDED_FILES)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    landed = landed_lines(reader.load(feed.landing))
+    # The content is not among the columns, so it is not read here.
+    landed = reader.load(feed.landing).select("path")
     writer = landed.writeStream.foreachBatch(insert).option("checkpointLocation", f"{checkpoint}/{feed.source}")
     trigger = {"availableNow": True} if once else {"processingTime": interval}
     return writer.trigger(**trigger).start()
@@ -82,20 +101,25 @@ def poll_once(
     feeds: Iterable[Callable[[SparkSession], Feed]],
     table: str,
     checkpoint: str,
+    rejects: str | None = None,
 ) -> list[str]:
-    """Run every feed over what has landed; a failure is logged and the next one goes on.
+    """Run all feeds together over what has landed; a failure is logged and the others go on.
 
     Returns the sources that succeeded.
     """
-    done = []
-    # One after the other: feeds that overlap check the table before they write to it.
+    running, done = [], []
     for make in feeds:
         try:
             feed = make(spark)
-            start_feed(spark, feed, table, checkpoint, once=True).awaitTermination()
-            done.append(feed.source)
+            running.append((feed.source, start_feed(spark, feed, table, checkpoint, once=True, rejects=rejects)))
+        except Exception:
+            log.exception("feed did not start")
+    for source, query in running:
+        try:
+            query.awaitTermination()
+            done.append(source)
         except Exception:
-            log.exception("feed failed")
+            log.exception("feed %s failed", source)
     return done
 
 
@@ -111,7 +135,12 @@ def stream_dedup(
     """First row of each key while its time is within the watermark; state stays bounded.
 
     Unlike the insert into a table, copies inside a batch are dropped, and so are rows
-    that arrive later than the watermark.
+    that arrive later than the watermark. As there, a row with a null in its key is a copy of none: it
+    passes without state, and so does a row whose time cannot be read.
     """
-    timed = detections.withColumn("_at", acquired_at(F.col("acq_date"), F.col("acq_time")))
-    return timed.withWatermark("_at", delay).dropDuplicatesWithinWatermark(list(key)).drop("_at")
+    timed = detections.withColumn("_at", acquired_at(F.col("acq_date"), F.col("acq_time"))).withWatermark("_at", delay)
+    whole = F.col("_at").isNotNull()
+    for name in key:
+        whole &= F.col(name).isNotNull()
+    once = timed.where(whole).dropDuplicatesWithinWatermark(list(key))
+    return once.unionByName(timed.where(~whole)).drop("_at")

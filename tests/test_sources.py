@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 
 from firelake.plans.ingest import backfill, ingest_soil, ingest_weather, insert_detections, readings_of_grids
@@ -56,7 +57,56 @@ def test_each_file_is_read_by_its_own_header(spark, land):
     land("c/4.csv", "extra," + HEADER, "x,34.05,-118.25,330.5,290.1,25.5,2024-08-01,930,h")
     rows = csv.scan_detections_csv(spark, path)
     assert rows.count() == 3 == len(rows.collect()) and rows.distinct().count() == 1
-    assert [r.file[-5:] for r in csv.rejected_files(spark, path).collect()] == ["3.csv"]
+    assert [(r.file[-5:], r.reason) for r in csv.rejected_files(spark, path).collect()] == [("3.csv", "no column frp")]
+
+
+def test_blank_first_lines_and_quoted_line_breaks(spark, land):
+    row = "34.05,-118.25,330.5,290.1,25.5,2024-08-01,930,h"
+    path = land("q/1.csv", "", "  ", HEADER, row, "", row.replace("930", "931"))
+    land("q/2.csv", HEADER + ",note", row + ',"two', 'lines, and ""quotes"""', row + ",plain")
+    land("q/3.csv", '"a quoted', 'name",' + HEADER, "x," + row)
+    land("q/a [b]{c}* d.csv", "\ufeff" + HEADER, row.replace("930", "932"))
+    land("q/5.csv", "", "")
+    rows = csv.scan_detections_csv(spark, path)
+    assert sorted(r.acq_time for r in rows.collect()) == ["0930"] * 4 + ["0931", "0932"]
+    assert rows.count() == 6 and csv.rejected_files(spark, path).count() == 0
+
+
+def test_headers_are_looked_up_without_reading_the_files(spark, land):
+    path = land("big/1.csv", HEADER, *["34.05,-118.25,330.5,290.1,25.5,2024-08-01,930,h"] * 30_000)
+    land("big/2.csv", "a,b")
+    headers = csv.file_headers(spark, path)
+    # A task for each file.
+    assert headers.rdd.getNumPartitions() == 2
+    assert sorted(r.header for r in headers.collect()) == ["a,b", HEADER]
+    seen = []
+
+    def lines():
+        for i in range(100):
+            seen.append(i)
+            yield pa.RecordBatch.from_pydict({"value": ["", HEADER], "file": ["f", "f"]})
+
+    assert len(list(csv._first_records(True)(lines()))) == 1 and seen == [0]
+
+
+def test_files_of_a_header_are_one_scan(spark, land):
+    path = land("one/1.csv", HEADER, "34.05,-118.25,330.5,290.1,25.5,2024-08-01,930,h")
+    for i in range(2, 9):
+        land(f"one/{i}.csv", HEADER, "34.05,-118.25,330.5,290.1,25.5,2024-08-01,930,h")
+    rows = csv.scan_detections_csv(spark, path).select("acq_date")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1 and "Join" not in plan and "Exchange" not in plan
+    assert "ReadSchema: struct<latitude:double,longitude:double,acq_date:string>" in plan
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_windows_whose_folders_begin_alike(spark, land, order):
+    row = "34.05,-118.25,330.5,290.1,25.5,{},0930,h"
+    days = {"w1": "2024-08-01", "w10": "2024-08-10", "w1 x": "2024-08-20"}
+    windows = [csv.Window(day, 5, "a", land(f"alike/{name}/1.csv", HEADER, row.format(day))) for name, day in days.items()]
+    windows[2] = windows[2]._replace(path=windows[2].path + "/1.csv")
+    rows = csv.scan_window_list(spark, windows[::order])
+    assert {(r.acq_date, r.window_start) for r in rows.collect()} == {(d, d) for d in days.values()}
 
 
 def test_windows_and_backfill(spark, land):
