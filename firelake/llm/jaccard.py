@@ -63,8 +63,6 @@ SKETCH_LONGS = 8
 _SKETCH = ", ".join(f"s{i} long" for i in range(SKETCH_LONGS))
 SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 SET_SCHEMA = f"doc_id long, n long, f1 long, f2 long, p1 long, p2 long, prefix array<long>, {_SKETCH}"
-# A set is named by the smallest doc_id that has it and its fingerprints; the order of names is that of doc_ids.
-NODE = "struct<doc_id: bigint, f1: bigint, f2: bigint>"
 _U = np.uint64
 
 Batches = Iterator[pa.RecordBatch]
@@ -193,17 +191,11 @@ def _verify_task(k: int, threshold: int) -> Callable[[Batches], Batches]:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose texts link. Each row holds its two texts, so no pair waits for another.
-
-    `texts` has doc_id and text, with fingerprints where a doc_id alone does not name the text.
-    """
-
-    def own(side: str) -> Column:
-        return F.expr(f"t.doc_id = {side}.doc_id AND coalesce(t.f1 = {side}.f1 AND t.f2 = {side}.f2, true)")
-
-    both = pairs.join(texts.alias("t"), own("a")).select("a", "b", F.col("text").alias("text_a"))
-    both = both.join(texts.alias("t"), own("b")).select("a", "b", "text_a", F.col("text").alias("text_b"))
-    return both.mapInArrow(_verify_task(k, threshold), f"a {NODE}, b {NODE}").distinct()
+    """The pairs (a, b) of nodes whose texts link. Each row holds its two texts, so no pair waits for another."""
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    other = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    both = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(_verify_task(k, threshold), "a long, b long").distinct()
 
 
 def _can_link(a: str, b: str, threshold: int) -> Column:
@@ -221,26 +213,38 @@ def _near(a: str, b: str, threshold: int) -> Column:
 
 
 class Index(NamedTuple):
-    members: DataFrame  # group, node, n, nodes of the group, f1, f2, sketch: one row per different set
-    entries: DataFrame  # token, group, n, pos, rows of the token: one row per group and prefix token
-    inside: DataFrame  # as entries, by node: members of one group meet under the fingerprint of their prefix
+    members: DataFrame  # one row per different set: group, node, doc_id, n, f1, f2, nodes of the group, sketch
+    entries: DataFrame  # one row per group and prefix token: token, group, n, pos, rows of the token
+    inside: DataFrame  # token, node, rows: members of one group meet under the fingerprint of their prefix
+
+
+def _group() -> Column:
+    return F.xxhash64("n", "p1", "p2")
+
 
+def _index(sets: DataFrame, repeated: DataFrame | None) -> Index:
+    """`repeated`: ids that name several rows; None if there are none.
 
-def _index(sets: DataFrame) -> Index:
+    A node is named by the smallest doc_id that has its set, or by a hash where that id has several sets.
+    """
     usable = sets.where("n > 0 AND doc_id IS NOT NULL")
     sketch = [F.any_value(s).alias(s) for s in SKETCH]
     classes = usable.groupBy("n", "f1", "f2", "p1", "p2").agg(F.min("doc_id").alias("doc_id"), *sketch)
-    classes = stored(classes.select("*", F.struct("doc_id", "f1", "f2").alias("node")), "classes")
-    heads = classes.groupBy("n", "p1", "p2").agg(F.min("node").alias("group"), F.count(F.lit(1)).alias("nodes"))
-    members = join_reduced(classes, heads, ["n", "p1", "p2"], "inner")
-    members = stored(members.select("group", "node", "n", "nodes", "p1", *SKETCH), "members")
+    classes = classes.withColumn("node", F.col("doc_id"))
+    if repeated is not None:
+        several = repeated.withColumn("several", F.lit(True))
+        own = F.xxhash64("doc_id", "f1", "f2")
+        classes = classes.join(several, "doc_id", "left").withColumn("node", F.when(F.col("several"), own).otherwise(F.col("doc_id")))
+    classes = stored(classes.select("doc_id", "node", "n", "f1", "f2", "p1", "p2", *SKETCH), "classes")
+    heads = classes.groupBy("n", "p1", "p2").agg(F.count(F.lit(1)).alias("nodes"))
+    members = join_reduced(classes, heads, ["n", "p1", "p2"], "inner").withColumn("group", _group())
+    members = stored(members.select("group", "node", "doc_id", "n", "f1", "f2", "nodes", "p1", *SKETCH), "members")
 
     # One entry per group and prefix shingle; tokens of a single group lead nowhere.
-    first = F.min_by("prefix", F.struct("doc_id", "f1", "f2")).alias("prefix")
-    groups = usable.groupBy("n", "p1", "p2").agg(F.min(F.struct("doc_id", "f1", "f2")).alias("group"), first)
-    entries = groups.select("group", "n", F.posexplode("prefix").alias("pos", "token"))
+    groups = usable.groupBy("n", "p1", "p2").agg(F.any_value("prefix").alias("prefix"))
+    entries = groups.select(_group().alias("group"), "n", F.posexplode("prefix").alias("pos", "token"))
     entries = entries.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("rows > 1")
-    inside = members.where("nodes > 1").select(F.col("p1").alias("token"), "node", "n", F.col("nodes").alias("rows"), *SKETCH)
+    inside = members.where("nodes > 1").select(F.col("p1").alias("token"), "node", F.col("nodes").alias("rows"))
     return Index(members, stored(entries.select("token", "group", "n", "pos", "rows"), "index"), inside)
 
 
@@ -266,7 +270,7 @@ def _few_pairs(entries: DataFrame, threshold: int) -> DataFrame:
     return met.select(F.col("x.group").alias("ga"), F.col("y.group").alias("gb")).distinct()
 
 
-def _star_pairs(rows: DataFrame, turn: int, threshold: int) -> DataFrame:
+def _star_pairs(rows: DataFrame, members: DataFrame, turn: int, threshold: int) -> DataFrame:
     """Every node, at one token of its own, against a few hubs of other components.
 
     In the first turn a node stands at its most frequent token, later at one that a hash draws; nodes
@@ -274,7 +278,8 @@ def _star_pairs(rows: DataFrame, turn: int, threshold: int) -> DataFrame:
     nodes: HUBS in the first turn, four times as many in each later one, for the fewer nodes that are left.
     """
     rank = F.struct(F.col("rows") if turn == 0 else F.lit(0), F.xxhash64("token", F.lit(turn)))
-    one = rows.groupBy("node", "n", "comp", *SKETCH).agg(F.max_by("token", rank).alias("token"))
+    place = rows.groupBy("node").agg(F.max_by("token", rank).alias("token"))
+    one = place.join(members.select("node", "n", "comp", *SKETCH), "node")
     one = stored(one.withColumn("draw", F.xxhash64("node", F.lit(turn))), "places")
     hubs = one.groupBy("token", F.pmod("draw", F.lit(HUBS * 4**turn)).alias("share"))
     hubs = hubs.agg(F.min(F.struct("draw", "node", "n", "comp", *SKETCH)).alias("x")).select("token", "x")
@@ -348,7 +353,8 @@ def _linked_nodes(index: Index, texts: DataFrame, k: int, threshold: int) -> Dat
     before, turn = 0, 0
     while True:
         members = _placed(of_group, named)
-        rows = entries.select("token", "group", "rows").join(members, "group").select("token", "node", "n", "comp", "rows", *SKETCH)
+        rows = entries.select("token", "group", "rows").join(members.select("group", "node", "comp"), "group")
+        rows = rows.select("token", "node", "comp", "rows")
         rows = rows.union(_placed(inside, named).select(*rows.columns))
         mains = _open_tokens(rows)
         if mains.isEmpty():
@@ -360,24 +366,34 @@ def _linked_nodes(index: Index, texts: DataFrame, k: int, threshold: int) -> Dat
         left = open_rows.select("comp").distinct().count()
         if turn and left > SHRINKS * before:
             return _joined(named, links(_across(entries, members, mains, threshold)))
-        named = _joined(named, links(_star_pairs(open_rows, turn, threshold)))
+        named = _joined(named, links(_star_pairs(open_rows, members, turn, threshold)))
         before, turn = left, turn + 1
 
 
 def _linked(docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """(doc_id, n, f1, f2, component) of each row; the component is the name of its first set, null without doc_id."""
+    """(doc_id, n, f1, f2, component, head) of each row.
+
+    The component is the smallest doc_id reached, null without doc_id; `head` is true for rows of that id
+    and of the first of its sets.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = stored(document_sets(docs, k, threshold), "sets")
-    index = _index(sets)
+    counts = sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    repeated = stored(counts.where("rows > 1").select("doc_id"), "repeated")
+    repeated = None if repeated.isEmpty() else repeated
+    index = _index(sets, repeated)
     wanted = index.entries.select("group").union(index.members.where("nodes > 1").select("group")).distinct()
-    ids = index.members.join(wanted, "group", "left_semi").select("node.doc_id").distinct()
-    named = _linked_nodes(index, _texts(docs, stored(ids, "ids"), sets, k), k, threshold)
-    places = _placed(index.members, named)
-    places = places.select("n", F.col("node.f1").alias("f1"), F.col("node.f2").alias("f2"), F.col("comp").alias("component"))
+    nodes = stored(index.members.join(wanted, "group", "left_semi").select("doc_id", "node", "f1", "f2"), "nodes")
+    named = _linked_nodes(index, _texts(docs, nodes, repeated, k), k, threshold)
+    own = F.struct("doc_id", "f1", "f2")
+    placed = _placed(index.members.select("node", "doc_id", "n", "f1", "f2"), named)
+    heads = placed.groupBy("comp").agg(F.min(own).alias("first"))
+    places = join_reduced(placed, heads, ["comp"], "inner").select("n", "f1", "f2", "first")
     # One row per set on the right; a set that a third of the rows share is split on the left.
     rows = join_reduced(sets.select("doc_id", "n", "f1", "f2"), places, ["n", "f1", "f2"], "left")
-    own = F.struct("doc_id", "f1", "f2")
-    return rows.select("doc_id", "n", "f1", "f2", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", own)).alias("component"))
+    first = F.coalesce("first", own)
+    rows = rows.select("doc_id", "n", "f1", "f2", first["doc_id"].alias("component"), (first == own).alias("head"))
+    return rows.withColumn("component", F.when(F.col("doc_id").isNotNull(), F.col("component")))
 
 
 def _print_task(k: int) -> Callable[[Batches], Batches]:
@@ -394,24 +410,23 @@ def _print_task(k: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def _texts(docs: DataFrame, ids: DataFrame, sets: DataFrame, k: int) -> DataFrame:
-    """(doc_id, text, f1, f2) of the rows with these ids; the fingerprints are null where an id names one row only."""
-    found = stored(only_ids(docs, ids, "doc_id").select("doc_id", "text"), "texts")
-    none = F.lit(None).cast("long")
-    repeated = stored(sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return found.select("*", none.alias("f1"), none.alias("f2"))
-    once = found.join(repeated, "doc_id", "left_anti").select("doc_id", "text", none.alias("f1"), none.alias("f2"))
+def _texts(docs: DataFrame, nodes: DataFrame, repeated: DataFrame | None, k: int) -> DataFrame:
+    """(node, text) of the nodes; a doc_id that names several rows has its texts told apart by their fingerprints."""
+    found = only_ids(docs, nodes.select("doc_id").distinct(), "doc_id").select("doc_id", "text")
+    if repeated is None:
+        return stored(found.withColumnRenamed("doc_id", "node"), "texts")
+    found = stored(found, "texts")
+    once = found.join(repeated, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "text")
     again = found.join(repeated, "doc_id", "left_semi")
     again = again.mapInArrow(_print_task(k), "doc_id long, text string, n long, f1 long, f2 long")
-    again = again.dropDuplicates(["doc_id", "f1", "f2"]).select("doc_id", "text", "f1", "f2")
+    again = again.join(nodes, ["doc_id", "f1", "f2"]).dropDuplicates(["node"]).select("node", "text")
     return stored(once.union(again), "texts")
 
 
 def link_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs(doc_id, text)`."""
     rows = _linked(docs, k, threshold)
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("component.doc_id").alias("component_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -421,9 +436,8 @@ def keep_one_of_each(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = T
     different sets are judged each by its own.
     """
     found = stored(_linked(docs, k, threshold).where("doc_id IS NOT NULL"), "components")
-    found = found.withColumn("drop", F.col("component") != F.struct("doc_id", "f1", "f2"))
     repeated = stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "repeated")
-    dropped = found.where("drop").select("doc_id").distinct()
+    dropped = found.where("NOT head").select("doc_id").distinct()
     if repeated.isEmpty():
         return only_ids(docs, dropped, "doc_id", "left_anti").select(*docs.columns)
     rest = only_ids(docs, repeated, "doc_id", "left_anti")
@@ -434,6 +448,6 @@ def keep_one_of_each(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = T
     again = again.select(F.col("record.doc_id").cast("long").alias("id"), F.col("record.text").cast("string").alias("text"), "record")
     schema = T.StructType([*again.schema.fields, *[T.StructField(c, T.LongType()) for c in ("n", "f1", "f2")]])
     printed = again.mapInArrow(_print_task(k), schema)
-    judged = found.where("NOT drop").select(F.col("doc_id").alias("id"), "n", "f1", "f2").distinct()
+    judged = found.where("head").select(F.col("doc_id").alias("id"), "n", "f1", "f2").distinct()
     once = join_reduced(printed, judged, ["id", "n", "f1", "f2"], "left_semi").dropDuplicates(["id", "n", "f1", "f2"])
     return kept.union(once.select("record.*"))
