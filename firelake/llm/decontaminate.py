@@ -1,7 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are maximal runs of letters and digits (A-Z folded; characters beyond ASCII count as
-letters), so punctuation and layout do not matter. A seed is a run of five words.
+Words are maximal runs of letters, marks and digits of any script in lower case, so punctuation of any
+kind and layout do not matter. A seed is a run of five words, or of all words of a shorter item.
 
 1. The seeds of all benchmark items are put into a bit table of fixed size. Every document
    keeps the stretches whose seeds are in it; all other text is left where it is. What the
@@ -13,9 +13,11 @@ letters), so punctuation and layout do not matter. A seed is a run of five words
    words is left. Tiles do not overlap and may come in any order, so moved passages count.
 4. A document is contaminated by an item when tiles cover at least half of the item's words.
 
-An item with fewer than five words matches only documents that consist of it. Null and empty
-texts match nothing. Documents with equal kept stretches are tiled once. Repeated rows give one
-result row per doc_id and item; rows without doc_id are reported under a null doc_id.
+An item with fewer than LEAST_WORDS words would be found in nearly every text: it matches only
+documents that consist of it. Null and empty texts match nothing; very long ones are read whole.
+Documents with equal kept stretches are tiled once. Repeated rows give one result row per doc_id and
+item; rows without doc_id are reported under a null doc_id. Texts that share an item_id are items of their
+own, and the best of them is reported.
 """
 
 from __future__ import annotations
@@ -25,13 +27,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firelake.llm.shared import only_ids, stored
 from firelake.llm.words import NOT_ALNUM, mix, pieces, shingle_places, shingles, words_of
 
 SEED_WORDS = 5
+# Items of fewer words are looked for as whole documents only.
+LEAST_WORDS = 3
 COVERAGE = 0.5
 # Bits of the seed table (2 ** 27: 16 MB in every task), whatever the size of the benchmark.
 TABLE_BITS = 27
@@ -58,6 +62,12 @@ def _item_task(k: int) -> Callable[[Batches], Batches]:
     return run
 
 
+def _plain(text: Column) -> Column:
+    """In lower case, with a blank between words; a text in ASCII is left to the byte table."""
+    spaced = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), spaced).otherwise(text)
+
+
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
     return pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))
@@ -80,13 +90,20 @@ def seed_table(items: DataFrame) -> np.ndarray:
     return table.view(_U)
 
 
-def _stretch_task(k: int, table) -> Callable[[Batches], Batches]:
+def _stretch_task(k: int, short: list[int], table) -> Callable[[Batches], Batches]:
+    """`short`: the lengths of items that have fewer than k words."""
+
     def run(batches: Batches) -> Batches:
         bits = table.value
         for batch in batches:
             for piece in pieces(batch, "text"):
                 words = words_of(piece.column(1), NOT_ALNUM)
-                first, (_, seeds) = shingle_places(words, piece.num_rows, k), shingles(words, piece.num_rows, k)
+                sizes = [*short, k]
+                first = np.concatenate([shingle_places(words, piece.num_rows, n) for n in sizes])
+                seeds = np.concatenate([shingles(words, piece.num_rows, n)[1] for n in sizes])
+                if short:
+                    order = np.argsort(first, kind="stable")
+                    first, seeds = first[order], seeds[order]
                 slot = _slot(seeds)
                 hit = np.flatnonzero((bits[slot >> 6] >> (slot & 63).astype(_U)) & _U(1))
                 if len(hit):
@@ -146,7 +163,7 @@ def _windows(values: np.ndarray, free: np.ndarray, length: int) -> tuple[np.ndar
     if len(values) < length:
         return np.zeros(0, np.int64), np.zeros(0, _U)
     base = 0xD6E8FEB86659FD93
-    powers = np.cumprod(np.concatenate([[1], np.full(len(values), base, dtype=_U)]).astype(_U), dtype=_U)
+    powers = np.cumprod(np.concatenate([np.ones(1, _U), np.full(len(values), base, dtype=_U)]), dtype=_U)
     total = np.concatenate([np.zeros(1, _U), np.cumsum(values * powers[:-1], dtype=_U)])
     taken = np.concatenate([[0], np.cumsum(~free)])
     starts = np.flatnonzero(taken[length:] == taken[:-length])
@@ -206,27 +223,28 @@ def contaminated(
     `docs` needs doc_id and text, `benchmark` item_id and text.
     """
     spark = docs.sparkSession
-    text = F.col("text").cast("string").alias("text")
+    text = _plain(F.col("text").cast("string")).alias("text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text).mapInArrow(
         _item_task(k), "item_id long, item_words array<long>, item_seeds array<long>"
     )
-    items = stored(items.where(F.size("item_words") > 0), "benchmark")
+    items = items.where(F.size("item_words") > 0).distinct()
+    items = stored(items.withColumn("item", F.xxhash64("item_id", "item_words")), "benchmark")
+    lengths = items.select(F.size("item_words").alias("n")).where(F.col("n").between(LEAST_WORDS, k - 1)).distinct()
+    short = sorted(r["n"] for r in lengths.collect())
     table = spark.sparkContext.broadcast(seed_table(items))
     schema = "doc_id long, stretch array<long>, seeds array<long>, k1 long, k2 long"
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(_stretch_task(k, table), schema)
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(_stretch_task(k, short, table), schema)
     kept = stored(kept, "stretches")
 
-    by_seed = items.select("item_id", F.size("item_words").alias("n"), F.explode("item_seeds").alias("seed"))
+    by_seed = items.select("item", F.size("item_words").alias("n"), F.explode("item_seeds").alias("seed"))
     few = by_seed.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
     sized = F.broadcast if few else (lambda frame: frame)
     contents = kept.groupBy("k1", "k2").agg(F.any_value("seeds").alias("seeds"), F.any_value("stretch").alias("stretch"))
     seeds = contents.select("k1", "k2", F.explode(F.array_distinct("seeds")).alias("seed"))
-    shared = seeds.join(sized(by_seed), "seed").groupBy("k1", "k2", "item_id").agg(
-        F.count(F.lit(1)).alias("seeds"), F.first("n").alias("n")
-    )
-    pairs = shared.where(F.col("seeds") * k >= F.lit(coverage) * F.col("n")).select("k1", "k2", "item_id")
+    shared = seeds.join(sized(by_seed), "seed").groupBy("k1", "k2", "item", "n").agg(F.count(F.lit(1)).alias("seeds"))
+    pairs = shared.where(F.col("seeds") * k >= F.lit(coverage) * F.col("n")).select("k1", "k2", "item")
     pairs = pairs.join(contents.select("k1", "k2", "stretch"), ["k1", "k2"])
-    pairs = pairs.join(sized(items.select("item_id", "item_words")), "item_id")
+    pairs = pairs.join(sized(items.select("item", "item_id", "item_words")), "item")
     measured = pairs.select("k1", "k2", "item_id", "stretch", "item_words").mapInArrow(
         _tile_task(k), "k1 long, k2 long, item_id long, n_tiles long, n_matched long, longest long, n_words long"
     )
