@@ -9,11 +9,13 @@ ties go to the first language in alphabetical order.
 Training takes a bounded sample (a parameter): from each language, stretches of rows chosen by a
 hash of their doc_id, until TRAIN_BYTES bytes. All rows are predicted, on their whole text.
 
-Texts are lower-cased; every run of characters that are not letters is one blank. A text is parsed
-in pieces of PIECE bytes, so that many run in step; a phrase ends at the end of a piece. A phrase of
-a byte that the language's text never has is one byte long. `und` is given to a null text and to
-one without a letter, and to all if there is no labelled row; its score is 0. Other scores are the
-share of 1 / entropy among all languages, between 1 / languages and 1.
+Texts are lower-cased; every run of characters that are not letters or marks is one blank. Pieces of PIECE
+bytes are read in step, each as if a phrase began there, and then once more from the state that the piece
+before it ends in, until both readings agree: phrases go on from piece to piece, and the count is that of
+one reading of the whole text. A phrase of a byte that the language's text never has is one byte long.
+`und` is given to a null text and to one without a letter, and to all if there is no labelled row; its score
+is 0. Other scores are the share of 1 / entropy among all languages, between 1 / languages and 1. Repeated
+rows are predicted each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,8 +41,9 @@ Batches = Iterator[pa.RecordBatch]
 
 
 def normalised(text: Column) -> Column:
-    """Lower case, with one blank for every run of other characters than letters."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " "))
+    """Lower case, with one blank for every run of other characters than letters and marks; empty without a letter."""
+    clean = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " "))
+    return F.when(text.rlike(r"\p{L}"), clean).otherwise("")
 
 
 class Automaton:
@@ -108,8 +111,30 @@ class Languages:
         self.roots = np.array(roots, dtype=np.int32)
         self.bits = np.array([np.log2(max(2, len(texts[n]))) for n in self.names])
 
-    def phrases(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Phrases of each stretch of `raw` in each language; all stretches are read in step."""
+    def phrases(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray, follows: np.ndarray | None = None) -> np.ndarray:
+        """Phrases of each stretch of `raw` in each language; one that `follows` goes on from the one before it."""
+        count, end = self._read_in_step(raw, start, size)
+        if follows is None or not follows.any():
+            return count
+        fresh, fresh_end, classes = count.copy(), end.copy(), self.classes[raw]
+        # The stretches of each language whose reading must begin with the state of the one before.
+        lang, at = (x.ravel() for x in np.meshgrid(np.arange(len(self.names)), np.flatnonzero(follows), indexing="ij"))
+        while len(at):
+            given = end[lang, at - 1]
+            added, last, settled = self._reread(classes, start[at], size[at], lang, given)
+            count[lang, at] = fresh[lang, at] + added
+            last = np.where(settled, fresh_end[lang, at], last)
+            changed = end[lang, at] != last
+            end[lang[changed], at[changed]] = last[changed]
+            # A reading that never agreed ends in another state, which the next stretch goes on from.
+            lang, at = lang[changed], at[changed] + 1
+            inside = at < len(start)
+            lang, at = lang[inside], at[inside]
+            lang, at = lang[follows[at]], at[follows[at]]
+        return count
+
+    def _read_in_step(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of each stretch in each language, and the state at its end."""
         order = np.argsort(-size, kind="stable")
         start, size = start[order], size[order]
         width = self.table.shape[1]
@@ -127,9 +152,35 @@ class Languages:
             count[:, :n] += ended
             np.copyto(to, flat[fresh + byte], where=ended)
             np.multiply(to, width, out=state[:, :n])
-        out = np.empty_like(count)
-        out[:, order] = count
-        return out
+        out, last = np.empty_like(count), np.empty_like(state)
+        out[:, order], last[:, order] = count, state
+        return out, last
+
+    def _reread(
+        self, classes: np.ndarray, start: np.ndarray, size: np.ndarray, lang: np.ndarray, given: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the count of a fresh reading lacks when it begins in the state `given`; the last state, and whether both agreed."""
+        width, flat = self.table.shape[1], self.table.ravel()
+        root = self.roots[lang].astype(np.int64) * width
+        # A fresh reading has counted the phrase that it begins with.
+        added, last, settled = np.full(len(start), -1), given.copy(), np.zeros(len(start), dtype=bool)
+        left, a, b = np.arange(len(start)), root.copy(), given.astype(np.int64)
+        step = 0
+        while True:
+            left_on = size[left] > step
+            left, a, b = left[left_on], a[left_on], b[left_on]
+            if not len(left):
+                return added, last, settled
+            byte = classes[start[left] + step]
+            new_a, new_b = flat[a + byte], flat[b + byte]
+            begun = flat[root[left] + byte]
+            added[left] += (new_b == 0).astype(np.int64) - (new_a == 0)
+            a, b = np.where(new_a == 0, begun, new_a).astype(np.int64) * width, np.where(new_b == 0, begun, new_b).astype(np.int64) * width
+            last[left] = b
+            agreed = a == b
+            settled[left[agreed]] = True
+            left, a, b = left[~agreed], a[~agreed], b[~agreed]
+            step += 1
 
 
 def training_texts(labelled: DataFrame, size: int = TRAIN_BYTES, stretch: int = TRAIN_STRETCH) -> dict[str, bytes]:
@@ -172,7 +223,7 @@ def _predict_task(model) -> Callable[[Batches], Batches]:
                 row = np.repeat(np.arange(len(sizes)), parts)
                 place = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
                 start = at[row] + place * PIECE
-                counts = languages.phrases(raw, start, np.minimum(PIECE, at[row + 1] - start))
+                counts = languages.phrases(raw, start, np.minimum(PIECE, at[row + 1] - start), place > 0)
                 total = np.stack([np.bincount(row, c, minlength=len(sizes)) for c in counts])
                 entropy = total * languages.bits[:, None] / np.maximum(1, sizes)
                 known = sizes > 0
