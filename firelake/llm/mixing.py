@@ -77,18 +77,20 @@ def replicate(
 ) -> DataFrame:
     """All columns of `docs` (doc_id and source among them) with n_copies and copy, in one random order.
 
-    `total` is the wanted number of rows; by default that of `docs`. Columns of these two names are replaced.
+    `total` is the wanted number of rows; by default that of `docs`. Columns named n_copies or copy are replaced; any
+    other name is free, as a record travels as one struct.
     """
     kept = [c for c in docs.columns if c not in ("n_copies", "copy")]
     tables = distributions(rates(docs, weights, temperature, total))
-    keyed = docs.select(*kept, _key(F.col("source")).alias(KEY))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("record"), _key(F.col("source")).alias(KEY))
     entries = tables.select(F.sum(F.size("steps"))).first()[0] or 0
     if entries <= MAX_BROADCAST_ENTRIES:
         drawn = keyed.join(F.broadcast(tables), KEY)
     else:
         drawn = join_reduced(keyed, tables, [KEY], "inner")
-    u = draw(F.col("doc_id"), seed)
     # The distribution is inverted: as many copies as there are steps at or below the draw.
-    counted = drawn.withColumn("_u", u).withColumn("n_copies", F.size(F.filter("steps", lambda s: s <= F.col("_u"))))
-    copies = counted.where("n_copies > 0").select(*kept, "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
-    return copies.orderBy(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy")), "doc_id", "copy")
+    drawn = drawn.withColumn("draw", draw(F.col("record.doc_id"), seed))
+    counted = drawn.withColumn("n_copies", F.size(F.filter("steps", lambda s: s <= F.col("draw"))))
+    copies = counted.where("n_copies > 0").select("record", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
+    copies = copies.orderBy(F.xxhash64(F.lit(seed), F.col("record.doc_id"), F.col("copy")), "record.doc_id", "copy")
+    return copies.select("record.*", "n_copies", "copy")
