@@ -11,15 +11,17 @@ A token joins a span when its label has at least CERTAIN of the belief; runs of
 seven digits or an `@` and touch no base span are added. Base spans always stay.
 
 Weights are learned by pseudo-likelihood from what the base patterns find in a bounded sample
-(SAMPLE_DOCS documents with open tokens by a hash of doc_id, their first TOKENS_PER_DOC tokens).
-All rows are searched on their whole text. Positions are code points, ends exclusive. Null and
+(SAMPLE_DOCS documents with open tokens by a hash of doc_id, of each a stretch of TOKENS_PER_DOC tokens).
+All rows are searched on their whole text, however long. Positions are code points, ends exclusive. Null and
 empty texts have no spans. Repeated rows give repeated result rows.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator, Sequence
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
@@ -33,13 +35,17 @@ KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
 CERTAIN = 0.9
 SAMPLE_DOCS = 3_000
+# Open tokens of one text that may go into the sample: a stretch from a place that a hash of the text decides.
 TOKENS_PER_DOC = 40
 # Rounds over all edges at once; messages that still change go on in sweeps along the text.
 TURNS = 8
-# Messages (log scale) that change by less have settled. Sweeps end there; only loops that swing may need the last of them.
+# Messages (log scale) that change by less have settled. Sweeps go on until then; on loops that swing each sweep
+# after the plain ones takes a smaller share of the change, so that they settle too.
 SETTLED = 1e-3
-PLAIN_SWEEPS, MOST_SWEEPS = 10, 100
+PLAIN_SWEEPS, CALMER = 10, 0.9
 SHORT = 7
+# A longer shape is named by its checksum.
+LONGEST_SHAPE = 60
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -122,8 +128,9 @@ def token_labels(tokens: Sequence[Token], spans: Sequence[Span]) -> np.ndarray:
 
 
 def _shape(token: str) -> str:
-    text = re.sub(r"[0-9]+", "9", token[:60])
-    return re.sub(r"[^\W\d_]+", "a", text).strip("\"'*#$%&|<>!,;:")
+    text = re.sub(r"[0-9]+", "9", token)
+    shape = re.sub(r"[^\W\d_]+", "a", text).strip("\"'*#$%&|<>!,;:")
+    return shape if len(shape) <= LONGEST_SHAPE else f"long {zlib.crc32(shape.encode())}"
 
 
 def _bucket(n: int) -> int:
@@ -235,8 +242,8 @@ def _swept(score: np.ndarray, message: np.ndarray, pairs: np.ndarray, potential:
     forward = np.argsort(pairs[:, 1], kind="stable").tolist()
     backward = (n + np.argsort(-pairs[:, 0], kind="stable")).tolist()
     ends = pairs.tolist()
-    for sweep in range(MOST_SWEEPS):
-        change, share = 0.0, 1.0 if sweep < PLAIN_SWEEPS else 0.5
+    for sweep in count():
+        change, share = 0.0, CALMER ** max(0, sweep - PLAIN_SWEEPS)
         for e in forward + backward:
             (low, high), back = ends[e % n], (e + n) % (2 * n)
             source, target = (low, high) if e < n else (high, low)
@@ -342,19 +349,25 @@ def _sample_task(batches: Batches) -> Batches:
                 text = texts[row].as_py()
                 tokens = open_tokens(text)
                 labels = token_labels(tokens, base_spans(text))
-                out.append([(*t, int(y)) for t, y in zip(tokens[:TOKENS_PER_DOC], labels)])
+                first = zlib.crc32(text.encode()) % max(1, len(tokens) - TOKENS_PER_DOC + 1)
+                taken = slice(first, first + TOKENS_PER_DOC)
+                out.append([(*t, int(y)) for t, y in zip(tokens[taken], labels[taken])])
             yield pa.RecordBatch.from_arrays([pa.array([[dict(zip(("start", "end", "text", "label"), t)) for t in d] for d in out], kind)], names=["tokens"])
 
 
 def train(docs: DataFrame, size: int = SAMPLE_DOCS) -> Field:
-    """The field, learned from about `size` texts with open tokens; equal texts count once."""
+    """The field, learned from about `size` texts with open tokens; equal stretches count once.
+
+    The sample is put in order before it is learned from, so a rerun learns the same.
+    """
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("text").rlike("[0-9@]"))
     share = min(1.0, size / max(1, rows.count()))
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit("")), F.lit("pii")), F.lit(1 << 40)) / float(1 << 40)
     schema = "tokens array<struct<start: int, end: int, text: string, label: int>>"
     found = rows.where(draw <= share).select("text").mapInArrow(_sample_task, schema).distinct()
-    return fit([[tuple(t) for t in row["tokens"]] for row in found.limit(2 * size).collect()])
+    ordered = found.orderBy(F.xxhash64("tokens"), "tokens").limit(2 * size)
+    return fit([[tuple(t) for t in row["tokens"]] for row in ordered.collect()])
 
 
 def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
