@@ -263,7 +263,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     insults = {w: FIXED_WEIGHT for w in INSULTS} | learned_insults(rows)
     first = docs.sparkSession.sparkContext.broadcast(Scorer(insults))
     measured = rows.select("toxic", "text").mapInArrow(_weight_task(first), "toxic int, weight double, score double").toArrow()
-    curve = fit_curve(measured.column("weight").to_numpy(), measured.column("toxic").to_numpy())
+    # In one order, so that sums and with them scores are the same in every run.
+    weight, toxic = measured.column("weight").to_numpy(), measured.column("toxic").to_numpy()
+    order = np.lexsort((toxic, weight))
+    curve = fit_curve(weight[order], toxic[order])
     return Scorer(insults, curve)
 
 

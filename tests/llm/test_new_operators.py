@@ -10,7 +10,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from firelake.llm import jaccard, negatives, sharding, spelling
+from pyspark.sql import functions as F
+
+from firelake.llm import decontaminate, jaccard, language, mixing, negatives, pii, sharding, spelling
 
 DOCS = "doc_id long, text string, shard string, slot long, record string"
 
@@ -284,3 +286,122 @@ def test_sketches_drop_no_link(spark):
         b = np.unique(np.concatenate([a[: n - n // 8], rng.integers(0, 2**63, n // 8, dtype=np.uint64)]))
         apart = sum(int(x).bit_count() for x in (jaccard._sketch(a) ^ jaccard._sketch(b)).view(np.uint64))
         assert apart <= len(np.setxor1d(a, b))
+
+
+# Whole texts, whatever their length and script -----------------------------------------------------------
+
+
+def test_phrases_go_on_from_piece_to_piece():
+    rng = random.Random(4)
+    texts = {name: bytes(rng.choice(letters) for _ in range(500)) for name, letters in (("x", b"ab "), ("y", b"abc "), ("z", b"abab"))}
+    model = language.Languages(texts)
+
+    def count(known, text):
+        n = at = 0
+        while at < len(text):
+            size = 1
+            while at + size < len(text) and text[at : at + size + 1] in known:
+                size += 1
+            n, at = n + 1, at + size
+        return n
+
+    for piece in (1, 3, 16, 64):
+        # Stretches of the labelled text itself make phrases that are longer than a piece.
+        whole = [texts["y"][40:260], bytes(rng.choice(b"abcd ") for _ in range(300)), texts["x"][:90] + texts["z"][3:200], b"a"]
+        raw = np.frombuffer(b"".join(whole), dtype=np.uint8)
+        sizes = np.array([len(t) for t in whole])
+        begin = np.cumsum(sizes) - sizes
+        start = np.concatenate([np.arange(b, b + n, piece) for b, n in zip(begin, sizes)])
+        row = np.repeat(np.arange(len(whole)), -(-sizes // piece))
+        size = np.minimum(piece, (begin + sizes)[row] - start)
+        got = model.phrases(raw, start, size, np.append(False, row[1:] == row[:-1]))
+        total = [np.bincount(row, c).astype(int).tolist() for c in got]
+        assert total == [[count(texts[name], t) for t in whole] for name in "xyz"], piece
+
+
+def test_a_text_of_marks_has_no_language(spark):
+    docs = spark.createDataFrame([(1, "́̂ ̈"), (2, "12 !"), (3, "été")], "doc_id long, text string")
+    train = spark.createDataFrame([(9, "eau ete etre", "fr"), (8, "und der die", "de")], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, train).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3][0] != "und"
+
+
+def test_short_items_and_typographic_marks(spark):
+    docs = [
+        (1, "please name the largest ocean now thanks"), (2, "“what is the capital of france”—he asked"),
+        (3, "WAS IST DIE GRÖSSTE STADT ÖSTERREICHS…"), (4, "the largest"), (5, "an ocean"), (6, "yes"), (7, "yes or no"), (8, None), (9, ""),
+    ]
+    items = [
+        (1, "Name the largest ocean"), (2, "What is the capital of France?"), (3, "Was ist die grösste Stadt Österreichs?"),
+        (4, "Yes."), (5, None), (6, "name the smallest ocean"), (6, "capital of france"), (6, "capital of france"),
+    ]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    found = decontaminate.contaminated(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (2, 2), (2, 6), (3, 3), (6, 4)} and len(found) == 5
+
+
+def test_contamination_against_greedy_tiling(spark):
+    """Every document and item, tiled without seeds, joins or hashes."""
+    rng = random.Random(11)
+    items = [[rng.choice("abcdefghijklmnop") + str(rng.randrange(4)) for _ in range(rng.randrange(3, 25))] for _ in range(25)]
+    docs = []
+    for _ in range(60):
+        item, words = rng.choice(items), [f"x{rng.randrange(99)}" for _ in range(rng.randrange(0, 30))]
+        cut = rng.randrange(len(item) + 1)
+        parts = [item[cut:], words, item[:cut]]
+        rng.shuffle(parts)
+        docs.append([w for part in parts for w in part])
+
+    def covered(doc, item, least):
+        doc, free, n = list(doc), [True] * len(item), 0
+        while True:
+            best = (least - 1, None, None)
+            for d in range(len(doc)):
+                for i in range(len(item)):
+                    m = 0
+                    while d + m < len(doc) and i + m < len(item) and free[i + m] and doc[d + m] == item[i + m]:
+                        m += 1
+                    if m > best[0]:
+                        best = (m, d, i)
+            m, d, i = best
+            if d is None:
+                return n
+            doc[d : d + m], free[i : i + m], n = [None] * m, [False] * m, n + m
+
+    wanted = {
+        (d, i) for d, doc in enumerate(docs) for i, item in enumerate(items)
+        if 2 * covered(doc, item, min(5, len(item))) >= len(item)
+    }
+    got = decontaminate.contaminated(
+        spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"),
+        spark.createDataFrame([(i, ", ".join(d)) for i, d in enumerate(items)], "item_id long, text string"),
+    )
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == wanted
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "s", i, f"k{i}", 0.5, "r") for i in range(50)], "doc_id long, source string, steps long, _source_key string, draw double, record string")
+    rows = mixing.replicate(docs.withColumn("_u", F.lit(7)), {"s": 1.0}, total=200).collect()
+    assert {(r.doc_id, r.steps, r._source_key, r.draw, r.record, r._u) for r in rows} <= {(i, i, f"k{i}", 0.5, "r", 7) for i in range(50)}
+    assert len(rows) > 100
+
+
+def test_messages_settle_on_loops_that_swing():
+    names = {"any": 0}
+    pair = np.zeros((2, pii.OUTSIDE + 1, pii.OUTSIDE + 1))
+    # Neighbours must differ strongly: on odd loops no assignment does.
+    pair[0] = pair[1] = -9.0 * np.eye(pii.OUTSIDE + 1)
+    field = pii.Field(names, np.zeros((1, pii.OUTSIDE + 1)), pair)
+    text = " ".join(["5550107777", "x1", "5550107777"] * 4 + ["+1 555-010-7777"])
+    tokens = pii.open_tokens(text)
+    belief = field.beliefs(tokens, pii.token_labels(tokens, pii.base_spans(text)))
+    assert np.isfinite(belief).all() and np.allclose(belief.sum(axis=1), 1)
+
+
+def test_training_sees_the_ends_of_long_texts(spark):
+    text = " ".join(f"word {i}" for i in range(400)) + " call +1 (555) 010-1234 now"
+    docs = spark.createDataFrame([(i, f"{i} {text} {i}") for i in range(60)], "doc_id long, text string")
+    rows = docs.select("text").mapInArrow(pii._sample_task, "tokens array<struct<start: int, end: int, text: string, label: int>>").collect()
+    assert {len(r.tokens) for r in rows} == {pii.TOKENS_PER_DOC}
+    assert len({r.tokens[0].start > 4000 for r in rows}) == 2 or max(r.tokens[-1].end for r in rows) > 3000
