@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from firelake.checks.query import Query, over
 from firelake.checks.rows import FEATURE_LIST, JOIN_CONDITIONS, ORDER, SIDE
@@ -13,6 +14,7 @@ from firelake.plans.scoring import feature_importances, predict, score
 from firelake.plans.training import Trained, run_training, train
 from firelake.session import work_dir
 from firelake.sources.sinks import load_model
+from firelake.sources.tables import staged
 
 FIRST_CONDITIONS = {
     "w": "SELECT round(latitude * 1e2) AS la, round(longitude * 1e2) AS lo, wind_speed_kmh, humidity_pct, temp_c,"
@@ -74,6 +76,34 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.json(f"{_run(run_training, spark, sf_dir)[0]}/metrics").select("metrics.*")
 
 
+def _properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for any forest: sizes of the split, and that stored, measured and ranked values agree."""
+    tables = _tables(spark, sf_dir)
+    artifacts, fitted = _run(run_training, spark, sf_dir)
+    metrics = spark.read.json(f"{artifacts}/metrics").select("metrics.*").first()
+    again = load_model(spark, artifacts)
+    scored = staged(fitted.scored_test, "scored")
+    measured = evaluation.confusion_metrics(scored, "risk", "label").first()
+    ranked = feature_importances(spark, again).collect()
+    every = staged(score(matrix(*tables), again).select("event_id", "risk"), "every")
+    top = predict(*tables, again, order=ORDER, tie_break=("event_id",)).select("event_id", "pred_score").collect()
+    unlisted = every.where(~F.col("event_id").isin([r["event_id"] for r in top])).agg(F.max("risk")).first()[0]
+    same_scores = score(matrix(*tables), fitted.model).select("event_id", "risk").exceptAll(every).isEmpty()
+    row = {
+        "n_rows": metrics["n_rows"],
+        "n_test_0": scored.where("label = 0").count(),
+        "n_test_1": scored.where("label = 1").count(),
+        "n_features": len(ranked),
+        "metrics_agree": all(metrics[m] == measured[m] for m in ("accuracy", "precision", "recall", "f1")),
+        "stored_model_scores_alike": same_scores and again.stages[-1].getNumTrees == fitted.model.stages[-1].getNumTrees,
+        "importances_total": round(sum(r["importance"] for r in ranked), 2),
+        "importances_fall": [r["importance"] for r in ranked] == sorted((r["importance"] for r in ranked), reverse=True),
+        "scores_in_range": every.where("risk BETWEEN 0 AND 1").count() == every.count(),
+        "nothing_unlisted_is_higher": unlisted is None or unlisted <= min(r["pred_score"] for r in top),
+    }
+    return spark.createDataFrame([tuple(row.values())], list(row))
+
+
 def _report_sql() -> str:
     def ratio(top: str, bottom: str) -> str:
         return f"CASE WHEN {bottom} = 0 THEN 0e0 ELSE ({top}) / CAST({bottom} AS DOUBLE) END"
@@ -123,6 +153,25 @@ def queries() -> dict[str, Query]:
             ),
             with_views(f"SELECT event_id, label, {BUCKET} < 20 AS is_test FROM scored", "scored"),
         ),
+        "exact_split": Query(
+            over("scored", build=lambda scored: evaluation.exact_split(scored.select("event_id", "label"), ("event_id",))),
+            with_views(
+                "SELECT event_id, label, row_number() OVER (PARTITION BY label ORDER BY draw) <= (count(*) OVER (PARTITION BY label)"
+                " * 20 + 50) // 100 AS is_test FROM drawn",
+                "scored",
+                drawn="SELECT event_id, label, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 15) AS BIGINT) AS draw FROM scored",
+            ),
+        ),
+        "model_properties": Query(
+            _properties,
+            with_views(
+                "SELECT count(*) AS n_rows, (count(*) FILTER (WHERE label = 0) * 20 + 50) // 100 AS n_test_0,"
+                " (count(*) FILTER (WHERE label = 1) * 20 + 50) // 100 AS n_test_1, 13 AS n_features, TRUE AS metrics_agree,"
+                " TRUE AS stored_model_scores_alike, 1e0 AS importances_total, TRUE AS importances_fall, TRUE AS scores_in_range,"
+                " TRUE AS nothing_unlisted_is_higher FROM scored",
+                "scored",
+            ),
+        ),
         "class_weights": Query(
             over("scored", build=evaluation.class_weights),
             with_views(

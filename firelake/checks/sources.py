@@ -10,12 +10,14 @@ from firelake.checks.query import Query, over
 from firelake.checks.rows import API, LEVEL, NEWEST, US
 from firelake.checks.views import view, with_views
 from firelake.functions import fallback_risk
-from firelake.plans.ingest import backfill, ingest_soil, ingest_weather
+from firelake.plans.ingest import backfill, ingest_soil, ingest_weather, insert_detections
 from firelake.plans.serving import latest_fires, latest_fires_from_table, project_api
-from firelake.schemas import ENVIRONMENT, FIRES, WEATHER
+from firelake.schemas import DETECTION_KEY, ENVIRONMENT, FIRES, REGIONS, WEATHER, WEATHER_VALUES
 from firelake.session import work_dir
 from firelake.sources.builds import build_results, scan_build_json
 from firelake.sources.csv import Window, normalize_hms, scan_detections_csv, scan_hms_csv, scan_window_list
+from firelake.sources.days import scan_day_counts, update_day_counts
+from firelake.sources.latest import join_latest, latest_values, merge_latest
 from firelake.sources.payloads import parse_forecast_json, parse_gridpoint_json, parse_soil_json
 from firelake.sources.sinks import write_api_json
 from firelake.sources.tables import FIRES_TABLE, append_rows, ensure_table, scan_or_empty, scan_table
@@ -98,15 +100,36 @@ def _append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _latest_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over a partitioned fires table with the detections of two feeds.
-
-    Rows of the last minute may tie for the last places, so only the times are compared.
-    """
+    """Over a partitioned fires table with the detections of two feeds and their counts per day."""
     fires, root = detections(spark, sf_dir), work_dir(spark, "stored")
     table = f"{root}/{FIRES_TABLE}"
-    append_rows(fires.where(STORED), table, FIRES, "acq_date", "satellite")
-    append_rows(fires.where(f"NOT {STORED}"), table, FIRES, "acq_date", "smoke")
-    return latest_fires_from_table(spark, root, region="us").select("acq_date", "acq_time")
+    for source, rows in (("satellite", fires.where(STORED)), ("smoke", fires.where(f"NOT {STORED}"))):
+        append_rows(rows, table, FIRES, "acq_date", source)
+        update_day_counts(spark, table, source)
+    return latest_fires_from_table(spark, root, region="us")
+
+
+def _day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts after two inserts into one feed, the second of which meets days of the first."""
+    fires, table = detections(spark, sf_dir), work_dir(spark, "counted")
+    insert_detections(spark, fires.where(STORED), table, "satellite")
+    insert_detections(spark, fires.where(f"NOT {STORED}"), table, "satellite")
+    return scan_day_counts(spark, table).drop("source")
+
+
+def _latest_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest reading per cell after three appends, the first of which comes again at the end."""
+    readings, path = view(spark, sf_dir, "weather_observations"), work_dir(spark, "weather")
+    for part in (0, 1, 2, 0):
+        merge_latest(readings.where(f"seq % 3 = {part}"), path, "weather")
+    return latest_values(spark, path, "weather")
+
+
+def _join_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    readings, path = view(spark, sf_dir, "weather_observations"), work_dir(spark, "weather")
+    merge_latest(readings, path, "weather")
+    fires = detections(spark, sf_dir).select("event_id", "latitude", "longitude")
+    return join_latest(fires, path, "weather").drop("latitude", "longitude")
 
 
 def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,6 +238,18 @@ def _build_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    values = ", ".join(WEATHER_VALUES)
+    newest = ", ".join(f"{v} DESC NULLS LAST" for v in ("fetched_at", *WEATHER_VALUES))
+    last = (
+        "SELECT *, round(latitude * 1e2) AS la, round(longitude * 1e2) AS lo, row_number() OVER (PARTITION BY"
+        f" round(latitude * 1e2), round(longitude * 1e2) ORDER BY {newest}) AS place FROM weather_observations"
+    )
+    same = " AND ".join(f"f.{k} = fires.{k}" for k in DETECTION_KEY)
+    per_region = ", ".join(
+        f"count(*) FILTER (WHERE {US} AND latitude BETWEEN {b.min_lat}e0 AND {b.max_lat}e0 AND longitude BETWEEN {b.min_lon}e0"
+        f" AND {b.max_lon}e0) AS n_{name}"
+        for name, b in REGIONS.items()
+    )
     hms_time = {"datetime": "acq_time", "yearday": "'0000'"}
     hms_frp = {"datetime": "frp", "yearday": "0e0"}
 
@@ -287,7 +322,30 @@ def queries() -> dict[str, Query]:
         "latest_fires_from_table": Query(
             _latest_from_table,
             with_views(
-                f"SELECT acq_date, acq_time FROM fires WHERE {US} ORDER BY acq_date DESC, acq_time DESC LIMIT 1000", "fires"
+                f"SELECT {API} FROM (SELECT * FROM fires WHERE {US} ORDER BY acq_date DESC, acq_time DESC, latitude, longitude,"
+                " bright_ti4 NULLS FIRST, bright_ti5 NULLS FIRST, frp NULLS FIRST, confidence LIMIT 1000) AS newest",
+                "fires",
+            ),
+        ),
+        "day_counts": Query(
+            _day_counts,
+            with_views(
+                f"SELECT acq_date, lower(confidence) AS level, {per_region} FROM kept GROUP BY 1, 2",
+                "fires",
+                first=f"SELECT * FROM fires WHERE {STORED}",
+                kept="SELECT * FROM first UNION ALL SELECT * FROM fires WHERE NOT"
+                f" {STORED} AND NOT EXISTS (SELECT 1 FROM first f WHERE {same})",
+            ),
+        ),
+        "latest_readings": Query(_latest_readings, with_views(f"SELECT latitude, longitude, {values} FROM last WHERE place = 1", "weather_observations", last=last)),
+        "join_latest": Query(
+            _join_latest,
+            with_views(
+                "SELECT event_id, " + ", ".join(f"coalesce({v}, 0e0) AS {v}" for v in WEATHER_VALUES) + " FROM fires f LEFT JOIN last"
+                " ON place = 1 AND round(f.latitude * 1e2) = la AND round(f.longitude * 1e2) = lo",
+                "fires",
+                "weather_observations",
+                last=last,
             ),
         ),
         "write_api_json": Query(

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firelake.functions import round_to
 from firelake.operators.summary import label_distribution
+from firelake.sources.tables import staged
 
 # Digits of a score that are told apart when it is ranked.
 SCORE_DIGITS = 4
+# Bits of the number that a row draws for the split, and of those that one pass looks at.
+DRAW_BITS, STEP_BITS = 60, 12
 
 
 def split_bucket(key: Sequence[str]) -> Column:
@@ -26,6 +31,90 @@ def stratified_split(rows: DataFrame, key: Sequence[str], test_percent: int = 20
     return rows.withColumn("is_test", split_bucket(key) < test_percent)
 
 
+def split_draw(key: Sequence[str]) -> Column:
+    """60 bits of the md5 of the row key."""
+    digest = F.md5(F.concat_ws("|", *[F.col(name).cast("string") for name in key]))
+    return F.conv(F.substring(digest, 1, DRAW_BITS // 4), 16, 10).cast("long")
+
+
+class Cut(NamedTuple):
+    """Where a class is split: draws below go to the test rows, and so do `taken` of the rows at the draw."""
+
+    draw: int
+    taken: int
+
+
+def split_cuts(drawn: DataFrame, test_percent: int, label: str = "label", draw: str = "_draw") -> dict[object, Cut]:
+    """The cut that leaves round(n * test_percent / 100) rows of each class below it.
+
+    An order statistic without sorting: counts of the leading STEP_BITS of the draws say in which bucket
+    the cut lies; the next pass counts that bucket alone, by the next bits. A pass brings back at most
+    2 ** STEP_BITS rows per class; three passes are enough for a billion rows.
+    """
+    wanted: dict[object, int] = {}
+    cuts: dict[object, Cut] = {}
+    prefix: dict[object, int] = {}
+    shift = DRAW_BITS
+    while shift and (shift == DRAW_BITS or prefix):
+        shift -= STEP_BITS
+        inside = F.lit(True)
+        if prefix:
+            open_buckets = [F.col(label).eqNullSafe(F.lit(c)) & (F.shiftright(draw, shift + STEP_BITS) == p) for c, p in prefix.items()]
+            inside = reduce(Column.__or__, open_buckets)
+        counted = drawn.where(inside).groupBy(label, F.shiftright(draw, shift).alias("bucket")).count().collect()
+        classes: dict[object, list[tuple[int, int]]] = {}
+        for row in counted:
+            classes.setdefault(row[label], []).append((row["bucket"], row["count"]))
+        for name, buckets in classes.items():
+            if name not in wanted:
+                wanted[name] = (sum(n for _, n in buckets) * test_percent + 50) // 100
+            left = wanted[name]
+            for bucket, n in sorted(buckets):
+                if left <= n:
+                    break
+                left -= n
+            wanted[name] = left
+            if left == n or not shift:
+                # The bucket goes in whole, or is a single draw.
+                cuts[name] = Cut((bucket + 1) << shift, 0) if left == n else Cut(bucket, left)
+                prefix.pop(name, None)
+            else:
+                prefix[name] = bucket
+    return cuts
+
+
+def exact_split(rows: DataFrame, key: Sequence[str], test_percent: int = 20, label: str = "label") -> DataFrame:
+    """Adds `is_test`: exactly round(n * test_percent / 100) rows of each class, those whose key hashes lowest.
+
+    Rows of equal keys at the cut are told apart by a number counted within each input task first; which of
+    them is taken is not defined. A null label is a class of its own. The rows are read a few times: give a
+    stored table.
+    """
+    columns = rows.columns
+    drawn = rows.withColumn("_draw", split_draw(key))
+    cuts = split_cuts(drawn, test_percent, label)
+    is_test, at_cut = F.lit(False), F.lit(False)
+    for name, cut in cuts.items():
+        mine = F.col(label).eqNullSafe(F.lit(name))
+        is_test = F.when(mine, F.col("_draw") < cut.draw).otherwise(is_test)
+        if cut.taken:
+            at_cut = at_cut | (mine & (F.col("_draw") == cut.draw))
+    flagged = drawn.withColumn("is_test", is_test)
+    if not any(cut.taken for cut in cuts.values()):
+        return flagged.select(*columns, "is_test")
+    tied = staged(flagged.where(at_cut).withColumn("_part", F.spark_partition_id()), "tied")
+    parts = tied.groupBy(label, "_part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(label).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col(label).alias("_class"), F.col("_part").alias("_of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_draw")).alias("_number")
+    numbered = tied.select("*", number).join(parts, F.col(label).eqNullSafe(F.col("_class")) & (F.col("_part") == F.col("_of")))
+    taken = F.lit(0)
+    for name, cut in cuts.items():
+        taken = F.when(F.col(label).eqNullSafe(F.lit(name)), cut.taken).otherwise(taken)
+    chosen = numbered.withColumn("is_test", F.col("_number") + F.col("_before") <= taken)
+    return flagged.where(~at_cut).select(*columns, "is_test").union(chosen.select(*columns, "is_test"))
+
+
 def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weight per class: rows / (classes * rows of the class)."""
     counts = label_distribution(rows, label)

@@ -18,7 +18,7 @@ def check_region(region: str | None) -> str | None:
         return None
     key = region.lower()
     if key not in REGIONS:
-        raise ValueError(f"Invalid region '{region}'. Must be one of: {', '.join(REGIONS)}")
+        raise ValueError(f"Invalid region {region!r}: known regions are {', '.join(REGIONS)}")
     return key
 
 
@@ -27,7 +27,7 @@ def check_confidence(confidence: str | None) -> str | None:
         return None
     level = confidence.lower()
     if level not in CONFIDENCES:
-        raise ValueError(f"Invalid confidence '{confidence}'. Must be one of: {', '.join(CONFIDENCES)}")
+        raise ValueError(f"{confidence!r} is no confidence level; there are {', '.join(CONFIDENCES)}")
     return level
 
 

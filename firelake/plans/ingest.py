@@ -24,11 +24,11 @@ from firelake.schemas import (
     WEATHER_VALUES,
 )
 from firelake.sources.csv import Window, scan_window_list
+from firelake.sources.days import update_day_counts
+from firelake.sources.latest import merge_latest
 from firelake.sources.payloads import parse_forecast_json, parse_gridpoint_json, parse_soil_json
 from firelake.sources.tables import append_rows, scan_or_empty, staged
 
-# Dates that are listed in a filter; more of them are joined. Both read the same partitions' rows.
-MAX_LISTED_DATES = 400
 CELL = ["lat_cell", "lon_cell"]
 GRID = ["grid_id", "grid_x", "grid_y"]
 
@@ -39,23 +39,22 @@ class Counts(NamedTuple):
     skipped: int
 
 
-def stored_days(table: DataFrame, batch: DataFrame) -> DataFrame:
-    """The partitions of the table that a batch can collide with.
+def batch_days(batch: DataFrame) -> list[str]:
+    """The distinct dates of a batch, each of which is a folder of the table."""
+    dates = batch.where("acq_date IS NOT NULL").select("acq_date").distinct()
+    return sorted(r[0] for r in dates.collect())
+
 
-    The batch's distinct dates are few, so they are looked up and listed in the filter;
-    an anti-join alone would read every partition.
+def stored_days(table: DataFrame, days: Sequence[str]) -> DataFrame:
+    """The partitions of the table that rows of these days can collide with.
+
+    They are listed in the filter; an anti-join alone would read every partition.
     """
-    dates = batch.where("acq_date IS NOT NULL").select("acq_date").distinct()
-    days = [r[0] for r in dates.limit(MAX_LISTED_DATES + 1).collect()]
-    if not days:
-        return table.where(F.lit(False))
-    if len(days) > MAX_LISTED_DATES:
-        return table.join(dates, "acq_date", "left_semi").select(*table.columns)
-    return table.where(F.col("acq_date").isin(days))
+    return table.where(F.col("acq_date").isin([*days])) if days else table.where(F.lit(False))
 
 
 def insert_detections(spark: SparkSession, batch: DataFrame, path: str, source: str) -> Counts:
-    """Append the detections the table does not hold, and count.
+    """Append the detections the table does not hold, and count; the counts per day are kept up.
 
     The inserted rows are counted while they are written, so nothing is joined again for
     it. Inserting the same batch twice adds nothing the second time.
@@ -65,10 +64,13 @@ def insert_detections(spark: SparkSession, batch: DataFrame, path: str, source:
         rows_in = batch.count()
         if rows_in == 0:
             return Counts(0, 0, 0)
-        known = stored_days(scan_or_empty(spark, path, FIRES), batch)
+        days = batch_days(batch)
+        known = stored_days(scan_or_empty(spark, path, FIRES), days)
         written = Observation()
         append_rows(dedup_insert(batch, known), path, FIRES, "acq_date", source, written)
         inserted = written.get["rows"]
+        if inserted:
+            update_day_counts(spark, path, source, days)
         return Counts(rows_in, inserted, rows_in - inserted)
     finally:
         batch.unpersist()
@@ -126,7 +128,8 @@ def _last(answers: DataFrame, key: Sequence[str], values: Sequence[str]) -> Data
     return last.select(*key, *[F.col(f"last.{v}").alias(v) for v in values])
 
 
-def _store(readings: DataFrame, path: str, schema: T.StructType, obs_date: str, fetched_at: str) -> int:
+def _store(readings: DataFrame, path: str, schema: T.StructType, kind: str, obs_date: str, fetched_at: str) -> int:
+    """Append to the reading table, and merge into the newest readings beside it."""
     rows = readings.withColumns(
         {
             "latitude": F.col("lat_cell") / 100.0,
@@ -135,8 +138,10 @@ def _store(readings: DataFrame, path: str, schema: T.StructType, obs_date: str,
             "fetched_at": F.lit(fetched_at).cast("timestamp"),
         }
     )
+    rows = staged(rows.select(*schema.fieldNames()), "readings")
     written = Observation()
     append_rows(rows, path, schema, "obs_date", written=written)
+    merge_latest(rows, path, kind)
     return written.get["rows"]
 
 
@@ -177,7 +182,7 @@ def ingest_weather(
     cells = _wanted_cells(weather_cells(fires, limit), path, WEATHER, obs_date)
     resolved = staged(grid_of_cells(points, cells), "grids")
     readings = readings_of_grids(forecasts, resolved)
-    return _store(join_reduced(resolved, readings, GRID, "inner"), path, WEATHER, obs_date, fetched_at)
+    return _store(join_reduced(resolved, readings, GRID, "inner"), path, WEATHER, "weather", obs_date, fetched_at)
 
 
 def ingest_soil(
@@ -189,4 +194,4 @@ def ingest_soil(
     """
     cells = _wanted_cells(soil_cells(fires, limit), path, ENVIRONMENT, obs_date)
     readings = _last(parse_soil_json(_answers(payloads, cells)), CELL, SOIL_VALUES)
-    return _store(readings, path, ENVIRONMENT, obs_date, fetched_at)
+    return _store(readings, path, ENVIRONMENT, "soil", obs_date, fetched_at)

@@ -16,14 +16,15 @@ from firelake.operators.evaluation import (
     average_precision,
     classification_report,
     confusion_metrics,
+    exact_split,
     roc_auc,
-    stratified_split,
     with_class_weight,
 )
 from firelake.plans.features import feature_matrix
 from firelake.plans.scoring import feature_importances, score
 from firelake.schemas import DETECTION_KEY, FEATURES
 from firelake.sources.sinks import load_model, save_model, write_metrics_json
+from firelake.sources.tables import staged
 
 SEED = 42
 TREES = 100
@@ -61,18 +62,18 @@ def train(
 ) -> Trained:
     """Feature matrix, split, fit; the stored model, and the test rows it scored.
 
-    The training rows are read once per tree level, so they are kept for the fit: spread
+    The matrix is written once; the split, the fit and the test rows read it from there. The training rows are read once per tree level, so they are kept for the fit: spread
     over the executors, spilling to disk, and rebuilt from the tables if one is lost. The
     test rows are scored with the model as read back: a fresh one holds its training
     summary, and with it the session, which cannot be sent to executors.
     """
-    matrix = feature_matrix(fires, weather, soil, order=order, carry=key)
-    split = stratified_split(matrix, key, test_percent).drop(*key)
+    matrix = staged(feature_matrix(fires, weather, soil, order=order, carry=key), "matrix")
+    split = exact_split(matrix, key, test_percent).drop(*key)
     training = split.where(~F.col("is_test")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         about = {
             "model": "RandomForestClassifier",
-            "n_rows": fires.count(),
+            "n_rows": matrix.count(),
             "n_estimators": trees,
             "test_size": test_percent / 100,
             "features": FEATURES,

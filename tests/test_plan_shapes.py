@@ -20,7 +20,7 @@ from firelake.sources.tables import append_rows, scan_table
 EAGER = {
     "scan_detections_csv", "scan_window_list", "backfill", "normalize_hms", "normalize_hms_yearday", "append_rows",
     "scan_or_empty", "latest_fires_from_table", "write_api_json", "write_api_json_all", "ingest_weather", "ingest_soil",
-    "scan_build_json", "stream_ingest", "stream_dedup", "stream_rejects", "fit_forest_score", "save_load_model", "predict_top", "rank_importances",
+    "scan_build_json", "stream_ingest", "stream_dedup", "stream_rejects", "day_counts", "latest_readings", "join_latest", "exact_split", "model_properties", "fit_forest_score", "save_load_model", "predict_top", "rank_importances",
     "write_metrics_json",
 }
 

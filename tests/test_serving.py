@@ -1,13 +1,18 @@
 from __future__ import annotations
 
+import re
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
+from firelake.operators import filters
 from firelake.plans import dashboard, scoring, serving, training
 from firelake.plans.features import feature_matrix
+from firelake.plans.ingest import insert_detections
 from firelake.schemas import ENVIRONMENT, FEATURES, FIRES, WEATHER
 from firelake.session import work_dir
-from firelake.sources import sinks, tables
+from firelake.sources import days, latest, sinks, tables
 
 
 @pytest.fixture
@@ -63,6 +68,73 @@ def test_stored_table_reads_only_the_days_it_needs(spark, many):
         serving.latest_fires_from_table(spark, root, region="mars")
 
 
+def _newest(rows, limit):
+    """Newest first, ties by all columns, nulls first."""
+    ties = ["latitude", "longitude", "bright_ti4", "bright_ti5", "frp", "confidence"]
+    key = lambda r: (r.acq_date or "", r.acq_time or "")
+    order = sorted(rows.collect(), key=lambda r: [(r[t] is not None, r[t]) for t in ties])
+    return sorted(order, key=key, reverse=True)[:limit]
+
+
+def test_newest_days_are_found_in_the_counts(spark, many):
+    path = f"{work_dir(spark, 'counted')}/fires"
+    insert_detections(spark, many.where("frp < 30"), path, "satellite")
+    insert_detections(spark, many.where("frp >= 30"), path, "smoke")
+    stored = tables.scan_table(spark, path, FIRES)
+    us = filters.filter_us_box(stored)
+    for limit in (1, 5, 35, 200, 1000):
+        got = serving.newest_from_table(spark, path, limit=limit).collect()
+        assert got == _newest(us, limit)
+    for region, level in (("ca", None), (None, "high"), ("tx", "high")):
+        want = filters.filter_confidence_exact(filters.filter_region(stored, region), level)
+        assert serving.newest_from_table(spark, path, region, level, 7).collect() == _newest(want, 7)
+    # The fires are read from the day on that the counts name, and nothing else of them.
+    rows = serving.newest_from_table(spark, path, limit=5)
+    oldest = days.oldest_day_needed(days.scan_day_counts(spark, path), 5)
+    rows.collect()
+    scans = [line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line]
+    assert scans and all("acq_date" in line.split("PartitionFilters: [")[1].split("]")[0] and oldest in line for line in scans)
+
+
+def test_counts_that_are_behind_lose_no_row(spark, many):
+    path = f"{work_dir(spark, 'behind')}/fires"
+    insert_detections(spark, many.where("acq_date < '2024-08-20'"), path, "satellite")
+    # Days added, and rows of a counted day, without counting them: as after a failure in between.
+    tables.append_rows(many.where("acq_date >= '2024-08-19'"), path, FIRES, "acq_date", "smoke")
+    us = filters.filter_us_box(tables.scan_table(spark, path, FIRES))
+    for limit in (3, 40, 500):
+        assert serving.newest_from_table(spark, path, limit=limit).collect() == _newest(us, limit)
+    days.update_day_counts(spark, path, "smoke")
+    assert days.oldest_day_needed(days.scan_day_counts(spark, path), 3) >= "2024-08-29"
+
+
+def test_latest_readings_do_not_depend_on_the_order(spark):
+    readings = spark.createDataFrame(
+        [
+            (34.05, -118.25, "d", 1.0, 2.0, None, datetime(2024, 8, 1)),
+            (34.0501, -118.2499, "d", 9.0, None, 3.0, datetime(2024, 8, 2)),
+            (34.05, -118.25, "d", 9.0, 1.0, 3.0, datetime(2024, 8, 2)),
+            (-0.001, 0.0, "d", 4.0, 4.0, 4.0, datetime(2024, 8, 1)),
+            (34.99, -118.25, "d", 5.0, 5.0, 5.0, None),
+            (None, 1.0, "d", 6.0, 6.0, 6.0, datetime(2024, 8, 1)),
+        ],
+        WEATHER,
+    )
+    parts = readings.randomSplit([0.5, 0.5], 3)
+    for order in (parts, parts[::-1], [readings], [readings, parts[0]], [readings.limit(0), readings]):
+        path = f"{work_dir(spark, 'latest')}/weather"
+        for part in order:
+            latest.merge_latest(part, path, "weather")
+        got = {tuple(r) for r in latest.latest_values(spark, path, "weather").collect()}
+        assert got == {(34.05, -118.25, 9.0, 1.0, 3.0), (0.0, 0.0, 4.0, 4.0, 4.0), (34.99, -118.25, 5.0, 5.0, 5.0)}
+    fires = spark.createDataFrame([(34.051, -118.251), (50.0, 1.0), (None, None)], "latitude double, longitude double")
+    joined = latest.join_latest_bounded(fires, path, f"{path}-none")
+    assert {tuple(r)[2:] for r in joined.collect()} == {(9.0, 1.0, 3.0, 0.0, 0.0, 0.0), (0.0,) * 6}
+    # Only the bands of the list are read.
+    plan = latest.join_latest(fires, path, "weather", [34])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[.*band#\d+ = 34", plan)
+
+
 def test_prepared_list(many, make_fires):
     records = serving.latest_fires(many, limit=20)
     prepared = dashboard.prepare_list(records)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 from datetime import UTC, datetime
 
 import pytest
@@ -233,3 +234,24 @@ def test_split_and_weights(spark):
     weights = {r.label: r.weight for r in evaluation.class_weights(rows).collect()}
     assert weights == {1: 5.0, 0: 0.555556}
     assert evaluation.with_class_weight(rows).where("label = 1").first().weight == 5.0
+
+
+def test_exact_split_takes_the_lowest_hashes_of_each_class(spark):
+    rows = [(i, i % 7 == 0 if i % 11 else None) for i in range(500)]
+    frame = spark.createDataFrame(rows, "event_id long, label boolean").selectExpr("event_id", "CAST(label AS INT) AS label").repartition(5)
+    got = evaluation.exact_split(frame, ("event_id",)).collect()
+    assert len(got) == 500
+    for label in (0, 1, None):
+        drawn = sorted((int(hashlib.md5(str(r.event_id).encode()).hexdigest()[:15], 16), r.is_test) for r in got if r.label == label)
+        wanted = (len(drawn) * 20 + 50) // 100
+        assert [t for _, t in drawn] == [True] * wanted + [False] * (len(drawn) - wanted)
+    assert evaluation.exact_split(frame.limit(0), ("event_id",)).collect() == []
+
+
+def test_exact_split_of_equal_keys(spark):
+    """Most rows of a class share one key, so the cut goes through it."""
+    frame = spark.range(300).selectExpr("IF(id < 250, 7, id) AS event_id", "CAST(id % 2 AS INT) AS label", "id AS place").repartition(4)
+    for percent in (0, 20, 50, 100):
+        got = evaluation.exact_split(frame, ("event_id",), percent).collect()
+        assert sorted(r.place for r in got) == list(range(300))
+        assert {y: sum(r.is_test for r in got if r.label == y) for y in (0, 1)} == {y: (150 * percent + 50) // 100 for y in (0, 1)}
