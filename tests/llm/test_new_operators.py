@@ -12,7 +12,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from firelake.llm import decontaminate, jaccard, language, mixing, negatives, pii, sharding, spelling
+from firelake.llm import decontaminate, jaccard, language, mixing, negatives, pii, sharding, spelling, urls
 
 DOCS = "doc_id long, text string, shard string, slot long, record string"
 
@@ -405,3 +405,47 @@ def test_training_sees_the_ends_of_long_texts(spark):
     rows = docs.select("text").mapInArrow(pii._sample_task, "tokens array<struct<start: int, end: int, text: string, label: int>>").collect()
     assert {len(r.tokens) for r in rows} == {pii.TOKENS_PER_DOC}
     assert len({r.tokens[0].start > 4000 for r in rows}) == 2 or max(r.tokens[-1].end for r in rows) > 3000
+
+
+# URLs --------------------------------------------------------------------------------------------------
+
+
+def test_urls_of_any_shape(spark):
+    rows = [
+        (1, None), (2, ""), (3, "example.net/en/x"), (4, "HTTP://WWW.Example.NET/en/x?q#f"), (5, "http://example.net/EN/"),
+        (6, "https://a.b.org/fr/" + "y" * 70_000), (7, "ftp://org#x"), (8, "http://"), (9, "http://example.com/de/"),
+        (9, "http://example.com/de/"), (None, "http://sub.example.com/de"), (10, "http://a://b.net/c"), (11, "http://élan.net/é\U0001f600\n/x"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("taken")).repartition(3)
+    got = Counter((r.page_id, r.host, r.path[:12], r.rule, r.verdict) for r in urls.judge_urls(pages).collect())
+    assert got == Counter([
+        (1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow"),
+        (4, "www.example.net", "/en/x", "example.net/en/", "allow"), (5, "example.net", "/EN/", "net/", "block"),
+        (6, "a.b.org", "/fr/" + "y" * 8, "org/fr/", "allow"), (7, "org", "", None, "allow"), (8, "", "", None, "allow"),
+        (9, "example.com", "/de/", "example.com/de/", "block"), (9, "example.com", "/de/", "example.com/de/", "block"),
+        (None, "sub.example.com", "/de", None, "allow"), (10, "a:", "//b.net/c", None, "allow"),
+        (11, "élan.net", "/é\U0001f600\n/x", "net/", "block"),
+    ])
+    assert urls.judge_urls(pages.limit(0)).collect() == []
+
+
+def test_hundreds_of_rules_against_plain_matching(spark):
+    rng = random.Random(8)
+    hosts = [f"{a}{b}.{t}" for a in "abc" for b in range(20) for t in ("net", "org", "com")]
+    rules = [urls.SiteRule(rng.choice(["block", "allow"]), h, rng.choice(["/", "/x/", "/x/y/"])) for h in rng.sample(hosts, 120)]
+    globs = [f"*{rng.choice('abc')}{rng.randrange(20)}*#*{w}*" for w in ("ad", "track", "q9")] * 30 + [f"*{i}z#*" for i in range(200)]
+    pages = [(i, f"http://{rng.choice(['', 'www.', 'x.'])}{rng.choice(hosts)}{rng.choice(['', '/', '/x/', '/x/y/z', '/ad', '/track/q9'])}") for i in range(400)]
+
+    def judged(url):
+        host, _, path = url[7:].partition("/")
+        path = "/" + path if "/" in url[7:] else ""
+        fits = [r for r in rules if f".{host}".endswith(f".{r.host}") and path.startswith(r.path)]
+        if fits:
+            best = max(fits, key=lambda r: len(r.name))
+            return best.name, best.verdict
+        bad = any(re.fullmatch(re.escape(g).replace(r"\*", ".*"), f".{host}#{path}", re.S) for g in globs)
+        return None, "block" if bad else "allow"
+
+    frame = spark.createDataFrame(pages, "page_id long, url string").repartition(3)
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(frame, rules, globs).collect()}
+    assert got == {i: judged(u) for i, u in pages}
