@@ -6,9 +6,10 @@ A document's score is the mean over its words of the loss under the background m
 under the target model: higher means closer to the target.
 
 Every word and every word pair has its own count, by a 64-bit hash: the tables are Spark data and grow
-with the corpus. Texts are cut into blocks of about BLOCK_BYTES. A block sends one row for each of its
-distinct n-grams, with its own counts; these are summed by n-gram, and a block gets back the sums that
-differ from what it knows itself. So a frequent n-gram has one row per block, not one per occurrence.
+with the corpus. Texts are cut into blocks of about BLOCK_BYTES. A block sends each of its distinct
+n-grams once, with its own counts, as packed chunks by the leading bits of the hash; a bucket of these is
+summed by n-gram, and the block gets back the sums in the order it sent. So a frequent n-gram is sent once
+per block, not once per occurrence, and what is shuffled is about six bytes for an n-gram and two for its sums.
 Probabilities are interpolated: pair given word, word, and a floor of one in 2 ** WORD_BITS. When a
 document is scored, each occurrence is first taken out of the counts of the model that holds the
 document, so that no text is judged by itself.
@@ -21,13 +22,13 @@ and count each time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firelake.llm.shared import MAX_BROADCAST_IDS, stored
@@ -39,7 +40,10 @@ WORD_BITS = 18
 WEIGHTS = (0.55, 0.44, 0.01)
 # Text that is counted and scored together; a longer single text is a block of its own.
 BLOCK_BYTES = 24_000_000
-_ROWS = 200_000
+# Leading bits of an n-gram that say in which bucket it is summed, and the blocks from which on it takes more of them.
+BUCKET_BITS, MANY_BLOCKS = 10, 2048
+_ROWS = 256
+_CHUNK = ["block", "bucket", "n", "grams", "seen"]
 _U = np.uint64
 # Stands for all words: its counts are the sizes of the models.
 ALL_WORDS = _U(0)
@@ -103,43 +107,91 @@ def _flags(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _rows(block: int, counts: Counts) -> Batches:
-    for begin in range(0, len(counts.grams), _ROWS):
-        part = slice(begin, begin + _ROWS)
-        gram = counts.grams[part].view(np.int64)
-        columns = [np.full(len(gram), block, np.int64), gram, counts.seen[0, part], counts.seen[1, part]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "gram", "background", "target"])
-
-
-def _count_task(batches: Batches) -> Batches:
-    current, parts = None, []
-    for batch in batches:
-        column = batch.column(0).to_numpy()
-        cuts = np.flatnonzero(column[1:] != column[:-1]) + 1
-        for low, high in zip([0, *cuts], [*cuts, len(column)]):
-            if low == high:
-                continue
-            if parts and column[low] != current:
-                yield from _rows(current, counted(parts))
-                parts = []
-            current = int(column[low])
-            for piece in pieces(batch.slice(low, high - low), "text"):
-                parts.append((grams(piece.column(1)), _flags(piece.column(2))))
-    if parts:
-        yield from _rows(current, counted(parts))
-
-
-def other_counts(marked: DataFrame) -> DataFrame:
-    """(block, gram, background, target) over all rows of `marked(block, text, good)`.
-
-    N-grams that a block has for itself are left out: it knows their counts.
+def _packed(values: np.ndarray) -> bytes:
+    """64-bit integers by byte planes, compressed: the high bytes of small values cost next to nothing."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(kind).reshape(n)
+
+
+def _slices(counts: Counts, bits: int) -> Iterator[tuple[int, slice]]:
+    """The buckets, by the leading bits, that hold n-grams, and where these are; ALL_WORDS has one of its own."""
+    yield -1, slice(0, 1)
+    bucket = (counts.grams[1:] >> _U(64 - bits)).astype(np.int64)
+    begins = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for low, high in zip(begins, [*begins[1:], len(bucket)]):
+        yield int(bucket[low]), slice(int(low) + 1, int(high) + 1)
+
+
+def _rows(block: int, counts: Counts, bits: int) -> Batches:
+    rows = []
+    for bucket, part in _slices(counts, bits):
+        steps = np.diff(counts.grams[part], prepend=_U(0))
+        rows.append((block, bucket, len(steps), _packed(steps), _packed(counts.seen[:, part].reshape(-1))))
+        if len(rows) == _ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=_CHUNK)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=_CHUNK)
+
+
+def _count_task(bits: int) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        current, parts = None, []
+        for batch in batches:
+            column = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(column[1:] != column[:-1]) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(column)]):
+                if low == high:
+                    continue
+                if parts and column[low] != current:
+                    yield from _rows(current, counted(parts), bits)
+                    parts = []
+                current = int(column[low])
+                for piece in pieces(batch.slice(low, high - low), "text"):
+                    parts.append((grams(piece.column(1)), _flags(piece.column(2))))
+        if parts:
+            yield from _rows(current, counted(parts), bits)
+
+    return run
+
+
+def _sum_bucket(chunks: pa.Table) -> pa.Table:
+    """For the chunks of one bucket, the sums over all blocks in the order of their own n-grams."""
+    sizes = chunks.column("n").to_pylist()
+    ends = np.cumsum([0, *sizes])
+    gram = np.empty(ends[-1], _U)
+    seen = np.empty((2, ends[-1]), np.int64)
+    for n, low, steps, own in zip(sizes, ends, chunks.column("grams").to_pylist(), chunks.column("seen").to_pylist()):
+        gram[low : low + n] = np.cumsum(_unpacked(steps, n, _U), dtype=_U)
+        seen[:, low : low + n] = _unpacked(own, 2 * n, np.int64).reshape(2, n)
+    values, place = np.unique(gram, return_inverse=True)
+    for own in seen:
+        # A float holds every count below 2 ** 53.
+        own[:] = np.bincount(place, own, minlength=len(values)).astype(np.int64)[place]
+    sums = [_packed(seen[:, low : low + n].reshape(-1)) for n, low in zip(sizes, ends)]
+    return chunks.select(["block", "bucket", "n"]).append_column("seen", pa.array(sums, pa.binary()))
+
+
+def _bits(blocks: int) -> int:
+    """A bucket holds a thousandth of all n-grams; with very many blocks, about as much as two of them."""
+    return BUCKET_BITS + max(0, -(-blocks // MANY_BLOCKS) - 1).bit_length()
+
+
+def summed_counts(marked: DataFrame, bits: int) -> DataFrame:
+    """(block, bucket, n, seen) over all rows of `marked(block, text, good)`.
+
+    A block sends its distinct n-grams, ascending, as one row per bucket, and gets back their sums in the
+    same order, so the n-grams themselves travel once.
     """
-    schema = "block long, gram long, background long, target long"
-    rows = marked.select("block", "text", "good").mapInArrow(_count_task, schema)
-    same = Window.partitionBy("gram")
-    sums = rows.select("*", *(F.sum(c).over(same).alias(f"all_{c}") for c in ("background", "target")))
-    shared = sums.where("all_background != background OR all_target != target")
-    return shared.select("block", "gram", F.col("all_background").alias("background"), F.col("all_target").alias("target"))
+    rows = marked.select("block", "text", "good").mapInArrow(
+        _count_task(bits), "block long, bucket long, n long, grams binary, seen binary"
+    )
+    return rows.groupBy("bucket").applyInArrow(_sum_bucket, "block long, bucket long, n long, seen binary")
 
 
 def losses(counts: Counts, found: Grams, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,18 +216,24 @@ def losses(counts: Counts, found: Grams, good: np.ndarray) -> tuple[np.ndarray,
 _SCORES = "doc_id long, n_words long, target_loss double, background_loss double, score double"
 
 
-def _score_block(texts: pa.Table, others: pa.Table) -> pa.Table:
-    """Scores of one block, with the counts that `others` adds to its own."""
-    parts = [
-        (piece.column(2), grams(piece.column(1)), _flags(piece.column(3)))
-        for batch in texts.select(["block", "text", "doc_id", "good"]).to_batches()
-        for piece in pieces(batch, "text")
-    ]
-    counts = counted([part[1:] for part in parts])
-    gram = others.column("gram").to_numpy().view(_U)
-    place = np.where(gram == ALL_WORDS, 0, np.searchsorted(counts.grams[1:], gram) + 1)
-    for model, name in enumerate(("background", "target")):
-        counts.seen[model, place] = others.column(name).to_numpy()
+def _score_block(bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(texts: pa.Table, sums: pa.Table) -> pa.Table:
+        """Scores of one block, with the sums of its n-grams over all blocks."""
+        parts = [
+            (piece.column(2), grams(piece.column(1)), _flags(piece.column(3)))
+            for batch in texts.select(["block", "text", "doc_id", "good"]).to_batches()
+            for piece in pieces(batch, "text")
+        ]
+        counts = counted([part[1:] for part in parts])
+        places = dict(_slices(counts, bits))
+        for bucket, n, seen in zip(*(sums.column(name).to_pylist() for name in ("bucket", "n", "seen"))):
+            counts.seen[:, places[bucket]] = _unpacked(seen, 2 * n, np.int64).reshape(2, n)
+        return _scores(parts, counts)
+
+    return run
+
+
+def _scores(parts: list[tuple[pa.Array, Grams, np.ndarray]], counts: Counts) -> pa.Table:
     out = []
     for doc_id, found, good in parts:
         n, loss = losses(counts, found, good)
@@ -201,4 +259,6 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame) -> DataFrame:
     marked = rows.join(F.broadcast(named) if few else named, "doc_id", "left")
     marked = marked.select("text", "doc_id", F.coalesce("good", F.lit(False)).alias("good"))
     marked = stored(marked.mapInArrow(_block_task, "block long, text string, doc_id long, good boolean"), "marked")
-    return marked.groupBy("block").cogroup(other_counts(marked).groupBy("block")).applyInArrow(_score_block, _SCORES)
+    bits = _bits(marked.select("block").distinct().count())
+    sums = summed_counts(marked, bits)
+    return marked.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_score_block(bits), _SCORES)

@@ -405,3 +405,16 @@ def test_weights_of_many_texts_as_of_one():
     assert scorer.weights(pa.array(texts)).tolist() == wanted
     assert sum(w > 0 for w in wanted) == 9
     assert scorer.weights(pa.array(texts).slice(3, 2)).tolist() == wanted[3:5]
+
+
+def test_lm_counts_travel_packed(spark):
+    words = [f"w{i * 7919 % 40009}" for i in range(60_000)]
+    texts = [(part << 32, " ".join(words[at : at + 500]), False) for part in (0, 1) for at in range(0, len(words), 500)]
+    marked = spark.createDataFrame(texts, "block long, text string, good boolean").repartition(2, "block")
+    bits = lm_score._bits(2)
+    sent = marked.mapInArrow(lm_score._count_task(bits), "block long, bucket long, n long, grams binary, seen binary")
+    n, there = sent.selectExpr("sum(n)", "sum(length(grams) + length(seen))").first()
+    back = lm_score.summed_counts(marked, bits).selectExpr("sum(length(seen))").first()[0]
+    assert n > 150_000
+    # Small chunks; larger ones take less. A row of four longs takes 32 bytes, and went both ways.
+    assert there < 10 * n and back < 4 * n
