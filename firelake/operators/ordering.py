@@ -50,7 +50,7 @@ def sort_events(
 ) -> DataFrame:
     """Prepared events by a numeric column or by confidence rank."""
     if key not in SORT_KEYS:
-        raise ValueError(f"cannot sort by {key!r}, only by {', '.join(SORT_KEYS)}")
+        raise ValueError(f"sort key {key!r} is not one of {', '.join(SORT_KEYS)}")
     if direction not in ("asc", "desc"):
         raise ValueError("Sort direction must be 'asc' or 'desc'")
     value = confidence_rank(F.col(key)) if key == "confidence" else F.coalesce(key, F.lit(0.0))
