@@ -14,7 +14,7 @@ from firelake.plans.scoring import feature_importances, predict, score
 from firelake.plans.training import Trained, run_training, train
 from firelake.session import work_dir
 from firelake.sources.sinks import load_model
-from firelake.sources.tables import staged
+from firelake.sources.tables import spread, staged
 
 FIRST_CONDITIONS = {
     "w": "SELECT round(latitude * 1e2) AS la, round(longitude * 1e2) AS lo, wind_speed_kmh, humidity_pct, temp_c,"
@@ -59,7 +59,7 @@ def _scored_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every detection scored by the model that was stored."""
     artifacts, _ = _run(train, spark, sf_dir)
-    return score(matrix(*_tables(spark, sf_dir)), load_model(spark, artifacts)).select("event_id", "label", "risk")
+    return score(spread(matrix(*_tables(spark, sf_dir))), load_model(spark, artifacts)).select("event_id", "label", "risk")
 
 
 def _predict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,10 +85,10 @@ def _properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = staged(fitted.scored_test, "scored")
     measured = evaluation.confusion_metrics(scored, "risk", "label").first()
     ranked = feature_importances(spark, again).collect()
-    every = staged(score(matrix(*tables), again).select("event_id", "risk"), "every")
+    every = staged(score(spread(matrix(*tables)), again).select("event_id", "risk"), "every")
     top = predict(*tables, again, order=ORDER, tie_break=("event_id",)).select("event_id", "pred_score").collect()
     unlisted = every.where(~F.col("event_id").isin([r["event_id"] for r in top])).agg(F.max("risk")).first()[0]
-    same_scores = score(matrix(*tables), fitted.model).select("event_id", "risk").exceptAll(every).isEmpty()
+    same_scores = score(spread(matrix(*tables)), fitted.model).select("event_id", "risk").exceptAll(every).isEmpty()
     row = {
         "n_rows": metrics["n_rows"],
         "n_test_0": scored.where("label = 0").count(),

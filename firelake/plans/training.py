@@ -24,7 +24,7 @@ from firelake.plans.features import feature_matrix
 from firelake.plans.scoring import feature_importances, score
 from firelake.schemas import DETECTION_KEY, FEATURES
 from firelake.sources.sinks import load_model, save_model, write_metrics_json
-from firelake.sources.tables import staged
+from firelake.sources.tables import spread, staged
 
 SEED = 42
 TREES = 100
@@ -62,18 +62,21 @@ def train(
 ) -> Trained:
     """Feature matrix, split, fit; the stored model, and the test rows it scored.
 
-    The matrix is written once; the split, the fit and the test rows read it from there. The training rows are read once per tree level, so they are kept for the fit: spread
-    over the executors, spilling to disk, and rebuilt from the tables if one is lost. The
+    The matrix is written once; the split, the fit and the test rows read it from there. A row costs
+    the fit a hundred trees at every level, however few bytes it has, so the training rows are
+    dealt evenly over the cores, not by the files of the matrix. They are read a few times and kept
+    for that, spilling to disk, and rebuilt from the tables if an executor is lost. The
     test rows are scored with the model as read back: a fresh one holds its training
     summary, and with it the session, which cannot be sent to executors.
     """
     matrix = staged(feature_matrix(fires, weather, soil, order=order, carry=key), "matrix")
     split = exact_split(matrix, key, test_percent).drop(*key)
-    training = split.where(~F.col("is_test")).persist(StorageLevel.MEMORY_AND_DISK)
+    n_rows = matrix.count()
+    training = spread(split.where(~F.col("is_test")), n_rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         about = {
             "model": "RandomForestClassifier",
-            "n_rows": matrix.count(),
+            "n_rows": n_rows,
             "n_estimators": trees,
             "test_size": test_percent / 100,
             "features": FEATURES,
@@ -82,7 +85,7 @@ def train(
     finally:
         training.unpersist()
     model = load_model(fires.sparkSession, artifacts)
-    return Trained(model, score(split.where("is_test"), model, digits=QUALITY_DIGITS), about)
+    return Trained(model, score(spread(split.where("is_test"), n_rows), model, digits=QUALITY_DIGITS), about)
 
 
 def evaluate(scored: DataFrame, score_column: str = "risk", label: str = "label") -> dict[str, DataFrame]:

@@ -7,6 +7,8 @@ reader of the root sees both.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,8 @@ from firelake.session import work_dir
 from firelake.sources.files import matching_paths
 
 # Table names.
+# Rows of a task where rows are dealt over the cores: no more, and no fewer in a short table.
+MOST_ROWS, LEAST_ROWS = 1_000_000, 2_000
 FIRES_TABLE, WEATHER_TABLE, SOIL_TABLE = "fires", "weather_observations", "environmental_conditions"
 
 
@@ -55,6 +59,18 @@ def staged(rows: DataFrame, purpose: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def spread(rows: DataFrame, n_rows: int | None = None, most: int = MOST_ROWS, least: int = LEAST_ROWS) -> DataFrame:
+    """The rows dealt evenly over all cores, for work that costs much more per row than reading it.
+
+    Tasks that follow the bytes of a table leave cores idle then: a few large files, or one. With the number of
+    rows given, a task gets at most `most` of them, and a short table no more tasks than `least` rows each make.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if n_rows is None:
+        return rows.repartition(max(4 * cores, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.repartition(max(1, min(cores * math.ceil(n_rows / (cores * most)), math.ceil(n_rows / least))))
+
+
 def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> None:
     """Create the folder with an empty file of the schema unless it is there."""
     if not matching_paths(spark, path):

@@ -153,3 +153,21 @@ def test_no_query_leaves_the_jvm_or_joins_without_a_key(spark, sf_dir, name):
     plan = plan_of(registered()[name].run(spark, sf_dir))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert bad not in plan
+
+
+def test_training_rows_are_dealt_over_the_cores(spark, tmp_path, make_fires, monkeypatch):
+    from firelake.plans import training
+
+    seen = []
+
+    def fit(rows, trees, max_depth):
+        seen.append([r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()])
+        return fitted(rows, trees, max_depth)
+
+    fitted = training.fit_forest
+    monkeypatch.setattr(training, "fit_forest", fit)
+    rows = [(30 + i / 1e3, -110.0, 300.0 + i % 50, 290.0, float(i % 9), "2024-08-01", "0900", "hl"[i % 2]) for i in range(25_000)]
+    training.train(make_fires(*rows).coalesce(1), None, None, str(tmp_path), trees=2, max_depth=2)
+    # One file of the matrix; every core gets its share.
+    assert len(seen[0]) == spark.sparkContext.defaultParallelism
+    assert max(seen[0]) - min(seen[0]) <= len(seen[0])
