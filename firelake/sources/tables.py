@@ -18,8 +18,8 @@ from firelake.session import work_dir
 from firelake.sources.files import matching_paths
 
 # Table names.
-# Rows of a task where rows are dealt over the cores: no more, and more than so many on average.
-MOST_ROWS, LEAST_ROWS = 1_000_000, 2_000
+# Where rows are dealt over the cores: rows of a task at most, and rows of a table that stays as it is.
+MOST_ROWS, LEAST_ROWS = 1_000_000, 20_000
 FIRES_TABLE, WEATHER_TABLE, SOIL_TABLE = "fires", "weather_observations", "environmental_conditions"
 
 
@@ -63,12 +63,12 @@ def spread(rows: DataFrame, n_rows: int | None = None) -> DataFrame:
     """The rows dealt evenly over all cores, for work that costs much more per row than reading it.
 
     Tasks that follow the bytes of a table leave cores idle then: a few large files, or one. With the number of
-    rows given, a task gets at most MOST_ROWS, and a table too short to keep the cores busy stays as it is.
+    rows given, a task gets at most MOST_ROWS, and a table of LEAST_ROWS or fewer stays as it is.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     if n_rows is None:
         return rows.repartition(max(4 * cores, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return rows if n_rows <= cores * LEAST_ROWS else rows.repartition(cores * math.ceil(n_rows / (cores * MOST_ROWS)))
+    return rows if n_rows <= LEAST_ROWS else rows.repartition(cores * math.ceil(n_rows / (cores * MOST_ROWS)))
 
 
 def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> None:
