@@ -37,12 +37,16 @@ def components(links: DataFrame) -> DataFrame:
     Self links and nulls are ignored; an empty table gives an empty result.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = stored(links, "links")
     while True:
-        links = stored(_toward_minimum(_toward_minimum(links, True), False).distinct(), "links")
-        tops = links.groupBy("a").agg(F.count(F.lit(1)).alias("tops"))
+        # A star reads its links twice; stored in between, no star is planned inside another one's plan.
+        links = stored(_toward_minimum(links, True), "links")
+        links = stored(_toward_minimum(links, False).distinct(), "links")
+        ups = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        downs = links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        ends = ups.union(downs).groupBy("node").agg(F.sum("up").alias("ups"), F.max("down").alias("down"))
         # Done when every id has one link, to an id that has none.
-        several = tops.where("tops > 1").select("a")
-        if several.union(links.join(tops.select(F.col("a").alias("b")), "b", "left_semi").select("a")).isEmpty():
+        if ends.where("ups > 1 OR (ups = 1 AND down = 1)").isEmpty():
             break
     members = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return members.union(members.select(F.col("component").alias("node"), "component").distinct())

@@ -355,7 +355,7 @@ def _linked_nodes(index: Index, texts: DataFrame, k: int, threshold: int) -> Dat
         members = _placed(of_group, named)
         rows = entries.select("token", "group", "rows").join(members.select("group", "node", "comp"), "group")
         rows = rows.select("token", "node", "comp", "rows")
-        rows = rows.union(_placed(inside, named).select(*rows.columns))
+        rows = stored(rows.union(_placed(inside, named).select(*rows.columns)), "placed")
         mains = _open_tokens(rows)
         if mains.isEmpty():
             return named

@@ -177,6 +177,23 @@ def _greedy(doc, item, least):
                 total += size
 
 
+def test_components_plan_each_star_by_itself(spark, monkeypatch):
+    import firelake.llm.components as module
+
+    plans, store = [], module.stored
+
+    def stored(frame, purpose):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return store(frame, purpose)
+
+    monkeypatch.setattr(module, "stored", stored)
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51), (7, 7), (None, 3)], "a long, b long")
+    got = {r.node: r.component for r in components(links).collect()}
+    assert got == dict.fromkeys(range(21), 0) | {50: 50, 51: 50}
+    # One grouping, the two sides of one join and the distinct rows; a star inside another's plan makes more.
+    assert max(plan.count("Exchange hashpartitioning") for plan in plans) <= 4
+
+
 def test_tiles_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(60):
