@@ -9,7 +9,7 @@ from firelake.checks.query import Query, over
 from firelake.checks.rows import FEATURE_LIST, JOIN_CONDITIONS, ORDER, SIDE
 from firelake.checks.views import view, with_views
 from firelake.operators import evaluation
-from firelake.plans.features import feature_matrix
+from firelake.plans.features import ALIKE, feature_matrix
 from firelake.plans.scoring import feature_importances, predict, score
 from firelake.plans.training import Trained, run_training, train
 from firelake.session import work_dir
@@ -59,7 +59,7 @@ def _scored_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every detection scored by the model that was stored."""
     artifacts, _ = _run(train, spark, sf_dir)
-    return score(spread(matrix(*_tables(spark, sf_dir))), load_model(spark, artifacts)).select("event_id", "label", "risk")
+    return score(spread(matrix(*_tables(spark, sf_dir)), alike=ALIKE), load_model(spark, artifacts)).select("event_id", "label", "risk")
 
 
 def _predict(spark: SparkSession, sf_dir: str) -> DataFrame:

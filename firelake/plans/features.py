@@ -11,6 +11,9 @@ from firelake.functions import confidence_label, degree_bin, hour_of, month_of
 from firelake.operators.cells import join_conditions
 from firelake.schemas import FEATURES, SOIL_VALUES, WEATHER_VALUES
 
+# Order in which neighbouring rows take the same way down most trees: the rows of a cell share its place and readings.
+ALIKE = ["lat_bin", "lon_bin", *WEATHER_VALUES, *SOIL_VALUES, "bright_ti4", "frp", "hour"]
+
 
 def detection_features(rows: DataFrame, missing_time: str | None = None) -> DataFrame:
     """Adds hour, month and degree bins."""

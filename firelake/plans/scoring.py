@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from firelake.functions import fallback_risk, round_to
 from firelake.operators.ordering import top_scored
-from firelake.plans.features import feature_columns, feature_matrix
+from firelake.plans.features import ALIKE, feature_columns, feature_matrix
 from firelake.schemas import FEATURES
 from firelake.sources.sinks import load_model
 from firelake.sources.tables import spread
@@ -70,7 +70,7 @@ def predict(
 ) -> DataFrame:
     """The k detections of highest model score, with both reading tables as in training."""
     matrix = feature_matrix(fires, weather, soil, order=order, carry=(F.struct(*fires.columns).alias("detection"),))
-    scored = score(spread(matrix), model).select("detection.*", F.col("risk").alias("pred_score"))
+    scored = score(spread(matrix, alike=ALIKE), model).select("detection.*", F.col("risk").alias("pred_score"))
     return top_scored(scored, k, "pred_score", tie_break)
 
 

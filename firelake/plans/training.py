@@ -20,7 +20,7 @@ from firelake.operators.evaluation import (
     roc_auc,
     with_class_weight,
 )
-from firelake.plans.features import feature_matrix
+from firelake.plans.features import ALIKE, feature_matrix
 from firelake.plans.scoring import feature_importances, score
 from firelake.schemas import DETECTION_KEY, FEATURES
 from firelake.sources.sinks import load_model, save_model, write_metrics_json
@@ -32,8 +32,9 @@ TEST_PERCENT = 20
 MAX_DEPTH = 10
 # Quality is measured on finer scores than are handed out.
 QUALITY_DIGITS = 6
-# Megabytes of node statistics that one pass of a fit over many rows fills, so that they stay near the core.
-GROUP_MB = 4
+# Megabytes of node statistics that one pass of a fit over many rows fills: few enough to stay near the core, as like rows follow
+# each other, and enough for few passes, each of which reads again whatever the executors' memory does not hold.
+GROUP_MB = 32
 
 
 class Trained(NamedTuple):
@@ -46,7 +47,7 @@ def fit_forest(train: DataFrame, trees: int = TREES, max_depth: int = MAX_DEPTH,
     """Random forest over class-weighted rows of features and label.
 
     A pass over all nodes of a deep level updates, for every row, far more statistics than a core's cache holds. More than
-    LEAST_ROWS rows are therefore fitted a few trees at a time, in more and shorter passes. The features
+    LEAST_ROWS rows are therefore fitted some trees at a time, in more and shorter passes. The features
     drawn at a node go by the order of the nodes, so shorter tables keep MLlib's own order.
     """
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
@@ -73,15 +74,15 @@ def train(
 
     The matrix is written once; the split, the fit and the test rows read it from there. A row costs
     the fit a hundred trees at every level, however few bytes it has, so the training rows are
-    dealt evenly over the cores, not by the files of the matrix. They are read a few times and kept
-    for that, spilling to disk, and rebuilt from the tables if an executor is lost. The
+    dealt evenly over the cores, not by the files of the matrix, and a core takes like rows one after the
+    other, so that the nodes they reach are still near it. They are read a few times and kept for that, spilling to disk, and rebuilt from the tables if an executor is lost. The
     test rows are scored with the model as read back: a fresh one holds its training
     summary, and with it the session, which cannot be sent to executors.
     """
     matrix = staged(feature_matrix(fires, weather, soil, order=order, carry=key), "matrix")
     split = exact_split(matrix, key, test_percent).drop(*key)
     n_rows = matrix.count()
-    training = spread(split.where(~F.col("is_test")), n_rows).persist(StorageLevel.MEMORY_AND_DISK)
+    training = spread(split.where(~F.col("is_test")), n_rows, ALIKE).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         about = {
             "model": "RandomForestClassifier",
@@ -94,7 +95,7 @@ def train(
     finally:
         training.unpersist()
     model = load_model(fires.sparkSession, artifacts)
-    return Trained(model, score(spread(split.where("is_test"), n_rows), model, digits=QUALITY_DIGITS), about)
+    return Trained(model, score(spread(split.where("is_test"), n_rows, ALIKE), model, digits=QUALITY_DIGITS), about)
 
 
 def evaluate(scored: DataFrame, score_column: str = "risk", label: str = "label") -> dict[str, DataFrame]:

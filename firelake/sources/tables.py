@@ -8,6 +8,7 @@ reader of the root sees both.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -59,16 +60,21 @@ def staged(rows: DataFrame, purpose: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def spread(rows: DataFrame, n_rows: int | None = None) -> DataFrame:
+def spread(rows: DataFrame, n_rows: int | None = None, alike: Sequence[str] = ()) -> DataFrame:
     """The rows dealt evenly over all cores, for work that costs much more per row than reading it.
 
     Tasks that follow the bytes of a table leave cores idle then: a few large files, or one. With the number of
-    rows given, a task gets at most MOST_ROWS, and a table of LEAST_ROWS or fewer stays as it is.
+    rows given, a task gets at most MOST_ROWS, and a table of LEAST_ROWS or fewer stays as it is. A task
+    takes its rows in the order of the columns `alike`.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     if n_rows is None:
-        return rows.repartition(max(4 * cores, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return rows if n_rows <= LEAST_ROWS else rows.repartition(cores * math.ceil(n_rows / (cores * MOST_ROWS)))
+        dealt = rows.repartition(max(4 * cores, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    elif n_rows <= LEAST_ROWS:
+        return rows
+    else:
+        dealt = rows.repartition(cores * math.ceil(n_rows / (cores * MOST_ROWS)))
+    return dealt.sortWithinPartitions(*alike) if alike else dealt
 
 
 def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> None:

@@ -185,3 +185,33 @@ def test_a_pass_of_a_large_fit_grows_few_trees(spark):
     assert (large.getNumTrees, large.getMaxDepth()) == (3, 4)
     # Short tables are fitted as before.
     assert training.fit_forest(rows.limit(5_000), trees=3, max_depth=4).stages[-1].getMaxMemoryInMB() == 256
+
+
+def test_training_and_scored_rows_come_in_order_of_their_cells(spark, tmp_path, make_fires, monkeypatch):
+    from firelake.plans import scoring, training
+
+    def runs(rows):
+        """Tasks, and how often the latitude changes from a row to the next of its task."""
+        parts = rows.select("lat_bin").rdd.glom().collect()
+        return len(parts), sum(a != b for part in parts for a, b in zip(part, part[1:]))
+
+    seen = []
+
+    def fit(rows, trees, max_depth):
+        seen.append(runs(rows))
+        return fitted(rows, trees, max_depth)
+
+    def score(rows, model, **how):
+        seen.append(runs(rows))
+        return scored(rows, model, **how)
+
+    fitted, scored = training.fit_forest, training.score
+    for module in (training, scoring):
+        monkeypatch.setattr(module, "score", score)
+    monkeypatch.setattr(training, "fit_forest", fit)
+    rows = make_fires(*[(30.5 + i % 10, -110.0, 300.0 + i % 50, 290.0, float(i % 9), "2024-08-01", "0900", "hl"[i % 2]) for i in range(25_000)])
+    done = training.train(rows, None, None, str(tmp_path), trees=2, max_depth=2)
+    top = scoring.predict(rows, None, None, done.model, k=3, tie_break=("latitude",))
+    assert top.count() == 3
+    # Fit, test rows, all rows: ten latitudes, so at most nine changes in a task.
+    assert len(seen) == 3 and all(0 < changes <= 9 * tasks for tasks, changes in seen)
