@@ -138,13 +138,10 @@ def run_training(
 ) -> Trained:
     """Train, measure, and leave model, metadata and metrics under `artifacts`.
 
-    The measures pass over the scored test rows several times; only their score and label
-    are kept for it.
+    The measures pass over the scored test rows several times, and so may the caller: they are
+    scored once and stored.
     """
     fitted = train(fires, weather, soil, artifacts, **settings)
-    scored = fitted.scored_test.select("label", "risk").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        write_metrics_json(metrics_row(fitted._replace(scored_test=scored)), f"{artifacts}/metrics")
-    finally:
-        scored.unpersist()
+    fitted = fitted._replace(scored_test=staged(fitted.scored_test, "scored_test"))
+    write_metrics_json(metrics_row(fitted), f"{artifacts}/metrics")
     return fitted

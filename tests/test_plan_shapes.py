@@ -215,3 +215,35 @@ def test_training_and_scored_rows_come_in_order_of_their_cells(spark, tmp_path,
     assert top.count() == 3
     # Fit, test rows, all rows: ten latitudes, so at most nine changes in a task.
     assert len(seen) == 3 and all(0 < changes <= 9 * tasks for tasks, changes in seen)
+
+
+def test_test_rows_are_scored_once(spark, tmp_path, make_fires):
+    from firelake.plans import training
+
+    rows = make_fires(*[(30.5 + i % 10, -110.0, 300.0 + i % 50, 290.0, float(i % 9), "2024-08-01", "0900", "hl"[i % 2]) for i in range(200)])
+    done = training.run_training(rows, None, None, str(tmp_path), trees=2, max_depth=2)
+    plan = plan_of(done.scored_test)
+    assert "FileScan" in plan and "UDF" not in plan and "InMemoryTableScan" not in plan
+    assert done.scored_test.count() == 40 and {"label", "risk"} <= set(done.scored_test.columns)
+
+
+def test_both_models_score_a_row_of_the_matrix_in_one_pass(spark, sf_dir, monkeypatch):
+    from firelake.checks import models
+
+    made, scored = [], []
+
+    def matrix(*tables):
+        made.append(1)
+        return build(*tables)
+
+    def score(rows, model, **how):
+        scored.append(model)
+        return by(rows, model, **how)
+
+    build, by = models.matrix, models.score
+    monkeypatch.setattr(models, "matrix", matrix)
+    monkeypatch.setattr(models, "score", score)
+    row = models._properties(spark, sf_dir).first()
+    assert row.stored_model_scores_alike and row.scores_in_range and row.nothing_unlisted_is_higher and row.metrics_agree
+    # The stored model and the fitted one, on all rows, which are joined once for the two.
+    assert len(made) == 1 and len(scored) == 2 and scored[0] is not scored[1]
